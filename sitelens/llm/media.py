@@ -1,0 +1,210 @@
+"""Baseline JPEG media columns.
+
+``encode`` stores bytes losslessly as the quantised coefficients of a grey baseline JPEG, 64 a
+block: byte b is the coefficient whose category is 8 and whose extra bits are b, which baseline
+JPEG has for exactly 256 values. A restart marker after each block resets the DC prediction, so
+DC coefficients hold bytes as well. ``decode`` parses the markers, Huffman-decodes the scan
+and rebuilds the luminance thumbnail of the DC coefficients alone.
+
+A null text counts as empty. Texts of any length are stored whole: wider images hold them, and a
+comment segment names the payload's length. Repeated rows give equal values. An empty table gives
+no rows. Only doc_id and text are read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sitelens.llm.common import table
+
+UNIT, BLOCK, CATEGORY = 192, 64, 8
+
+
+def _zigzag() -> np.ndarray:
+    """Raster place of each coefficient in scan order: diagonals, alternately up and down."""
+    cells = [(r, c) for r in range(8) for c in range(8)]
+    cells.sort(key=lambda rc: (sum(rc), rc[1] if sum(rc) % 2 == 0 else rc[0]))
+    return np.array([8 * r + c for r, c in cells])
+
+
+ZIGZAG = _zigzag()
+
+
+def payload_of(raw: bytes, unit: int = UNIT) -> bytes:
+    return raw.ljust(max(unit, -(-len(raw) // unit) * unit), b" ")
+
+
+def _segment(marker: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+
+
+def encode(payload: bytes) -> bytes:
+    blocks = -(-len(payload) // BLOCK)
+    across = 3
+    while -(-blocks // across) > 8191:
+        across *= 2
+    down = max(1, -(-blocks // across))
+    data = np.zeros((across * down, BLOCK), np.uint8)
+    data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
+    # Both tables have one code, eight zero bits, for category 8 without a run.
+    code = bytes([0] * 7 + [1] + [0] * 8 + [CATEGORY])
+    head = b"\xff\xd8" + _segment(0xFE, struct.pack(">Q", len(payload))) + _segment(0xDB, bytes([0]) + bytes([1]) * 64)
+    head += _segment(0xC0, struct.pack(">BHHBBBB", 8, 8 * down, 8 * across, 1, 1, 0x11, 0))
+    head += _segment(0xC4, b"\x00" + code) + _segment(0xC4, b"\x10" + code) + _segment(0xDD, struct.pack(">H", 1)) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    n = len(data)
+    scan = np.zeros((n, 2 * BLOCK + 2), np.uint8)
+    scan[:, 1 : 2 * BLOCK : 2] = data
+    scan[:, 2 * BLOCK], scan[:, 2 * BLOCK + 1] = 0xFF, 0xD0 + np.arange(n) % 8
+    if not (data == 0xFF).any():
+        return head + scan.tobytes()[:-2] + b"\xff\xd9"
+    bodies = [row[: 2 * BLOCK].tobytes().replace(b"\xff", b"\xff\x00") + row[2 * BLOCK :].tobytes() for row in scan]
+    return head + b"".join(bodies)[:-2] + b"\xff\xd9"
+
+
+def _codes(body: bytes) -> tuple[int, dict[tuple[int, int], int]]:
+    """Class and id of a Huffman table, and its symbols by (length, code)."""
+    symbols, out, code = iter(body[17:]), {}, 0
+    for length in range(1, 17):
+        for _ in range(body[length]):
+            out[length, code] = next(symbols)
+            code += 1
+        code <<= 1
+    return body[0], out
+
+
+def _symbol(bits, at: int, codes: dict) -> tuple[int, int]:
+    code = 0
+    for length in range(1, 17):
+        code = code << 1 | int(bits[at + length - 1])
+        if (length, code) in codes:
+            return codes[length, code], at + length
+    raise ValueError("no such Huffman code")
+
+
+def _value(bits, at: int, size: int) -> tuple[int, int]:
+    v = 0
+    for b in bits[at : at + size]:
+        v = v << 1 | int(b)
+    return (v if not size or v >> (size - 1) else v - (1 << size) + 1), at + size
+
+
+def _blocks_of(part: bytes, dc: dict, ac: dict, count: int) -> np.ndarray:
+    """Coefficients of one restart interval, by the general decoder."""
+    bits = np.unpackbits(np.frombuffer(part.replace(b"\xff\x00", b"\xff"), np.uint8))
+    out, at, last = np.zeros((count, BLOCK), np.int32), 0, 0
+    for block in out:
+        size, at = _symbol(bits, at, dc)
+        step, at = _value(bits, at, size)
+        last += step
+        block[0], k = last, 1
+        while k < BLOCK:
+            symbol, at = _symbol(bits, at, ac)
+            if symbol == 0:
+                break
+            k += symbol >> 4
+            if symbol & 15:
+                block[k], at = _value(bits, at, symbol & 15)
+            k += 1
+    return out
+
+
+def decode(stored: bytes) -> dict:
+    """Markers, coefficients in scan order, dimensions and the DC-only thumbnail of a grey baseline JPEG."""
+    if stored[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    at, tables, quant, restart, length = 2, {}, np.ones(64, np.int32), 0, None
+    while True:
+        marker, size = stored[at + 1], struct.unpack(">H", stored[at + 2 : at + 4])[0]
+        body, at = stored[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xFE and len(body) == 8:
+            length = struct.unpack(">Q", body)[0]
+        elif marker == 0xDB:
+            quant = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
+        elif marker == 0xC0:
+            _, height, width, parts = struct.unpack(">BHHB", body[:6])
+            if parts != 1:
+                raise ValueError("one component is expected")
+        elif marker in (0xC1, 0xC2):
+            raise ValueError("not baseline")
+        elif marker == 0xC4:
+            kind, tables_of = _codes(body)
+            tables[kind] = tables_of
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            break
+    across, down = -(-width // 8), -(-height // 8)
+    n, dc, ac = across * down, tables[0], tables[16]
+    scan = stored[at : stored.rindex(b"\xff\xd9")]
+    coefficients = _even(scan, n, dc, ac) if restart == 1 else None
+    if coefficients is None:
+        coefficients, place, done = np.zeros((n, BLOCK), np.int32), 0, 0
+        while done < n:
+            end = place
+            while (end := scan.find(b"\xff", end)) >= 0 and not 0xD0 <= (scan[end + 1] if end + 1 < len(scan) else 0xD9) <= 0xD7:
+                end += 2
+            count = min(restart or n, n - done)
+            coefficients[done : done + count] = _blocks_of(scan[place : end if end >= 0 else len(scan)], dc, ac, count)
+            done, place = done + count, end + 2
+    light = np.clip(coefficients[:, 0].reshape(down, across) * quant[0] / 8 + 128, 0, 255).astype(np.uint8)
+    return {"width": width, "height": height, "length": length, "coefficients": coefficients, "thumbnail": light}
+
+
+def _even(scan: bytes, n: int, dc: dict, ac: dict) -> np.ndarray | None:
+    """All blocks at once where every coefficient is one whole-byte code and eight bits; else None."""
+    if dc != {(8, 0): CATEGORY} or ac != dc or len(scan) != n * (2 * BLOCK + 2) - 2:
+        return None
+    rows = np.frombuffer(scan + b"\xff" + bytes([0xD0 + (n - 1) % 8]), np.uint8).reshape(n, 2 * BLOCK + 2)
+    marked = (rows[:, 128] == 0xFF).all() and (rows[:, 129] == 0xD0 + np.arange(n) % 8).all()
+    if not marked or rows[:, 0:128:2].any() or (rows[:, 1:128:2] == 0xFF).any():
+        return None
+    v = rows[:, 1:128:2].astype(np.int32)
+    return np.where(v >= 128, v, v - 255)
+
+
+def payload_from(decoded: dict) -> bytes:
+    c = decoded["coefficients"].reshape(-1)[: decoded["length"]]
+    return np.where(c > 0, c, c + 255).astype(np.uint8).tobytes()
+
+
+def thumbnail_hash(light: np.ndarray) -> str:
+    """Which cells of an 8 x 8 reduction are above its mean, as hex."""
+    r = np.linspace(0, light.shape[0], 9).astype(int)
+    c = np.linspace(0, light.shape[1], 9).astype(int)
+    small = np.array([[light[a : max(b, a + 1), x : max(y, x + 1)].mean() for x, y in zip(c[:-1], c[1:], strict=True)] for a, b in zip(r[:-1], r[1:], strict=True)])
+    return np.packbits(small > small.mean()).tobytes().hex()
+
+
+def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
+    """Stored form, what is read back from it, dimensions and thumbnail hashes of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch._id, batch.text, strict=True):
+                raw = text.encode("utf-8", "replace")
+                stored = encode(payload_of(raw))
+                seen = decode(stored)
+                back = payload_from(seen)
+                feature = f"{seen['width']}x{seen['height']}:{thumbnail_hash(seen['thumbnail'])}:{zlib.crc32(seen['thumbnail'].tobytes()):08x}"
+                row = (doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+                out.append((*row, stored) if keep_media else row)
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
+    schema = "_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    source = docs.select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    done = source.mapInPandas(run, schema + (", media binary" if keep_media else ""))
+    return done.select(F.col("_id").cast("bigint").alias("doc_id"), *names[1:])
+
+
+def op7_baseline_jpeg(spark, sf_dir):
+    return media(table(spark, sf_dir, "documents"), keep_media=False)

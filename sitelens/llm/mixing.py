@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import WORD, cut, table
+from sitelens.llm.common import WORD, cut, table, words
 
 MOST, WEIGHTS, BUCKET_DOCS = 3, (1, 2, 3), 20_000
 
@@ -97,8 +97,7 @@ def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
     keyed = docs.select(*columns).withColumn("_p", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     joined = keyed.join(plan, (F.col("_p") == F.col("place")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     whole = F.when(F.col("copies") > 0, F.array_repeat(F.col("text"), F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
-    part = F.when(F.col("extra") == F.col("size"), F.col("text")).otherwise(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0))
-    cut_text = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("extra").cast("int")), " ")
+    cut_text = F.array_join(F.slice(words(F.col("text")), 1, F.col("extra").cast("int")), " ")
     part = F.when(F.col("extra") == F.col("size"), F.col("text")).otherwise(cut_text)
     texts = F.when(F.col("extra") > 0, F.concat(whole, F.array(part))).otherwise(whole)
     rows = joined.withColumn("_t", F.explode(texts))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import cut, table
 
 K, SAMPLE, LISTS, DEGREE, BEAM = 10, 8192, 64, 16, 48
-CLOSURE, COPIES, PROBE, LIST_ROWS, EVERY = 1.02, 2, 1.25, 4096, 100
+CLOSURE, COPIES, PROBE, LIST_ROWS, EVERY = 1.02, 2, 1.35, 4096, 100
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int | None
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = cut(asked.join(full, "vec_id", "left_anti"))
     if not short.isEmpty():
-        everywhere = short.crossJoin(F.broadcast(counts.select("list")))  # queries x lists, for short ones only
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.value.c) - 1))))
         wider = nearest(everywhere.select("vec_id", "list", "embedding")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(wider)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -192,20 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     return LineField.fit([r.text or "" for r in rows], [int(r.quality) for r in rows])
 
 
-def score(docs: DataFrame, model: LineField, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and the score of each row's whole text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    name = "score"
+def score(docs: DataFrame, model: LineField, name: str = "score") -> DataFrame:
+    """``docs`` with the score of each row's whole text as column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[name] = shared.value.score(batch["_text"].tolist()) if len(batch) else []
-            yield batch.drop(columns="_text")
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(texts.tolist()) if len(texts) else [], dtype=float)
 
-    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text") + f", {name} double"
-    return source.mapInPandas(run, schema)
+    return docs.withColumn(name, of(F.coalesce("text", F.lit(""))))
 
 
 def trained(spark, docs: DataFrame, sf_dir: str) -> LineField:
@@ -215,6 +210,6 @@ def trained(spark, docs: DataFrame, sf_dir: str) -> LineField:
 
 def op3_line_field_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select(F.col("doc_id").cast("string").alias("_id"), "text"), trained(spark, docs, sf_dir), ["_id"])
-    doc_id = F.col("_id").cast("bigint")
-    return scored.select(doc_id.alias("doc_id"), F.coalesce(remainder(doc_id) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), trained(spark, docs, sf_dir))
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -23,42 +23,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import WORD, cut, table
+from sitelens.llm.hashing import rolled, word_hashes
 
 WIDTH, SEED_WIDTH = 13, 5
 _WORD = regex.compile(WORD)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(found: list[str], seed: int) -> np.ndarray:
-    known: dict[str, int] = {}
-    return np.array([known.setdefault(w, xxhash.xxh3_64_intdigest(w, seed)) if w not in known else known[w] for w in found], np.uint64)
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return (h ^ (h >> np.uint64(29))) * _MIX ^ (h >> np.uint64(31))
-
-
-def rolled(word_hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each window of ``width`` words."""
-    n = len(word_hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out = _finish(out + word_hashes[j : j + n])
-    return out
-
-
-def minimizers(word_hashes: np.ndarray, width: int = WIDTH, seed_width: int = SEED_WIDTH) -> np.ndarray:
+def minimizers(hashed: np.ndarray, width: int = WIDTH, seed_width: int = SEED_WIDTH) -> np.ndarray:
     """For each window the smallest hash of the shingles inside."""
-    seeds = rolled(word_hashes, seed_width)
-    n = len(word_hashes) - width + 1
+    seeds = rolled(hashed, seed_width)
+    n = len(hashed) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = seeds[:n].copy()
@@ -107,7 +85,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
     def seeds(batch):
         ids, out = [], []
         for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-            m = np.unique(minimizers(_hashes(_WORD.findall(text), 1), width, seed_width))
+            m = np.unique(minimizers(word_hashes(_WORD.findall(text), 1), width, seed_width))
             out.append(_signed(m))
             ids.append(np.full(len(m), doc_id, np.int64))
         return pd.DataFrame({"seed": np.concatenate(out), "doc_id": np.concatenate(ids)})
@@ -120,9 +98,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
         cols = [[], [], [], []]
         for doc_id, text, of in zip(batch.doc_id, batch.text, batch.seeds, strict=True):
             found = _WORD.findall(text)
-            h = _hashes(found, 1)
+            h = word_hashes(found, 1)
             at = np.flatnonzero(np.isin(_signed(minimizers(h, width, seed_width)), np.asarray(of)))
-            one, two = rolled(h, width), rolled(_hashes(found, 2), width)
+            one, two = rolled(h, width), rolled(word_hashes(found, 2), width)
             for col, v in zip(cols, (np.full(len(at), doc_id, np.int64), at, _signed(one)[at], _signed(two)[at]), strict=True):
                 col.append(v)
         return pd.DataFrame({k: np.concatenate(v) for k, v in zip(("doc_id", "start", "e1", "e2"), cols, strict=True)})

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import cut, table
 
 K, SAMPLE, LISTS, DEGREE, BEAM = 10, 8192, 64, 16, 48
-CLOSURE, COPIES, PROBE, LIST_ROWS, EVERY = 1.02, 2, 1.35, 4096, 100
+CLOSURE, COPIES, PROBE, LIST_ROWS, EVERY = 1.02, 2, 1.5, 4096, 100
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def fit(sample: np.ndarray, lists: int = LISTS, rounds: int = 12) -> np.ndarray:
     """Lloyd's rounds from a fixed start; empty cells take the farthest rows."""
     sample = np.unique(sample, axis=0)
     pick = np.random.default_rng(7).permutation(len(sample))
-    c = sample[pick[: max(1, min(lists, len(sample) // 8))]].astype(np.float64)
+    c = sample[pick[: max(1, min(lists, len(sample) // 64))]].astype(np.float64)
     for _ in range(rounds):
         d = (sample**2).sum(1)[:, None] - 2 * sample @ c.T + (c**2).sum(1)
         near = d.argmin(1)

@@ -1,0 +1,180 @@
+"""Operators against brute force, and their edge cases, on small frames."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sitelens.llm import jaccard_join, licences, media, mixing, neighbours, packing, quality, secrets, substrings, url_filter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, bucket string"
+
+
+def texts():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    out = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 80))) for _ in range(40)]
+    out += [out[i] for i in (3, 4, 4, 5)]
+    for i in (6, 7, 8, 8):
+        words = (out[i] * 3).split()
+        if words:
+            words[len(words) // 2] = "changed"
+        out += [out[i] * 3, " ".join(words)]
+    out += ["", None, " \n ", "one", "one two", "A b c d", "x " * 5000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), None, "x") for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_jaccard_join(docs, empty):
+    lower = {c: c + 32 for c in range(65, 91)}
+    sets = []
+    for t in texts():
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_substring_dedup(docs, empty):
+    found = [WORD.findall(t or "") for t in texts()]
+    first = {}
+    for i, w in enumerate(found):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = {}
+    for i, w in enumerate(found):
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs, keep_text=False).collect()}
+    assert got == want
+    assert substrings.dedup(empty).count() == 0
+
+
+def test_packing_round_trip(docs, empty):
+    rows = packing.packed(docs).collect()
+    encoder = packing._tokenizer(None)
+    joined, used = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert len(joined.setdefault(r.doc_id, [])) == r.start
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        joined[r.doc_id] += r.ids
+    assert joined == {i: [*encoder.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts())}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.setdefault(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
+    assert packing.packed(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1024, 1025, 2047, 2048, 2049, 9000])
+def test_cuts_sum_up(n):
+    assert sum(packing.harmonic_cuts(n)) == n
+
+
+def test_quality_learns_and_scores_nulls(docs, empty):
+    good, bad = "a plain line of words.\nand one more of them.", "XX!! YY!! ZZ$$$\nQQ### RR%%% XX!!"
+    model = quality.LineField.fit([good, bad] * 20, [1, 0] * 20, steps=80)
+    low, high = model.score([bad])[0], model.score([good])[0]
+    assert low < 0.5 < high
+    out = quality.score(docs, model, "_q").collect()
+    assert len(out) == len(texts()) and all(0 <= r._q <= 1 for r in out)
+    assert quality.score(empty, model, "_q").count() == 0
+
+
+def test_jpeg_round_trip(docs, empty):
+    for raw in (b"", b"a", bytes(range(256)) * 3, "é中".encode() * 400):
+        payload = media.payload_of(raw)
+        assert media.payload_from(media.decode(media.encode(payload))) == payload
+    rows = {r.doc_id: r for r in media.media(docs).collect()}
+    for i, t in enumerate(texts()):
+        payload = media.payload_of((t or "").encode())
+        assert rows[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+    assert media.media(empty).count() == 0
+
+
+def test_jpeg_general_decoder_agrees():
+    stored = media.encode(media.payload_of(b"some text" * 50))
+    fast = media.decode(stored)["coefficients"]
+    even, media._even = media._even, lambda *a: None
+    try:
+        assert (media.decode(stored)["coefficients"] == fast).all()
+    finally:
+        media._even = even
+
+
+def test_mix_meets_targets(docs, empty):
+    rows = mixing.mix(docs).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r["size"]
+        s = by.setdefault(r.source, [0, 0, r.target, r.source_size])
+        s[0] += r.taken
+        s[1] += r["size"]
+    assert all(abs(t - goal) <= 1 and n == size for t, n, goal, size in by.values())
+    assert mixing.mix(empty).count() == 0
+
+
+def test_targets_reshare():
+    assert mixing.targets([10, 1000, 10], [1, 1, 1]) == [30.0, 960.0, 30.0]
+
+
+def test_licences(spark, empty):
+    df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, None), (3, "")], "doc_id bigint, text string")
+    assert sorted(tuple(r)[:3] for r in licences.scan(df).collect()) == [(1, 0, "MIT"), (1, 2, "MIT")]
+    assert licences.scan(empty).count() == 0
+
+
+def test_secrets(spark, empty):
+    key = hashlib.sha1(b"k").hexdigest()
+    df = spark.createDataFrame([(1, f'the token = "{key}" and more'), (2, None), (3, "")], "doc_id bigint, text string")
+    rows = {r.doc_id: r.scan for r in secrets.scan(df).collect()}
+    assert key not in rows[1].text and rows[1].n_secrets == 1 and rows[2].n_candidates == 0
+    assert secrets.scan(empty).count() == 0
+
+
+def test_url_rules(spark):
+    urls = ["https://A.example.com/en/7", "http://x.com/en/1", "no scheme", None, "http://b.example.net/de/8?x=1", "http://org/es/#t"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labelled = pages.select("url", F.lit(1).alias("blocked"))
+    rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, labelled).collect()}
+    assert rows[0] == ("a.example.com", "/en/7", "example.com/en/7", "allow")
+    assert rows[1][2:] == ("com/en/", "block") and rows[2][:3] == rows[3][:3] == ("", "", None)
+    assert rows[4][2:] == ("example.net/de/8", "block") and rows[5][1:] == ("/es/", "org/es/", "block")
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 16)).astype("f4")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = neighbours.search(df, df.where("vec_id % 50 = 0")).collect()
+    hits = 0
+    for q in range(0, 600, 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.9 * 120
+    assert neighbours.search(df.limit(0), df.limit(0)).count() == 0

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
-import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(found: list[str], seed: int = 0) -> np.ndarray:
-    known = {w: xxhash.xxh3_64_intdigest(w, seed) for w in set(found)}
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+#: Bytes hashed at a time; a longer text is cut at white space, a longer word is taken whole.
+CHUNK = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -18,6 +18,60 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _MIX ^ (h >> np.uint64(31))
 
 
+@cache
+def _values(seed: int) -> np.ndarray:
+    """A random 64-bit value of each byte; white space has none."""
+    out = np.random.default_rng([41, seed]).integers(0, 2**64, 256, np.uint64)
+    out[_BLANK] = 0
+    return out
+
+
+def _hash_together(raws: list[bytes], seed: int, lower: bool) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(raws), np.uint8)
+    if lower:
+        data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    inside = ~_BLANK[data]
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(data) else np.empty(0, int)
+    if not len(starts):
+        return [np.empty(0, np.uint64) for _ in raws]
+    ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    power = np.cumprod(np.full(int(place.max()) + 1, _MIX, np.uint64))
+    terms = _values(seed)[data[starts[0] :]] * power[place]
+    h = _finish(np.add.reduceat(terms, starts - starts[0]) + (ends - starts).astype(np.uint64) * _MIX)
+    bounds = np.cumsum([len(r) + 1 for r in raws])[:-1]
+    return np.split(h, np.searchsorted(starts, bounds))
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """A long text in pieces that end before white space."""
+    blank, out, at = np.flatnonzero(_BLANK[np.frombuffer(raw, np.uint8)]), [], 0
+    while at < len(raw):
+        i = np.searchsorted(blank, at + CHUNK)
+        end = int(blank[i]) if i < len(blank) else len(raw)
+        out.append(raw[at:end])
+        at = end
+    return out
+
+
+def word_hashes(texts: list[str], seed: int = 0, lower: bool = False) -> list[np.ndarray]:
+    """For each text the hashes of its words, in order; ``lower`` takes A-Z as a-z."""
+    out: list[np.ndarray] = []
+    waiting: list[bytes] = []
+    size = 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        if waiting and size + len(raw) > CHUNK:
+            out += _hash_together(waiting, seed, lower)
+            waiting, size = [], 0
+        if len(raw) > CHUNK:
+            out.append(np.concatenate([_hash_together([part], seed, lower)[0] for part in _parts(raw)]))
+        else:
+            waiting.append(raw)
+            size += len(raw)
+    return out + (_hash_together(waiting, seed, lower) if waiting else [])
+
+
 def rolled(hashed: np.ndarray, width: int) -> np.ndarray:
     """A hash of each window of ``width`` words."""
     n = len(hashed) - width + 1

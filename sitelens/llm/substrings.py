@@ -84,8 +84,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
 
     def seeds(batch):
         ids, out = [], []
-        for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-            m = np.unique(minimizers(word_hashes(_WORD.findall(text), 1), width, seed_width))
+        for doc_id, hashed in zip(batch.doc_id, word_hashes(batch.text.tolist(), 1), strict=True):
+            m = np.unique(minimizers(hashed, width, seed_width))
             out.append(_signed(m))
             ids.append(np.full(len(m), doc_id, np.int64))
         return pd.DataFrame({"seed": np.concatenate(out), "doc_id": np.concatenate(ids)})
@@ -96,11 +96,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
 
     def edges(batch):
         cols = [[], [], [], []]
-        for doc_id, text, of in zip(batch.doc_id, batch.text, batch.seeds, strict=True):
-            found = _WORD.findall(text)
-            h = word_hashes(found, 1)
+        texts = batch.text.tolist()
+        for doc_id, h, again, of in zip(batch.doc_id, word_hashes(texts, 1), word_hashes(texts, 2), batch.seeds, strict=True):
             at = np.flatnonzero(np.isin(_signed(minimizers(h, width, seed_width)), np.asarray(of)))
-            one, two = rolled(h, width), rolled(word_hashes(found, 2), width)
+            one, two = rolled(h, width), rolled(again, width)
             for col, v in zip(cols, (np.full(len(at), doc_id, np.int64), at, _signed(one)[at], _signed(two)[at]), strict=True):
                 col.append(v)
         return pd.DataFrame({k: np.concatenate(v) for k, v in zip(("doc_id", "start", "e1", "e2"), cols, strict=True)})

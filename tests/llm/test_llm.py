@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import jaccard_join, licences, media, mixing, neighbours, packing, quality, secrets, substrings, url_filter
+from sitelens.llm import hashing, jaccard_join, licences, media, mixing, neighbours, packing, quality, secrets, substrings, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, bucket string"
@@ -40,23 +40,57 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_jaccard_join(docs, empty):
+def linked(found, width=3, percent=90):
+    """Shingle sets and components by comparing every pair."""
     lower = {c: c + 32 for c in range(65, 91)}
     sets = []
-    for t in texts():
+    for t in found:
         w = WORD.findall((t or "").translate(lower))
-        sets.append({tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+        sets.append({tuple(w)} if 0 < len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)})
     label = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 90 * len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return {i: (len(s), label[i]) for i, s in enumerate(sets)}
+
+
+def test_jaccard_join(docs, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
-    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    assert got == linked(texts())
     assert jaccard_join.join(empty).count() == 0
 
 
+@pytest.mark.parametrize(("crowd", "block"), [(64, 2048), (2, 16)])
+def test_jaccard_join_of_a_crowd_of_near_copies(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    found = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(i % 9):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+        found.append(" ".join(words))
+    rng.shuffle(found)
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert got == linked(found)
+
+
+def test_word_hashes_cut_long_texts(monkeypatch):
+    found = ["one two  three", "", "ONE two", "a" * 40 + " b " * 30, " \t"]
+    whole = hashing.word_hashes(found, lower=True)
+    monkeypatch.setattr(hashing, "CHUNK", 16)
+    assert [h.tolist() for h in hashing.word_hashes(found, lower=True)] == [h.tolist() for h in whole]
+    assert [len(h) for h in whole] == [len(WORD.findall(t)) for t in found] and (whole[0][:2] == whole[2]).all()
+
+
 def test_substring_dedup(docs, empty):
     found = [WORD.findall(t or "") for t in texts()]
     first = {}

@@ -24,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the checkpoint folder that the cluster names.
 
-    Executors that are lost later cost no recomputation of what lies before.
+    Executors that are lost later cost no recomputation of what lies before, and shuffle files that
+    only served it are freed: Spark deletes them when the driver collects their handles.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    context._jvm.System.gc()
+    return done
 
 
 def shuffle_width(spark: SparkSession) -> int:

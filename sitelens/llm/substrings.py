@@ -22,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import WORD, cut, table
+from sitelens.llm.common import cut, table
 from sitelens.llm.hashing import rolled, word_hashes
 
 WIDTH, SEED_WIDTH = 13, 5
-_WORD = regex.compile(WORD)
+
+
+def split(text: str) -> list[bytes]:
+    """Words of a text; bytes part at exactly the six characters that are white space here."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def minimizers(hashed: np.ndarray, width: int = WIDTH, seed_width: int = SEED_WIDTH) -> np.ndarray:
@@ -74,45 +77,42 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def keys(batch):
-        found = [_WORD.findall(t) for t in batch.text]
-        return pd.DataFrame({"doc_id": batch.doc_id, "n_words": [len(w) for w in found], "key": [hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in found]})
-
-    long = cut(_mapped(texts.where("doc_id is not null"), keys, "doc_id bigint, n_words bigint, key binary").where(F.col("n_words") >= width))
-    firsts = long.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    copies = long.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id > first").select("doc_id").distinct()
-    alone = texts.where("doc_id is not null").join(firsts.select("doc_id").distinct(), "doc_id", "left_semi")
-
-    def seeds(batch):
-        ids, out = [], []
-        for doc_id, hashed in zip(batch.doc_id, word_hashes(batch.text.tolist(), 1), strict=True):
-            m = np.unique(minimizers(hashed, width, seed_width))
-            out.append(_signed(m))
-            ids.append(np.full(len(m), doc_id, np.int64))
-        return pd.DataFrame({"seed": np.concatenate(out), "doc_id": np.concatenate(ids)})
-
-    seeded = cut(_mapped(alone, seeds, "seed bigint, doc_id bigint"))
+        out = []
+        texts = batch.text.tolist()
+        for doc_id, text, hashed in zip(batch.doc_id, texts, word_hashes(texts, 1), strict=True):
+            if len(hashed) >= width:
+                key = hashlib.blake2b(b" ".join(split(text)), digest_size=16).digest()
+                out.append((doc_id, key, _signed(np.unique(minimizers(hashed, width, seed_width)))))
+        return pd.DataFrame(out, columns=["doc_id", "key", "seeds"])
+
+    # Arrays, not a row for each seed or edge, are what is written.
+    long = cut(_mapped(texts.where("doc_id is not null"), keys, "doc_id bigint, key binary, seeds array<bigint>"))
+    firsts = long.groupBy("key").agg(F.min("doc_id").alias("first"))
+    classed = cut(long.select("key", "doc_id").join(firsts, "key").select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy")))
+    copies = classed.where("copy").select("doc_id").distinct()
+    alone = classed.where("not copy").select("doc_id").distinct()
+    seeded = long.join(alone, "doc_id", "left_semi").select("doc_id", F.explode("seeds").alias("seed"))
     again = seeded.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
-    likely = seeded.join(again, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    likely = cut(seeded.join(again, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
 
     def edges(batch):
-        cols = [[], [], [], []]
+        out = []
         texts = batch.text.tolist()
-        for doc_id, h, again, of in zip(batch.doc_id, word_hashes(texts, 1), word_hashes(texts, 2), batch.seeds, strict=True):
+        for doc_id, h, other, of in zip(batch.doc_id, word_hashes(texts, 1), word_hashes(texts, 2), batch.seeds, strict=True):
             at = np.flatnonzero(np.isin(_signed(minimizers(h, width, seed_width)), np.asarray(of)))
-            one, two = rolled(h, width), rolled(again, width)
-            for col, v in zip(cols, (np.full(len(at), doc_id, np.int64), at, _signed(one)[at], _signed(two)[at]), strict=True):
-                col.append(v)
-        return pd.DataFrame({k: np.concatenate(v) for k, v in zip(("doc_id", "start", "e1", "e2"), cols, strict=True)})
+            out.append((doc_id, at.astype("i4"), _signed(rolled(h, width))[at], _signed(rolled(other, width))[at]))
+        return pd.DataFrame(out, columns=["doc_id", "start", "e1", "e2"])
 
-    edge = cut(_mapped(texts.join(likely, "doc_id"), edges, "doc_id bigint, start int, e1 bigint, e2 bigint"))
+    by_doc = cut(_mapped(texts.join(likely, "doc_id"), edges, "doc_id bigint, start array<int>, e1 array<bigint>, e2 array<bigint>"))
+    edge = by_doc.select("doc_id", F.inline(F.arrays_zip("start", "e1", "e2")))
     repeated = edge.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo")
     flagged = edge.join(repeated, ["e1", "e2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    marks = flagged.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full")
+    marks = cut(flagged.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full"))
 
     def remove(batch):
         out = []
         for doc_id, text, starts, copy in zip(batch.doc_id, batch.text, batch.starts, batch.copy_, strict=True):
-            found = _WORD.findall(text)
+            found = split(text)
             gone = [(0, len(found))] if copy and len(found) >= width else spans(np.asarray(starts if starts is not None else [], np.int64), width)
             gone = [(a, min(b, len(found))) for a, b in gone if a < len(found)]
             kept, at = [], 0
@@ -120,9 +120,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
                 kept += found[at:a]
                 at = b
             kept += found[at:]
-            text = " ".join(kept)
-            row = (doc_id, len(found), len(found) - len(kept), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), [x for ab in gone for x in ab])
-            out.append((*row, text) if keep_text else row)
+            raw = b" ".join(kept)
+            row = (doc_id, len(found), len(found) - len(kept), hashlib.sha256(raw).hexdigest(), [x for ab in gone for x in ab])
+            out.append((*row, raw.decode("utf-8", "surrogatepass")) if keep_text else row)
         names = ["_id", "n_words", "n_removed", "kept_sha256", "spans"] + ["text"] * keep_text
         return pd.DataFrame(out, columns=names)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import WORD, cut, table, words
 
-MOST, WEIGHTS, BUCKET_DOCS = 3, (1, 2, 3), 20_000
+MOST, WEIGHTS, BUCKET_DOCS = 3, (1, 2, 3), 2_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:

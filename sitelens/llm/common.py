@@ -21,20 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Frees shuffle files that nothing refers to: Spark deletes them when the driver collects their handles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the checkpoint folder that the cluster names.
 
-    Executors that are lost later cost no recomputation of what lies before, and shuffle files that
-    only served it are freed: Spark deletes them when the driver collects their handles.
+    Executors that are lost later cost no recomputation of what lies before. Shuffle files of
+    earlier cuts are freed first.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    done = df.checkpoint(eager=True)
-    context._jvm.System.gc()
-    return done
+    release(spark)
+    return df.checkpoint(eager=True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import cut, table
+from sitelens.llm.common import cut, release, table
 from sitelens.llm.hashing import rolled, word_hashes
 
 WIDTH, SEED_WIDTH = 13, 5
@@ -108,6 +108,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, seed_width: int = SEED_WIDTH, kee
     repeated = edge.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo")
     flagged = edge.join(repeated, ["e1", "e2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     marks = cut(flagged.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full"))
+    release(docs.sparkSession)
 
     def remove(batch):
         out = []

@@ -1,0 +1,72 @@
+"""Signals of raw pages as column expressions, and their roll-up by site.
+
+Markup is read by patterns rather than a tree: a tag's text ends at its own closing tag, text of
+dropped elements does not count, and every other tag is taken out without a separator.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sitelens.functions import text as T
+
+#: Elements whose content is no text of the page.
+DROPPED = ("script", "style", "noscript", "svg", "template", "iframe")
+LANG = r'(?i)<html[^>]*[ ]lang="([^"]*)"'
+H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
+HREF = r'(?i)<a[ ][^>]*href="([^"]*)"'
+IMAGE, ALT = r"(?i)(<img[ ][^>]*>)", r'(?i)[ ]alt="[^"]*[^" ][^"]*"'
+NOINDEX = r'(?i)<meta[^>]*name="robots"[^>]*noindex'
+BODY = r"(?is)<body[^>]*>(.*)</body>"
+BLANK = r"[ \t\r\n\f]+"
+
+
+def first_or_null(html: Column, pattern: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(html, pattern, 1)), F.lit(""))
+
+
+def without_tags(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]*>", "")
+
+
+def body_text(html: Column) -> Column:
+    text = F.regexp_replace(F.regexp_extract(html, BODY, 1), r"(?s)<!--.*?-->", "")
+    for tag in DROPPED:
+        text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
+    return F.trim(F.regexp_replace(without_tags(text), BLANK, " "))
+
+
+def headings(html: Column) -> Column:
+    """Non-empty texts of the first-level headings."""
+    found = F.regexp_extract_all(html, F.lit(H1), F.lit(1))
+    texts = F.transform(found, lambda h: F.trim(F.regexp_replace(without_tags(h), BLANK, " ")))
+    return F.filter(texts, lambda h: h != "")
+
+
+def links(html: Column) -> Column:
+    """Targets of anchors, without fragments of the page and other schemes."""
+    found = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.filter(found, lambda u: ~u.rlike(r"(?i)^(#|mailto:|tel:|javascript:)") & (u != ""))
+
+
+def signals(pages: DataFrame) -> DataFrame:
+    """A row of signals for each page."""
+    html = F.coalesce("html", F.lit(""))
+    found = links(html)
+    internal = F.filter(found, lambda u: u.startswith("/") & ~u.startswith("//"))
+    images = F.regexp_extract_all(html, F.lit(IMAGE), F.lit(1))
+    words = pages.withColumn("_body", body_text(html))
+    return words.select(
+        "page_id", first_or_null(html, LANG).alias("lang"), F.size(headings(html)).alias("h1_count"), F.try_element_at(headings(html), F.lit(1)).alias("h1"),
+        F.size(T.tokens(F.col("_body"))).alias("word_count"),
+        F.round(F.char_length("_body") / F.greatest(F.char_length(html), F.lit(1)), 9).alias("text_ratio"),
+        F.size(found).alias("links"), F.size(F.array_distinct(internal)).alias("internal_links"),
+        F.size(images).alias("images"), F.size(F.filter(images, lambda i: i.rlike(ALT))).alias("images_with_alt"), html.rlike(NOINDEX).alias("noindex"),
+    )
+
+
+def thin_pages(signals_with_site: DataFrame, least: int = 300) -> DataFrame:
+    """Pages of each site, how many have fewer than ``least`` words, and the mean word count."""
+    thin = F.sum((F.col("word_count") < least).cast("bigint"))
+    return signals_with_site.groupBy("site").agg(F.count("*").alias("pages"), thin.alias("thin"), F.round(F.avg("word_count"), 6).alias("mean_words"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.operators import pages as P
 from sitelens.operators import scoring as S
+from sitelens.streaming.limits import stream_rate_limit
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOK = r"list_transform(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9''’-]*'), lambda w: regexp_replace(w, '[''’]s$', ''))"
@@ -117,6 +119,40 @@ def _url_sample(spark, d):
     return turn.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("turn", "first_seen"))).where("place <= 25").select("site", "page_id", "place")
 
 
+def _strip(html: str) -> str:
+    return f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+
+
+def _flat(text: str) -> str:
+    return f"trim(regexp_replace({text}, '{P.BLANK}', ' ', 'g'))"
+
+
+_BODY_SQL = f"regexp_replace(regexp_extract(html, '{P.BODY}', 1), '(?s)<!--.*?-->', '', 'g')"
+for _tag in P.DROPPED:
+    _BODY_SQL = f"regexp_replace({_BODY_SQL}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
+_BODY_SQL = _flat(_strip(_BODY_SQL))
+_SIGNALS_SQL = f"""SELECT page_id, site, nullif(trim(regexp_extract(html, {_q(P.LANG)}, 1)), '') AS lang, len(h)::INT AS h1_count, h[1] AS h1, len({_TOK.format("body")})::INT AS word_count,
+ round(length(body) / greatest(length(html), 1), 9) AS text_ratio, len(l)::INT AS links, len(list_distinct(list_filter(l, lambda u: u LIKE '/%' AND NOT u LIKE '//%')))::INT AS internal_links,
+ len(i)::INT AS images, len(list_filter(i, lambda x: regexp_matches(x, {_q(P.ALT)})))::INT AS images_with_alt, regexp_matches(html, {_q(P.NOINDEX)}) AS noindex
+ FROM (SELECT page_id, {_REG_SQL} AS site, html, {_BODY_SQL} AS body, list_filter(list_transform(regexp_extract_all(html, {_q(P.H1)}, 1), lambda x: {_flat(_strip("x"))}), lambda x: x <> '') AS h,
+ list_filter(regexp_extract_all(html, {_q(P.HREF)}, 1), lambda u: u <> '' AND NOT regexp_matches(u, '(?i)^(#|mailto:|tel:|javascript:)')) AS l, regexp_extract_all(html, {_q(P.IMAGE)}, 1) AS i FROM pages)"""
+
+
+def _thin(spark, d):
+    p = _pages(spark, d).select("page_id", "site", "html")
+    return P.thin_pages(P.signals(p).join(p.select("page_id", "site"), "page_id"))
+
+
+def _recent(spark, d):
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return _read(spark, d, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("place")).where("place <= 5")
+
+
+def _coverage(spark, d):
+    rolled = findings(spark, d).rollup("pillar", "group").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
+    return rolled.select("pillar", "group", "n", "mean_score")
+
+
 def _sentences():
     return T.sentences(F.col("text"))
 
@@ -146,5 +182,11 @@ REGISTRY = {
     "overall_scores": (lambda s, d: S.overall_scores(S.pillar_scores(S.group_scores(findings(s, d)))), f"{_WITH} {_OVERALL_SQL}"),
     "rank_findings": (lambda s, d: _rounded(S.rank_findings(findings(s, d)).select("audit_id", "check_id", "severity", "recoverable", "rank"), "recoverable"), f"{_WITH}, r AS (SELECT *, CASE status WHEN 'fail' THEN CASE WHEN check_id = 'seo.index.https' THEN -1 ELSE 0 END WHEN 'warn' THEN 1 ELSE 2 END AS severity, (1 - score) * weight * confidence * ({_GW}) * ({_PW}) AS recoverable FROM findings WHERE status IN ('fail', 'warn', 'opportunity')) SELECT audit_id, check_id, severity, round(recoverable, 9) AS recoverable, (row_number() OVER (PARTITION BY audit_id ORDER BY severity, recoverable DESC, check_ord))::INT AS rank FROM r"),
     "rate_limit_events": (_rate_limit, "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS hits, least(count(*), 3) AS allowed FROM events GROUP BY ALL"),
+    "page_body_text": (lambda s, d: _select(s, d, "pages", "page_id", body=P.body_text(F.col("html"))), f"SELECT page_id, {_BODY_SQL} AS body FROM pages"),
+    "page_signals": (lambda s, d: P.signals(_read(s, d, "pages")), f"SELECT * EXCLUDE (site) FROM ({_SIGNALS_SQL})"),
+    "site_thin_pages": (_thin, f"SELECT site, count(*) AS pages, sum((word_count < 300)::INT)::BIGINT AS thin, round(avg(word_count), 6) AS mean_words FROM ({_SIGNALS_SQL}) GROUP BY site"),
+    "recent_by_user": (_recent, "SELECT user_id, event_id, event_type, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 5"),
+    "coverage_rollup": (_coverage, f"{_WITH} SELECT pillar, \"group\", count(*) AS n, round(avg(score), 9) AS mean_score FROM findings GROUP BY ROLLUP (pillar, \"group\")"),
+    "stream_rate_limit": (stream_rate_limit, "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS hits, least(count(*), 3) AS allowed FROM events GROUP BY ALL"),
     "latest_stage": (_latest, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL"),
 }

@@ -4,10 +4,9 @@ Documents with equal shingle sets are one class, named by its smallest doc_id. A
 the first ``n - ceil(t n) + 1`` shingles of an order that is by hash, but puts shingles that are
 frequent among first prefixes last. Classes with equal prefix and size are one group; group
 pairs that share a prefix shingle and pass the size bound are expanded to class pairs and
-verified on whole sets. Only pairs that can still change the components are verified: first
-each shingle's groups against one or two of them, then those pairs whose components differ.
-A shingle in the prefixes of over ``CROWD`` classes has its classes compared in blocks of
-``BLOCK``, by counts that bound what two sets share; pairs under the bound never leave the task.
+verified on whole sets, every one of them. A shingle in the prefixes of over ``CROWD`` classes
+has its classes compared on whole sets in blocks of ``BLOCK``; a block gives each class's number of
+links and what it is tied to, so that a crowd's pairs never leave the task.
 
 Nulls and texts without words have no shingles and are linked with nothing; their component is
 their own doc_id. doc_id is a key: rows with one id are one node. A row without id takes
@@ -55,6 +54,24 @@ def enough(most: np.ndarray, n, m, percent: int) -> np.ndarray:
     return 100 * most >= percent * (n + m - most)
 
 
+def overlaps(sets: list[np.ndarray]):
+    """Of one set and an array of others, by their places, how much each of them shares with it."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids, mark = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(flat) + 1, bool)
+
+    def shared(i: int, j: np.ndarray) -> np.ndarray:
+        if not len(j) or not sizes[i]:
+            return np.zeros(len(j), np.int64)
+        mark[ids[i]] = True
+        total = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[k] for k in j])])])
+        mark[ids[i]] = False
+        ends = np.cumsum(sizes[j])
+        return total[ends] - total[ends - sizes[j]]
+
+    return shared
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -81,7 +98,7 @@ def frequent(docs: DataFrame, percent: int, width: int) -> np.ndarray:
 
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links of the class's verified pairs."""
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links (other classes that are alike enough)."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent(docs, percent, width))
 
@@ -108,18 +125,9 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     member = cut(classes.select("rep", "bucket", "sig").join(groups.select("bucket", "gid", "n"), "bucket").select("rep", "gid", "n", "sig"))
     tokens = groups.select("gid", "n", "members", F.explode("prefix").alias("token"))
     # Shingles in one group's prefix alone link nothing, unless the group is itself a crowd.
-    pivot = F.min_by(F.struct("gid", "n"), F.xxhash64("token", "gid"))
-    shared = tokens.groupBy("token").agg(
-        F.min("gid").alias("low"), F.max("gid").alias("high"), F.min_by("n", "gid").alias("low_n"), pivot.alias("pivot"), F.sum("members").alias("crowd")
-    )
-    tokens = cut(tokens.join(shared.where((F.col("low") < F.col("high")) | (F.col("crowd") > CROWD)).drop("high"), "token"))
-
-    def star(rows: DataFrame, centre: str, size: str) -> DataFrame:
-        alike = 100 * F.least("n", size) >= percent * F.greatest("n", size)
-        return rows.where(alike & (F.col("gid") != F.col(centre))).select(F.least(centre, "gid").alias("a"), F.greatest(centre, "gid").alias("b"))
-
-    first = star(tokens, "low", "low_n").union(star(tokens.where(F.col("crowd") > CROWD), "pivot.gid", "pivot.n"))
-    inside = member.where("rep > gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    shared = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.sum("members").alias("crowd"))
+    tokens = cut(tokens.join(shared.where((F.col("low") < F.col("high")) | (F.col("crowd") > CROWD)).select("token", "crowd"), "token"))
+    crowds = cut(tokens.where(F.col("crowd") > CROWD).groupBy("gid").agg(F.collect_list("token").alias("crowds")))
 
     @F.pandas_udf("boolean")
     def may_link(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
@@ -132,66 +140,73 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         both = left.join(member.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         return both.where(may_link("na", "sa", "nb", "sb")).select("a", "b")
 
-    first = cut(first.union(inside).distinct())
-
     def whole(batch):
         return pd.DataFrame({"_id": batch._id, "set": shingle_sets(batch.text.tolist(), width)})
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        again = docs.where("doc_id is not null").select("doc_id", "text").join(needed.distinct(), "doc_id", "left_semi")
+        return cut(_sketch(again, whole, "_id string, set array<bigint>").select(F.col("_id").cast("bigint").alias("rep"), "set").dropDuplicates(["rep"]))
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are alike enough."""
         pairs = cut(possible(pairs))
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        again = docs.where("doc_id is not null").select("doc_id", "text").join(needed, "doc_id", "left_semi")
-        sets = cut(_sketch(again, whole, "_id string, set array<bigint>").select(F.col("_id").cast("bigint").alias("rep"), "set").dropDuplicates(["rep"]))
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
         both = left.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
         meet = F.size(F.array_intersect("x", "y"))
         return both.where(100 * meet >= percent * (F.size("x") + F.size("y") - meet)).select("a", "b")
 
-    links = cut(verify(first))
-    label = components(links)
-    at = cut(member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    span = at.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    known = tokens.select("gid", "n", "token", "crowd").join(span, "gid")
-    open_tokens = known.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo < _hi").select("token")
-    known = cut(known.join(open_tokens, "token"))
+    calm = tokens.where(F.col("crowd") <= CROWD)
+    x, y = calm.alias("x"), calm.alias("y")
+    size = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & size)
+    pairs = pairs.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    # Pairs that share a crowded shingle are compared there.
+    pairs = pairs.join(crowds.select(F.col("gid").alias("g"), F.col("crowds").alias("cg")), "g", "left").join(crowds.select(F.col("gid").alias("h"), F.col("crowds").alias("ch")), "h", "left")
+    pairs = pairs.where(~F.coalesce(F.arrays_overlap("cg", "ch"), F.lit(False))).select("g", "h")
+    inside = groups.where("members > 1").join(crowds, "gid", "left_anti").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    left, right = member.select(F.col("gid").alias("g"), F.col("rep").alias("a")), member.select(F.col("gid").alias("h"), F.col("rep").alias("b"))
+    pairs = pairs.union(inside).join(left, "g").join(right, "h").where("g <> h or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = cut(verify(pairs))
+    count = links.select(F.col("a").alias("rep")).union(links.select("b")).select("rep", F.lit(1).cast("bigint").alias("links"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks, or inside one, whose components differ and whose counts leave room."""
+        """Links of each class between two blocks, or inside one, and the class that stands for those it is tied to here.
+
+        A pair is compared at the smallest crowded shingle that both prefixes have.
+        """
         frame = frame.sort_values("n", kind="stable")
-        sig, n, rep = stacked(frame.sig), frame.n.to_numpy(), frame.rep.to_numpy()
-        component, block = frame.component.to_numpy(), frame.block.to_numpy()
+        n, rep, block, token = frame.n.to_numpy(), frame.rep.to_numpy(), frame.block.to_numpy(), frame.token.iloc[0]
         one = (frame.low_block == frame.high_block).all()
+        earlier = overlaps([np.asarray(c)[np.asarray(c) < token] for c in frame.crowds])
+        meets = overlaps(frame.set.tolist())
         ends = np.searchsorted(percent * n, 100 * n, side="right")
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found, root = np.zeros(len(frame), np.int64), np.arange(len(frame))
         for i in range(len(frame)):
             j = np.arange(i + 1, ends[i])
-            j = j[(component[j] != component[i]) & (one | (block[j] != block[i]))]
+            j = j[one | (block[j] != block[i])]
+            j = j[earlier(i, j) == 0]
+            j = j[enough(meets(i, j), n[i], n[j], percent)]
             if len(j):
-                j = j[enough(np.minimum(sig[j], sig[i]).sum(1, dtype=np.int64), n[i], n[j], percent)]
-                a.append(np.minimum(rep[i], rep[j]))
-                b.append(np.maximum(rep[i], rep[j]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    crowded = known.where(F.col("crowd") > CROWD).select("token", "gid", F.ceil(F.col("crowd") / BLOCK).cast("int").alias("blocks")).join(at, "gid")
-    dealt = crowded.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), "block", "rep", "n", "component", "sig")
-    near = dealt.groupBy("token", "low_block", "high_block").applyInPandas(compare, "a bigint, b bigint")
-    calm = known.where(F.col("crowd") <= CROWD)
-    x, y = calm.alias("x"), calm.alias("y")
-    differ = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
-    size = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & differ & size)
-    pairs = pairs.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).union(span.join(groups.where(F.col("members") <= CROWD).select("gid"), "gid", "left_semi").where("lo < hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct()
-    left = at.select(F.col("gid").alias("g"), F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = at.select(F.col("gid").alias("h"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-    open_pairs = pairs.join(left, "g").join(right, "h").where("ca <> cb and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(near).distinct()
-    open_pairs = cut(open_pairs.join(first, ["a", "b"], "left_anti"))
-    more = links.limit(0) if open_pairs.isEmpty() else cut(verify(open_pairs))
-    if not more.isEmpty():
-        links = links.union(more)
-        label = components(links)
-    count = links.select(F.col("a").alias("n")).union(links.select(F.col("b").alias("n"))).groupBy("n").count().select(F.col("n").alias("rep"), F.col("count").alias("n_links"))
+                found[i] += len(j)
+                found[j] += 1
+                tied = np.unique(root[np.append(j, i)])
+                if len(tied) > 1:
+                    root[np.isin(root, tied)] = tied[0]
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"rep": rep[at], "other": rep[root[at]], "links": found[at]})
+
+    if not crowds.isEmpty():
+        crowded = member.join(crowds, "gid").select("gid", "rep", "n", "crowds")
+        crowded = cut(crowded.join(sets_of(crowded.select(F.col("rep").alias("doc_id"))), "rep"))
+        dealt = tokens.where(F.col("crowd") > CROWD).select("token", "gid", F.ceil(F.col("crowd") / BLOCK).cast("int").alias("blocks")).join(crowded, "gid")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("token", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), "block", "rep", "n", "crowds", "set")
+        near = cut(dealt.groupBy("token", "low_block", "high_block").applyInPandas(compare, "rep bigint, other bigint, links bigint"))
+        links = links.union(near.where("rep <> other").select(F.least("rep", "other"), F.greatest("rep", "other")))
+        count = count.union(near.select("rep", "links"))
+    label = components(links)
+    count = count.groupBy("rep").agg(F.sum("links").alias("n_links"))
     named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
     out = slim.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -83,6 +83,27 @@ def test_jaccard_join_of_a_crowd_of_near_copies(spark, monkeypatch, crowd, block
     assert got == linked(found)
 
 
+@pytest.mark.parametrize(("crowd", "block"), [(64, 2048), (2, 16), (200, 2048)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(6)
+    found = [f"{' '.join(f'w{i}' for i in range(150))} end{k}" for k in range(3)] + ["", None, "one two"]
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100 + g)]
+        for i in range(35):
+            words = list(base)
+            for _ in range(i % 4):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+            found.append(" ".join(words))
+    sets = [frozenset(zip(*(WORD.findall(t or "")[k:] for k in range(3)), strict=False)) or frozenset([t] if t else []) for t in found]
+    classes = set(sets)
+    want = {i: sum(100 * len(s & o) >= 90 * len(s | o) for o in classes if s and o and o != s) for i, s in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_join.join(df).collect()} == want
+    assert [want[i] for i in range(6)] == [2, 2, 2, 0, 0, 0]
+
+
 def test_word_hashes_cut_long_texts(monkeypatch):
     found = ["one two  three", "", "ONE two", "a" * 40 + " b " * 30, " \t"]
     whole = hashing.word_hashes(found, lower=True)

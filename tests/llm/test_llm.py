@@ -202,6 +202,22 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_in_windows(spark):
+    full = {name: (licences.Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text() for name in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "Apache-2.0.header")}
+    found = [
+        "Released under the MIT License. Copyright 2024 Jane Doe, all rights reserved worldwide.",
+        "one\nThis work is licensed under the GNU General\nPublic License, version 3.\ntwo",
+        *(f"some words before it\n{t}\nand some after" for t in full.values()),
+        "Plain words about a public license and nothing else.",
+    ]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id bigint, text string")
+    got = {}
+    for r in licences.scan(df).collect():
+        got.setdefault(r.doc_id, set()).add((r.line, r.licence))
+    assert got.pop(0) == {(1, "MIT")} and got.pop(1) >= {(2, "GPL-3.0")}
+    assert {i: {name for _, name in rows} for i, rows in got.items()} == {i: {name.removesuffix(".header")} for i, name in enumerate(full, 2)}
+
+
 def test_secrets(spark, empty):
     key = hashlib.sha1(b"k").hexdigest()
     df = spark.createDataFrame([(1, f'the token = "{key}" and more'), (2, None), (3, "")], "doc_id bigint, text string")

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space is exactly these characters; all else belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of one bitmap, as Spark's bitmap functions make them.
+_BITS_A_ROW = 8 * 4096
 
 
 def words(text: Column) -> Column:
@@ -21,25 +27,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Frees shuffle files that nothing refers to: Spark deletes them when the driver collects their handles."""
-    spark.sparkContext._jvm.System.gc()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where all of Spark is one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the checkpoint folder that the cluster names.
+@contextmanager
+def finished_shuffles_go(spark: SparkSession):
+    """Spark deletes the shuffle files of the actions inside as soon as each of them has ended."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
 
-    Executors that are lost later cost no recomputation of what lies before. Shuffle files of
-    earlier cuts are freed first.
+
+class Scratch:
+    """Tables written in the shared folder to cut lineage, and deleted when nothing needs them any more.
+
+    Executors that are lost later cost no recomputation of what lies before a cut.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.folders = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.folders)}"
+        with finished_shuffles_go(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.folders[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders[id(df)][0])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sampled(rows: DataFrame, key: Column, bound: int) -> DataFrame:
+    """At most ``bound`` rows, by a hash of ``key``, which should tell rows apart.
+
+    Rows are first let through by a threshold on the hash that fits their number, so that about
+    ``bound`` rows in all, not so many of each partition, are sorted and reach the driver.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    release(spark)
-    return df.checkpoint(eager=True)
+    n = rows.count()
+    share = min(1.0, (bound + 6 * bound**0.5) / max(n, 1))
+    order = F.xxhash64(key)
+    passing = rows.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return passing.orderBy(order, key).limit(bound)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Bitmap:
+    """A set of hashes in a fixed number of bits: it may hold more than was put in, never less."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    @classmethod
+    def collect(cls, hashes: DataFrame, size: int) -> Bitmap:
+        """From a frame of one bigint column; ``size`` bits, a power of two of at least 32,768, reach the driver."""
+        bit = hashes.select((F.col(hashes.columns[0]).bitwiseAND(F.lit(size - 1)) + 1).alias("bit"))
+        made = bit.groupBy(F.bitmap_bucket_number("bit").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        out = np.zeros(size // 8, np.uint8)
+        with finished_shuffles_go(hashes.sparkSession):
+            for r in made.collect():
+                # Spark counts rows and numbers from 1.
+                at = (r.row - 1) * (_BITS_A_ROW // 8)
+                out[at : at + _BITS_A_ROW // 8] = np.frombuffer(r.bits, np.uint8)[: len(out) - at]
+        return cls(out)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes.view(np.uint64) & self.mask
+        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1

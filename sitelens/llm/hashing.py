@@ -9,6 +9,7 @@ import numpy as np
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time; a longer text is cut at white space, a longer word is taken whole.
 CHUNK = 1 << 20
+_PLACES = 64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -21,9 +22,23 @@ def _finish(h: np.ndarray) -> np.ndarray:
 @cache
 def _values(seed: int) -> np.ndarray:
     """A random 64-bit value of each byte; white space has none."""
-    out = np.random.default_rng([41, seed]).integers(0, 2**64, 256, np.uint64)
-    out[_BLANK] = 0
-    return out
+    return np.random.default_rng([41, seed]).integers(0, 2**64, 256, np.uint64)
+
+
+def _terms(data: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A mixed value of each byte at its place in the word.
+
+    The mix is not linear in either, so that no exchange of bytes between places keeps the sum,
+    as it would with powers of one base.
+    """
+    return _finish(_values(seed)[data] ^ (place.astype(np.uint64) + np.uint64(1)) * _MIX)
+
+
+@cache
+def _table(seed: int) -> np.ndarray:
+    """The terms of the first places."""
+    place, byte = np.divmod(np.arange(_PLACES * 256), 256)
+    return _terms(byte, place, seed)
 
 
 def _hash_together(raws: list[bytes], seed: int, lower: bool) -> list[np.ndarray]:
@@ -36,8 +51,12 @@ def _hash_together(raws: list[bytes], seed: int, lower: bool) -> list[np.ndarray
         return [np.empty(0, np.uint64) for _ in raws]
     ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    power = np.cumprod(np.full(int(place.max()) + 1, _MIX, np.uint64))
-    terms = _values(seed)[data[starts[0] :]] * power[place]
+    data, inside = data[starts[0] :], inside[starts[0] :]
+    terms = _table(seed)[np.minimum(place, _PLACES - 1) << 8 | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        terms[far] = _terms(data[far], place[far], seed)
+    terms[~inside] = 0
     h = _finish(np.add.reduceat(terms, starts - starts[0]) + (ends - starts).astype(np.uint64) * _MIX)
     bounds = np.cumsum([len(r) + 1 for r in raws])[:-1]
     return np.split(h, np.searchsorted(starts, bounds))

@@ -9,8 +9,9 @@ has its classes compared on whole sets in blocks of ``BLOCK``; a block gives eac
 links and what it is tied to, so that a crowd's pairs never leave the task.
 
 Nulls and texts without words have no shingles and are linked with nothing; their component is
-their own doc_id. doc_id is a key: rows with one id are one node. A row without id takes
-part in no link and has a null component. An empty table gives no rows; other columns are ignored.
+their own doc_id. Rows with one id and different texts are compared each for itself. A row without
+id takes part in no link and has a null component. An empty table gives no rows; other columns are
+ignored. Word and shingle hashes have 64 mixed bits, so a false link takes a tenth of a set to collide.
 """
 
 from __future__ import annotations
@@ -20,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import cut, table
+from sitelens.llm.common import Scratch, finished_shuffles_go, shuffle_width, table
 from sitelens.llm.components import components
 from sitelens.llm.hashing import rolled, word_hashes
 
 PERCENT, WIDTH = 90, 3
 #: A shingle is frequent if over one in so many documents have it in the prefix, and over LEAST do.
 ONE_IN, LEAST = 4000, 32
-BUCKETS, CROWD, BLOCK = 256, 64, 2048
+BUCKETS, CROWD, BLOCK, CELLS = 256, 64, 2048, 1 << 20
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -72,6 +73,11 @@ def overlaps(sets: list[np.ndarray]):
     return shared
 
 
+def key_of(s: np.ndarray) -> bytes | None:
+    """Names a set; an empty one has no name."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -81,43 +87,78 @@ def _sketch(docs: DataFrame, make, schema: str) -> DataFrame:
         for batch in batches:
             yield make(batch)
 
-    source = docs.select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select(F.col("doc_id").cast("string").alias("_id"), text.alias("text"), text_hash().alias("hash"))
     return source.mapInPandas(run, schema)
 
 
+def text_hash():
+    """Tells rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def frequent(docs: DataFrame, percent: int, width: int) -> np.ndarray:
-    """Hashes that stand in many first prefixes. Fewer than ONE_IN times the mean prefix length."""
+    """Cells of hashes that stand in many first prefixes, out of ``CELLS``: counts are summed by cell, so their size is fixed."""
+    chunk = CELLS >> 6
 
-    def make(batch):
-        sets = {s[: prefix_length(len(s), percent)].tobytes() for s in shingle_sets(batch.text.tolist(), width)}
-        return pd.DataFrame({"h": np.concatenate([np.frombuffer(s, np.int64) for s in sets] or [np.empty(0, np.int64)])})
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            firsts = {s[: prefix_length(len(s), percent)].tobytes() for s in shingle_sets(batch.text.tolist(), width)}
+            total += np.bincount(np.frombuffer(b"".join(firsts), np.int64) & (CELLS - 1), minlength=CELLS)
+        for k, part in enumerate(total.reshape(-1, chunk)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pd.DataFrame({"chunk": [k], "cells": [at.astype("<u4").tobytes()], "counts": [part[at].astype("<u4").tobytes()]})
 
     least = max(LEAST, docs.count() // ONE_IN)
-    rows = _sketch(docs, make, "h bigint").groupBy("h").count().where(F.col("count") > least).select("h").collect()
-    return np.array(sorted(r.h for r in rows), np.int64)
+
+    def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(batch.chunk, batch.cells, batch.counts, strict=True):
+                total.setdefault(k, np.zeros(chunk, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4")
+        for k, part in total.items():
+            yield pd.DataFrame({"cell": np.flatnonzero(part > least) + k * chunk})
+
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "chunk int, cells binary, counts binary")
+    with finished_shuffles_go(docs.sparkSession):
+        rows = sums.repartition(min(64, shuffle_width(docs.sparkSession)), "chunk").mapInPandas(often, "cell bigint").collect()
+    out = np.zeros(CELLS, bool)
+    out[[r.cell for r in rows]] = True
+    return out
 
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links (other classes that are alike enough)."""
+    """A row for each document.
+
+    doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links (other classes
+    that are alike enough); text_hash and group, the component as such, null for rows that are never linked.
+    """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
+    cut = scratch.cut
     hot = spark.sparkContext.broadcast(frequent(docs, percent, width))
 
     def make(batch):
         out = []
-        for doc_id, s in zip(batch._id, shingle_sets(batch.text.tolist(), width), strict=True):
+        for doc_id, h, s in zip(batch._id, batch.hash, shingle_sets(batch.text.tolist(), width), strict=True):
             if not len(s):
-                out.append((doc_id, 0, None, None, None))
+                out.append((doc_id, h, 0, None, None, None))
                 continue
-            late = np.isin(s, hot.value)
+            late = hot.value[s & (CELLS - 1)]
             first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
-            out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first, counts(s)))
-        return pd.DataFrame(out, columns=["_id", "n", "key", "prefix", "sig"])
+            out.append((doc_id, h, len(s), key_of(s), first, counts(s)))
+        return pd.DataFrame(out, columns=["_id", "text_hash", "n", "key", "prefix", "sig"])
 
-    slim = _sketch(docs, make, "_id string, n bigint, key binary, prefix array<bigint>, sig binary")
-    slim = cut(slim.select(F.col("_id").cast("bigint").alias("doc_id"), "n", "key", "prefix", "sig"))
+    slim = _sketch(docs, make, "_id string, text_hash bigint, n bigint, key binary, prefix array<bigint>, sig binary")
+    slim = cut(slim.select(F.col("_id").cast("bigint").alias("doc_id"), "text_hash", "n", "key", "prefix", "sig"))
     keyed = slim.where("key is not null and doc_id is not null")
-    named = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = keyed.join(named, "key").where("doc_id = rep").select("rep", "n", "key", "prefix", "sig").dropDuplicates(["rep", "key"])
+    named = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
+    # A class is known by its smallest doc_id; of several classes with one smallest doc_id, all but one by a hash.
+    turn = F.row_number().over(Window.partitionBy("first").orderBy("key"))
+    named = cut(named.withColumn("rep", F.when(turn == 1, F.col("first")).otherwise(F.xxhash64("first", "key"))))
+    classes = keyed.join(named, "key").where("doc_id = first").select("rep", "n", "key", "prefix", "sig").dropDuplicates(["rep"])
     grouped = F.xxhash64("prefix", "n")
     classes = cut(classes.withColumn("bucket", grouped))
     groups = classes.groupBy("bucket").agg(F.min("rep").alias("gid"), F.first("n").alias("n"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
@@ -141,16 +182,18 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         return both.where(may_link("na", "sa", "nb", "sb")).select("a", "b")
 
     def whole(batch):
-        return pd.DataFrame({"_id": batch._id, "set": shingle_sets(batch.text.tolist(), width)})
+        sets = shingle_sets(batch.text.tolist(), width)
+        return pd.DataFrame({"key": [key_of(s) for s in sets], "set": sets})
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        again = docs.where("doc_id is not null").select("doc_id", "text").join(needed.distinct(), "doc_id", "left_semi")
-        return cut(_sketch(again, whole, "_id string, set array<bigint>").select(F.col("_id").cast("bigint").alias("rep"), "set").dropDuplicates(["rep"]))
+        known = named.join(needed.distinct(), "rep")
+        again = docs.where("doc_id is not null").select("doc_id", "text").join(known.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return cut(_sketch(again, whole, "key binary, set array<bigint>").join(known.select("key", "rep"), "key").select("rep", "set").dropDuplicates(["rep"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are alike enough."""
         pairs = cut(possible(pairs))
-        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+        sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
         left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
         both = left.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
         meet = F.size(F.array_intersect("x", "y"))
@@ -198,20 +241,23 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
 
     if not crowds.isEmpty():
         crowded = member.join(crowds, "gid").select("gid", "rep", "n", "crowds")
-        crowded = cut(crowded.join(sets_of(crowded.select(F.col("rep").alias("doc_id"))), "rep"))
+        crowded = cut(crowded.join(sets_of(crowded.select("rep")), "rep"))
         dealt = tokens.where(F.col("crowd") > CROWD).select("token", "gid", F.ceil(F.col("crowd") / BLOCK).cast("int").alias("blocks")).join(crowded, "gid")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("token", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), "block", "rep", "n", "crowds", "set")
         near = cut(dealt.groupBy("token", "low_block", "high_block").applyInPandas(compare, "rep bigint, other bigint, links bigint"))
         links = links.union(near.where("rep <> other").select(F.least("rep", "other"), F.greatest("rep", "other")))
         count = count.union(near.select("rep", "links"))
-    label = components(links)
+    label = components(links, scratch)
     count = count.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
-    out = slim.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    smallest = known.groupBy("group").agg(F.min("first").alias("smallest"))
+    known = known.join(smallest, "group").select("key", "first", "group", "smallest", "n_links")
+    out = slim.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key").join(known, "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("group"))
+    return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class_id"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash", group.alias("group"))
 
 
 def op6_jaccard_join(spark, sf_dir):
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("text_hash", "group")

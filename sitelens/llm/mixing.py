@@ -7,19 +7,22 @@ met exactly; one document per source is cut there. Source s is scheduled with de
 ``1 + slope * (2 t - 1)`` over training time t; inverting the integral at a document's
 place in its source's taken words gives its position, and the result is range-sorted by it.
 
-Sources are a dimension that the driver holds (one small row each). A null source is one
-source, last. Null, empty and blank texts have size 0 and take nothing. Rows with equal ids
-count each for itself and are told apart by text. An empty table gives no rows.
+Sources are a dimension that the driver holds (one small row each); up to ``SOURCES`` of them are
+joined by broadcast. A null source is one source, last. Null, empty and blank texts have size 0 and
+take nothing. Every row counts for itself, rows that are equal in all columns included. An empty
+table gives no rows. Of other columns any name may occur.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import WORD, cut, table, words
+from sitelens.llm.common import SPACE, WORD, Scratch, table
 
-MOST, WEIGHTS, BUCKET_DOCS = 3, (1, 2, 3), 2_000
+MOST, WEIGHTS, BUCKET_DOCS, SOURCES = 3, (1, 2, 3), 2_000, 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -49,22 +52,31 @@ def invert(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
 
 
+def _place() -> Column:
+    """Order of a source's documents, the same in every run."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "text", F.col("source").cast("string"))
+
+
+def _name(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
 def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """All columns of ``docs`` are not needed: gives doc_id, source, size, source_size, target, taken, copies, extra, position."""
     spark = docs.sparkSession
-    sized = cut(
+    sized = Scratch(spark).cut(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-            F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place"),
+            _place().alias("place"),
         )
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.n for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
     rows = [
-        (r.source, r.n, float(t), int(most if t >= most * r.n else t // r.n) if r.n else 0, max(1, -(-r.rows // BUCKET_DOCS)), schedule_slope(i))
+        (r.source, r.n, float(t), int(most if t >= most * r.n else t // r.n) if r.n else 0, -(-r.rows // max(BUCKET_DOCS, math.isqrt(r.rows))), schedule_slope(i))
         for i, (r, t) in enumerate(zip(found, goal, strict=True))
     ]
     plan = spark.createDataFrame(
@@ -72,7 +84,8 @@ def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFr
         "source string, source_size bigint, target double, copies bigint, buckets bigint, slope double, missing bigint",
     )
     # One row a source, as collected above.
-    known = sized.withColumnRenamed("source", "_s").join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    plan = F.broadcast(plan) if len(rows) <= SOURCES else plan
+    known = sized.withColumnRenamed("source", "_s").join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     # Buckets are ranges of the hash order, so a large source is summed by many tasks.
     spread = (F.col("place").cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")
     known = known.withColumn("bucket", F.least(F.floor(spread), F.col("buckets") - 1))
@@ -92,18 +105,23 @@ def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFr
 
 
 def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as documents: a row for each copy taken, the last one cut where the mix cuts it."""
-    plan = mix(docs).where("taken > 0").select("place", "copies", "extra", "size", "position", F.col("doc_id").alias("_id")).dropDuplicates(["place", "_id"])
-    keyed = docs.select(*columns).withColumn("_p", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    joined = keyed.join(plan, (F.col("_p") == F.col("place")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole = F.when(F.col("copies") > 0, F.array_repeat(F.col("text"), F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
-    cut_text = F.array_join(F.slice(words(F.col("text")), 1, F.col("extra").cast("int")), " ")
-    part = F.when(F.col("extra") == F.col("size"), F.col("text")).otherwise(cut_text)
-    texts = F.when(F.col("extra") > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    rows = joined.withColumn("_t", F.explode(texts))
+    """The mix as documents: a row for each copy taken, the last one cut after a word where the mix cuts it."""
+    equal = Window.partitionBy("place", "id")
+    plan = mix(docs).select("place", "copies", "extra", "size", "position", F.col("doc_id").alias("id"))
+    # Rows with one id, text and source are numbered on both sides, so that each meets its own part of the plan.
+    plan = plan.withColumn("turn", F.row_number().over(equal.orderBy(F.desc(F.col("extra")), F.desc("copies")))).where("copies > 0 or extra > 0")
+    keyed = docs.select(F.struct(*[_name(c) for c in columns]).alias("row"), _place().alias("place"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*[_name(c) for c in columns]).alias("order"))
+    keyed = keyed.withColumn("turn", F.row_number().over(equal.orderBy("order"))).drop("order")
+    joined = keyed.alias("d").join(plan.alias("p"), (F.col("d.place") == F.col("p.place")) & F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.turn") == F.col("p.turn")))
+    text = F.col("row.text")
+    whole = F.when(F.col("copies") > 0, F.array_repeat(text, F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"((?:{SPACE})?{WORD})"), F.lit(1)), 1, F.col("extra").cast("int")), "")
+    texts = F.when(F.col("extra") > 0, F.concat(whole, F.array(F.when(F.col("extra") == F.col("size"), text).otherwise(first)))).otherwise(whole)
+    rows = joined.select("row", "position", F.col("d.id").alias("id"), F.col("d.place").alias("place"), F.explode(texts).alias("taken"))
     # Copies share a position; the range sort keeps training order.
-    out = [F.col("_t").alias("text") if c == "text" else F.char_length("_t").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    return rows.orderBy("position", "doc_id").select(*out)
+    taken = F.col("taken")
+    out = [taken.alias(c) if c == "text" else F.char_length(taken).cast("bigint").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in columns]
+    return rows.orderBy("position", "id", "place").select(*out)
 
 
 def op8_curriculum_mix(spark, sf_dir):

@@ -1,35 +1,44 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids are fitted on a sample of at most ``SAMPLE`` vectors. Every vector goes to its
-nearest list, and a boundary vector to further lists whose centroids are nearly as near. A graph
-of centroids, held in memory, is searched for both. A query probes the lists whose distance is
-within ``PROBE`` times the nearest one's. Lists over ``LIST_ROWS`` rows are dealt in parts, each
-searched by a task of its own, so lists are balanced and no row is dropped. A query whose lists
-hold fewer than ``k`` candidates probes all lists.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, and neither do
-vectors of a length other than the most common one of the sample. vec_id is a key; rows without it
-take no part. With fewer than k candidates all are returned; an empty table gives no rows.
+The number of lists grows with the square root of the rows, up to ``LISTS``; centroids are fitted on a
+sample of at most ``SAMPLE`` vectors. Every vector goes to its nearest list, and a boundary vector
+to further lists whose centroids are nearly as near. A graph of centroids, held in memory, is
+searched for both. A query probes the lists whose distance is within a ratio of the nearest one's; the
+ratio is the smallest that gives the wanted recall on the sample. Lists, and the queries that probe
+one, are dealt in blocks of about ``BLOCK`` rows, each pair of which is a task of its own. A query
+whose lists hold fewer than ``k`` candidates probes all lists.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are near only
+to those of their own length; each length has its own lists. Rows with one vec_id count as one
+candidate, as near as the nearest of them; rows without it take no part. With fewer than k candidates
+all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import cut, table
+from sitelens.llm.common import Scratch, sampled, table
 
-K, SAMPLE, LISTS, DEGREE, BEAM = 10, 8192, 64, 16, 48
-CLOSURE, COPIES, PROBE, LIST_ROWS, EVERY = 1.02, 2, 1.5, 4096, 100
+K, SAMPLE, LISTS, DEGREE = 10, 32_768, 16_384, 16
+CLOSURE, COPIES, BLOCK, EVERY = 1.1, 4, 4096, 100
+#: Ratios tried for pruning, the recall the chosen one has on the sample, and queries it is measured with.
+PROBES, RECALL, TRIED = tuple(1 + k / 200 for k in range(1, 201)), 0.95, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(good)
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = "array<float>" if single else "array<double>"
+    chosen = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    return chosen.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(good)
 
 
 class CentroidGraph:
@@ -37,8 +46,9 @@ class CentroidGraph:
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
         self.c = centroids.astype(np.float32)
-        d = self.distances(self.c, np.arange(len(self.c))[None].repeat(len(self.c), 0))
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : degree + 1]
+        square = (self.c**2).sum(1)
+        parts = np.array_split(np.arange(len(self.c)), max(1, len(self.c) // 512))
+        near = np.concatenate([np.argsort(square - 2 * self.c[p] @ self.c.T, axis=1, kind="stable")[:, 1 : degree + 1] for p in parts])
         # A ring keeps the graph connected.
         ring = (np.arange(len(self.c))[:, None] + 1) % len(self.c)
         self.links = np.concatenate([near, ring], axis=1)
@@ -46,7 +56,7 @@ class CentroidGraph:
     def distances(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(((x[:, None, :] - self.c[at]) ** 2).sum(2), 0))
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centroids of each row, nearest first, by best-first steps over the graph."""
         n, lists = len(x), len(self.c)
         beam = min(beam, lists)
@@ -70,86 +80,140 @@ class CentroidGraph:
         return order, np.take_along_axis(dist, order, 1)
 
 
-def fit(sample: np.ndarray, lists: int = LISTS, rounds: int = 12) -> np.ndarray:
-    """Lloyd's rounds from a fixed start; empty cells take the farthest rows."""
-    sample = np.unique(sample, axis=0)
+def fit(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Lloyd's rounds from a fixed start; an empty cell keeps its centroid."""
+    sample = np.unique(sample, axis=0).astype(np.float32)
     pick = np.random.default_rng(7).permutation(len(sample))
-    c = sample[pick[: max(1, min(lists, len(sample) // 64))]].astype(np.float64)
+    c = sample[pick[: max(1, min(lists, len(sample) // 4))]].copy()
     for _ in range(rounds):
-        d = (sample**2).sum(1)[:, None] - 2 * sample @ c.T + (c**2).sum(1)
-        near = d.argmin(1)
-        for i in range(len(c)):
-            own = near == i
-            c[i] = sample[own].mean(0) if own.any() else sample[d.min(1).argmax()]
+        near = np.concatenate([((c**2).sum(1) - 2 * part @ c.T).argmin(1) for part in np.array_split(sample, max(1, len(sample) // 1024))])
+        order = np.argsort(near, kind="stable")
+        cells, at, size = np.unique(near[order], return_index=True, return_counts=True)
+        c[cells] = np.add.reduceat(sample[order], at, axis=0) / size[:, None]
     return c
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int | None = None, probe: float = PROBE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of ``vectors`` for each row of ``queries``."""
+def posted_lists(d: np.ndarray) -> np.ndarray:
+    """Which of a row's nearest lists it is put in."""
+    keep = d <= d[:, :1] * CLOSURE
+    keep[:, 0] = True
+    keep[:, COPIES:] = False
+    return keep
+
+
+def calibrate(graph: CentroidGraph, sample: np.ndarray, k: int) -> tuple[float, int]:
+    """The smallest ratio that finds ``RECALL`` of the sample's nearest rows, and a beam with room for its lists.
+
+    Neighbours in the sample lie farther than in the whole, so the whole's recall is hardly lower.
+    """
+    lists = len(graph.c)
+    near, d = graph.search(sample, min(lists, 4 * DEGREE))
+    keep, member = posted_lists(d), np.zeros((len(sample), lists), bool)
+    np.put_along_axis(member, near, keep, 1)
+    asked = sample[:: max(1, len(sample) // TRIED)]
+    far = (asked**2).sum(1)[:, None] - 2 * asked @ sample.T + (sample**2).sum(1)
+    true = np.argsort(far, axis=1, kind="stable")[:, : k + 1]
+    every = np.sqrt(np.maximum((asked**2).sum(1)[:, None] - 2 * asked @ graph.c.T + (graph.c**2).sum(1), 0))
+    for ratio in PROBES:
+        probed = every <= every.min(1, keepdims=True) * ratio
+        if np.mean([(member[t] & p).any(1).mean() for t, p in zip(true[:, 1:], probed, strict=True)]) >= RECALL:
+            break
+    return ratio, min(lists, max(4 * DEGREE, 2 * int(np.percentile(probed.sum(1), 99))))
+
+
+def nearest_rows(x: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of v, row of x, distance) of the k nearest, ties to smaller ids, never a query's own id.
+
+    A product finds all rows that may be among the k, exact differences order them.
+    """
+    square = (x**2).sum(1)
+    rough = square + (v**2).sum(1)[:, None] - 2 * v @ x.T
+    rough[q[:, None] == ids] = np.inf
+    out = []
+    for i, row in enumerate(rough):
+        limit = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+        may = np.flatnonzero((row <= limit + 1e-9 * (1 + square.max() + (v[i] ** 2).sum())) & np.isfinite(row))
+        d = np.sqrt(((x[may] - v[i]) ** 2).sum(1))
+        top = np.lexsort((ids[may], d))[:k]
+        out.append((np.full(len(top), i), may[top], d[top]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of ``vectors`` for each row of ``queries``.
+
+    ``report`` receives the number of lists and the mean number probed, by vector length.
+    """
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     base, asked = usable(vectors), usable(queries)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    wide = int(np.bincount([len(r.embedding) for r in sample]).argmax())
-    points = np.array([r.embedding for r in sample if len(r.embedding) == wide], np.float32)
-    graph = spark.sparkContext.broadcast(CentroidGraph(fit(points, lists or LISTS)))
-    base, asked = base.where(F.size("embedding") == wide), asked.where(F.size("embedding") == wide)
-
-    def blocks(batches, chosen):
+    lengths = [r.n for r in base.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()]
+    found = [_search(base.where(F.size("embedding") == n), asked.where(F.size("embedding") == n), k, scratch, {} if report is None else report.setdefault(n, {})) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report: dict) -> DataFrame:
+    spark, rows = base.sparkSession, base.count()
+    kind = base.schema["embedding"].dataType.simpleString()
+    sample = np.array([r.embedding for r in sampled(base, F.col("vec_id"), SAMPLE).collect()], np.float32)
+    made = CentroidGraph(fit(sample, min(LISTS, 4 * math.isqrt(rows))))
+    ratio, beam = calibrate(made, sample[: 8 * TRIED * k], k)
+    graph = spark.sparkContext.broadcast(made)
+    report.update(lists=len(made.c), ratio=ratio)
+
+    def blocks(batches, wide, chosen):
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                x = np.stack(part.embedding.to_numpy()).astype(np.float32)
-                near, d = graph.value.search(x)
-                keep = chosen(d)
-                row, col = np.nonzero(keep)
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                near, d = graph.value.search(np.stack(part.embedding.to_numpy()).astype(np.float32), wide)
+                row, col = np.nonzero(chosen(d))
                 yield pd.DataFrame({"vec_id": part.vec_id.to_numpy()[row], "list": near[row, col], "embedding": part.embedding.to_numpy()[row]})
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def chosen(d):
-            keep = d <= d[:, :1] * CLOSURE
-            keep[:, 0] = True
-            keep[:, COPIES:] = False
-            return keep
-
-        return blocks(batches, chosen)
+        return blocks(batches, 4 * DEGREE, posted_lists)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return blocks(batches, lambda d: d <= np.maximum(d[:, :1] * probe, np.partition(d, min(3, d.shape[1] - 1), axis=1)[:, min(3, d.shape[1] - 1)][:, None]))
+        return blocks(batches, beam, lambda d: d <= d[:, :1] * ratio)
+
+    shape = f"vec_id bigint, list int, embedding {kind}"
+    posted = scratch.cut(base.mapInPandas(post, shape))
+    def blocks_of(rows: DataFrame) -> dict[int, int]:
+        """Blocks by list, at most LISTS of them."""
+        return {r["list"]: -(-r["count"] // BLOCK) for r in rows.groupBy("list").count().collect()}
+
+    sizes = blocks_of(posted)
 
-    shape = "vec_id bigint, list int, embedding array<float>"
-    posted = cut(base.mapInPandas(post, shape))
-    sizes = posted.groupBy("list").count().withColumn("parts", F.ceil(F.col("count") / LIST_ROWS).cast("int"))
-    # One row a list, so its size is bounded by the number of centroids.
-    counts = F.broadcast(cut(sizes.select("list", "parts", "count")))
-    dealt = posted.join(counts.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one of its side's blocks, for every block of the other side."""
+        mine = F.pmod(F.xxhash64("vec_id"), F.col(f"{own}s")).cast("int")
+        return rows.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
 
     def nearest(probes: DataFrame) -> DataFrame:
-        split = probes.join(counts.select("list", "parts"), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(left) and len(right):
-                x = np.stack(left.embedding.to_numpy()).astype(np.float64)
-                ids = left.vec_id.to_numpy()
-                for q, v in zip(right.vec_id, right.embedding, strict=True):
-                    d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(1))
-                    other = np.flatnonzero(ids != q)
-                    top = other[np.lexsort((ids[other], d[other]))[:k]]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": d[top]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-        found = dealt.groupBy("list", "part").cogroup(split.groupBy("list", "part")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-        return found.dropDuplicates(["query_id", "vec_id"])
+        asks = blocks_of(probes)
+        plan = [(name, parts, asks[name]) for name, parts in sizes.items() if name in asks]
+        # A frame for each side, as one frame on both would make their columns ambiguous.
+        left, right = (F.broadcast(spark.createDataFrame(plan, "list int, parts int, asks int")) for _ in range(2))
+
+        def best(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+            if not len(block) or not len(asking):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            x, v = (np.stack(f.embedding.to_numpy()).astype(np.float64) for f in (block, asking))
+            ids, q = block.vec_id.to_numpy(), asking.vec_id.to_numpy()
+            i, j, d = nearest_rows(x, ids, v, q, k)
+            return pd.DataFrame({"query_id": q[i], "vec_id": ids[j], "score": d})
+
+        lists = dealt(posted.join(left, "list"), "part", "ask").groupBy("list", "part", "ask")
+        found = lists.cogroup(dealt(probes.join(right, "list"), "ask", "part").groupBy("list", "part", "ask")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    probes = asked.mapInPandas(ask, shape)
-    found = cut(nearest(probes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    probes = scratch.cut(asked.mapInPandas(ask, shape))
+    report["probed"] = probes.count() / max(1, asked.count())
+    found = scratch.cut(nearest(probes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = cut(asked.join(full, "vec_id", "left_anti"))
+    short = scratch.cut(asked.join(full, "vec_id", "left_anti"))
     if not short.isEmpty():
-        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.value.c) - 1))))
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(made.c) - 1))))
         wider = nearest(everywhere.select("vec_id", "list", "embedding")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(wider)
     return found.select("query_id", "rank", "vec_id", "score")

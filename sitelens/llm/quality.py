@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import table
+from sitelens.llm.common import sampled, table
 
 SAMPLE, SAMPLE_CHARS, STEPS, PENALTY = 3000, 20_000, 250, 1e-3
 THRESHOLD = 0.7
@@ -173,8 +173,16 @@ class LineField:
                 out[i] = np.log((share + 1e-6) / (1 - share + 1e-6))
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        z = self.curve[0] * self.evidence([line_features(t) for t in texts]) + self.curve[1]
+    def score(self, texts: list[str], chars: int = 4_000_000) -> np.ndarray:
+        """Features are held for texts of about ``chars`` characters, or one longer text, at a time."""
+        z, at = np.zeros(len(texts)), 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= chars:
+                size += len(texts[end])
+                end += 1
+            z[at:end] = self.curve[0] * self.evidence([line_features(t) for t in texts[at:end]]) + self.curve[1]
+            at = end
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -185,8 +193,8 @@ def remainder(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> LineField:
     """``labels``: doc_id and quality; only rows that are not held out may be given."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # Twice the bound, as some of the documents are longer than the sample takes or absent.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
+    # More than the bound, as some of the documents are longer than the sample takes or absent.
+    chosen = sampled(known, F.col("doc_id"), sample + sample // 2)
     short = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.char_length(F.coalesce("text", F.lit(""))) <= chars)
     rows = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     return LineField.fit([r.text or "" for r in rows], [int(r.quality) for r in rows])

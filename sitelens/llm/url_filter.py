@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import table
+from sitelens.llm.common import sampled, table
 
 RULES = (
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
@@ -114,12 +114,13 @@ def as_sql(tree, names: list[str]) -> str:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, sample: int = SAMPLE, rules=RULES) -> DataFrame:
-    """``labelled`` has url and blocked (0 or 1). Gives page_id, host, path, rule, verdict, block_margin."""
+    """``labelled`` has page_id, url and blocked (0 or 1). Gives page_id, host, path, rule, verdict, block_margin."""
     lhost, lpath = parts(F.col("url"))
-    seen = (
-        labelled.select("url", lhost.alias("host"), lpath.alias("path"), F.col("blocked").cast("double").alias("blocked"))
-        .where("blocked is not null").orderBy(F.xxhash64("url"), "url").limit(sample)
+    known = (
+        labelled.select("page_id", "url", lhost.alias("host"), lpath.alias("path"), F.col("blocked").cast("double").alias("blocked"))
+        .where("blocked is not null")
     )
+    seen = sampled(known, F.struct("page_id", "url"), sample)
     # Suffix statistics, bounded by the sample.
     rows = seen.select(F.substring_index("host", ".", -1).alias("suffix"), "blocked", *[c.alias(f"f{i}") for i, c in enumerate(features(F.col("url"), F.col("host"), F.col("path"), {}, 0.0))]).collect()
     y = np.array([r.blocked for r in rows])
@@ -146,5 +147,5 @@ def op9_url_boosting(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = parts(F.col("url"))
     _, verdict = match(host, path)
-    labelled = pages.select("url", verdict.alias("v")).where("v is not null").select("url", (F.col("v") == "block").cast("int").alias("blocked"))
+    labelled = pages.select("page_id", "url", verdict.alias("v")).where("v is not null").select("page_id", "url", (F.col("v") == "block").cast("int").alias("blocked"))
     return judge(pages, labelled)

@@ -128,6 +128,48 @@ def test_substring_dedup(docs, empty):
     assert substrings.dedup(empty).count() == 0
 
 
+def thue_morse(n=1024):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_exchanged_letters_differ(spark):
+    one, two = thue_morse()
+    assert hashing.word_hashes([one])[0][0] != hashing.word_hashes([two])[0][0]
+    common = [f"w{i}" for i in range(6)]
+    found = [" ".join([*common, w, *common]) for w in (one, two)]
+    df = spark.createDataFrame([(1, found[0]), (2, found[1])], "doc_id bigint, text string")
+    assert [r.n_removed for r in substrings.dedup(df).collect()] == [0, 0]
+    assert {r.component_id for r in jaccard_join.join(df).collect()} == {1, 2}
+
+
+def test_rows_with_one_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, b), (7, b + " more")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in substrings.dedup(df).collect())
+    assert got == [(0, 20, 0, b), (1, 20, 0, a), (5, 20, 0, b), (5, 20, 0, b), (5, 20, 20, ""), (7, 21, 20, "more")]
+    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.join(df).collect())
+    assert rows == [(0, 18, 0), (1, 18, 1), (5, 18, 1), (5, 18, 5), (5, 18, 5), (7, 19, 5)]
+
+
+def test_spans_that_only_hashes_repeat_are_not_removed(spark, monkeypatch):
+    real, calls = substrings.rolled, []
+
+    def weak(hashed, width):
+        out = real(hashed, width)
+        return out & np.uint64(1) if calls_of(hashed) else out
+
+    def calls_of(hashed):
+        return bool(len(hashed)) and bool(hashed[0] == first)
+
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    first = hashing.word_hashes([a], 1)[0][0]
+    monkeypatch.setattr(substrings, "rolled", weak)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + " x")], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
 def test_packing_round_trip(docs, empty):
     rows = packing.packed(docs).collect()
     encoder = packing._tokenizer(None)
@@ -244,7 +286,7 @@ def test_secrets_after_an_equals_sign(text, masked):
 def test_url_rules(spark):
     urls = ["https://A.example.com/en/7", "http://x.com/en/1", "no scheme", None, "http://b.example.net/de/8?x=1", "http://org/es/#t"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    labelled = pages.select("url", F.lit(1).alias("blocked"))
+    labelled = pages.select("page_id", "url", F.lit(1).alias("blocked"))
     rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, labelled).collect()}
     assert rows[0] == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert rows[1][2:] == ("com/en/", "block") and rows[2][:3] == rows[3][:3] == ("", "", None)

@@ -1,4 +1,4 @@
-"""Fixed-window rate limits and latest stages over a stream of events."""
+"""Fixed-window rate limits over a stream of events."""
 
 from __future__ import annotations
 
@@ -30,7 +30,11 @@ def limited(events: DataFrame, limit: int = LIMIT, window: str = WINDOW, late: s
 def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Runs an updating stream over what is there; each key's row of its last batch."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stream-")
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def upsert(batch: DataFrame, number: int) -> None:

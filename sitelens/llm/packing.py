@@ -13,9 +13,13 @@ packed each for itself. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,9 @@ from sitelens.llm.common import shuffle_width, table
 
 CAPACITY, END_ID, FINE = 2048, 1, 64
 TOKENIZER = "byte_bpe_50k.json"
-DOCS_PER_WORKER = 4000
+DOCS_PER_WORKER, TOGETHER = 4000, 256
+#: A word of letters before a stop, or all up to the next white space; either with the white space before it.
+_CHUNK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r.,;:!?%&)|]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -52,26 +58,73 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+class Encoder(dict):
+    """Token ids of texts, remembered by chunk.
+
+    A chunk is a run of plain white space and the run of other characters behind it, parted once more
+    where a stop follows a word of letters. The byte-level pre-tokenizer never joins a character with
+    white space after it, nor a letter with a stop, and looks ahead only within white space and at
+    the one character that follows; so a text's ids are those of its chunks, one after the other. The tokenizer itself encodes each new chunk, and whole every text to which this
+    need not apply: with other white space, with an added token, or if the tokenizer is of another kind.
+    About ``most`` chunks of at most ``longest`` characters are remembered.
+    """
+
+    def __init__(self, tokenizer, most: int = 600_000, longest: int = 40):
+        super().__init__()
+        self.tokenizer, self.most, self.longest = tokenizer, most, longest
+        made = json.loads(tokenizer.to_str())
+        before, model = made.get("pre_tokenizer") or {}, made["model"]
+        by_chunk = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.by_chunk = by_chunk and model["type"] == "BPE" and not model.get("dropout") and not made.get("truncation") and not made.get("padding")
+        added = "|".join(re.escape(t["content"]) for t in made.get("added_tokens", []))
+        self.other = re.compile(r"[^\S \t\n\r]|[\x85᠎​﻿]" + (f"|{added}" if added else ""))
+
+    def whole(self, text: str) -> list[int]:
+        # The fast form leaves out offsets, which nothing here reads.
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        chunks = [_CHUNK.findall(t) if self.by_chunk and not self.other.search(t) else None for t in texts]
+        new = [c for c in set(chain.from_iterable(filter(None, chunks))) if c not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(set(chain.from_iterable(filter(None, chunks))))
+        # All new chunks in one call.
+        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
+            self[chunk] = found.ids
+        out = [self.whole(t) if c is None else list(chain.from_iterable(map(self.__getitem__, c))) for t, c in zip(texts, chunks, strict=True)]
+        for chunk in new:
+            if len(chunk) > self.longest:
+                del self[chunk]
+        return out
+
+
+@cache
+def _encoder(path: str | None) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(_tokenizer(path))
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, fine: int = FINE, keep_ids: bool = True) -> DataFrame:
     """Tokenised and cut documents; with ``keep_ids`` each piece carries its token ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _tokenizer(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                # The fast form leaves out offsets, which nothing here reads.
-                ids = np.array([*encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, END_ID], "<u4")
-                start = 0
-                for n in harmonic_cuts(len(ids), capacity, fine):
-                    part = ids[start : start + n]
-                    row = (doc_id, start, n, zlib.crc32(part.tobytes()), len(ids))
-                    out.append((*row, part.astype("int32")) if keep_ids else row)
-                    start += n
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            for a in range(0, len(batch), TOGETHER):
+                some, out = batch.iloc[a : a + TOGETHER], []
+                for doc_id, found in zip(some.doc_id, encoder.encode(some.text.tolist()), strict=True):
+                    ids = np.array([*found, END_ID], "<u4")
+                    start = 0
+                    for n in harmonic_cuts(len(ids), capacity, fine):
+                        part = ids[start : start + n]
+                        row = (doc_id, start, n, zlib.crc32(part.tobytes()), len(ids))
+                        out.append((*row, part.astype("int32")) if keep_ids else row)
+                        start += n
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
+                frame = pd.DataFrame(out, columns=names)
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInPandas(run, _PIECES + (", ids array<int>" if keep_ids else ""))

@@ -5,7 +5,7 @@ the first ``n - ceil(t n) + 1`` shingles of an order that is by hash, but puts s
 frequent among first prefixes last. Classes with equal prefix and size are one group; group
 pairs that share a prefix shingle and pass the size bound are expanded to class pairs and
 verified on whole sets, every one of them. A shingle in the prefixes of over ``CROWD`` classes
-has its classes compared on whole sets in blocks of ``BLOCK``; a block gives each class's number of
+has its classes compared on whole sets in blocks; a block gives each class's number of
 links and what it is tied to, so that a crowd's pairs never leave the task.
 
 Nulls and texts without words have no shingles and are linked with nothing; their component is
@@ -31,7 +31,9 @@ from sitelens.llm.hashing import rolled, word_hashes
 PERCENT, WIDTH = 90, 3
 #: A shingle is frequent if over one in so many documents have it in the prefix, and over LEAST do.
 ONE_IN, LEAST = 4000, 32
-BUCKETS, CROWD, BLOCK, CELLS = 256, 64, 2048, 1 << 20
+BUCKETS, CROWD, CELLS = 256, 16, 1 << 20
+#: Classes and shingles of a block of a crowd.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -214,21 +216,23 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     count = links.select(F.col("a").alias("rep")).union(links.select("b")).select("rep", F.lit(1).cast("bigint").alias("links"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links of each class between two blocks, or inside one, and the class that stands for those it is tied to here.
-
-        A pair is compared at the smallest crowded shingle that both prefixes have.
-        """
+        """Links of each class between hosts of two blocks, inside one, or of hosts and guests, and the class that stands for those it is tied to here."""
         frame = frame.sort_values("n", kind="stable")
-        n, rep, block, token = frame.n.to_numpy(), frame.rep.to_numpy(), frame.block.to_numpy(), frame.token.iloc[0]
+        n, rep, block, host = frame.n.to_numpy(), frame.rep.to_numpy(), frame.block.to_numpy(), frame.host.to_numpy()
+        guests = frame.part.iloc[0] >= 0
         one = (frame.low_block == frame.high_block).all()
-        earlier = overlaps([np.asarray(c)[np.asarray(c) < token] for c in frame.crowds])
+        crowded = overlaps(frame.crowds.tolist()) if guests else None
         meets = overlaps(frame.set.tolist())
         ends = np.searchsorted(percent * n, 100 * n, side="right")
         found, root = np.zeros(len(frame), np.int64), np.arange(len(frame))
         for i in range(len(frame)):
             j = np.arange(i + 1, ends[i])
-            j = j[one | (block[j] != block[i])]
-            j = j[earlier(i, j) == 0]
+            if guests:
+                # Hosts share the crowded shingle they live at; a guest need not share one with each of them.
+                j = j[host[j] != host[i]]
+                j = j[crowded(i, j) > 0]
+            elif not one:
+                j = j[block[j] != block[i]]
             j = j[enough(meets(i, j), n[i], n[j], percent)]
             if len(j):
                 found[i] += len(j)
@@ -240,12 +244,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         return pd.DataFrame({"rep": rep[at], "other": rep[root[at]], "links": found[at]})
 
     if not crowds.isEmpty():
-        crowded = member.join(crowds, "gid").select("gid", "rep", "n", "crowds")
-        crowded = cut(crowded.join(sets_of(crowded.select("rep")), "rep"))
-        dealt = tokens.where(F.col("crowd") > CROWD).select("token", "gid", F.ceil(F.col("crowd") / BLOCK).cast("int").alias("blocks")).join(crowded, "gid")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("token", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), "block", "rep", "n", "crowds", "set")
-        near = cut(dealt.groupBy("token", "low_block", "high_block").applyInPandas(compare, "rep bigint, other bigint, links bigint"))
+        near = cut(_met(tokens.where(F.col("crowd") > CROWD), crowds, member, sets_of, cut).groupBy("dest", "low_block", "high_block", "part").applyInPandas(compare, "rep bigint, other bigint, links bigint"))
         links = links.union(near.where("rep <> other").select(F.least("rep", "other"), F.greatest("rep", "other")))
         count = count.union(near.select("rep", "links"))
     label = components(links, scratch)
@@ -259,5 +258,38 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class_id"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash", group.alias("group"))
 
 
+def _met(tokens: DataFrame, crowds: DataFrame, member: DataFrame, sets_of, cut) -> DataFrame:
+    """Classes with crowded shingles, with their sets, where they are to be compared.
+
+    A class lives at the smallest crowded shingle of its prefix, with many others; it is a guest at the
+    homes of more classes that it shares another crowded shingle with. Two classes meet at the larger of
+    their homes, once; so a set is dealt to few places, however many crowded shingles it has.
+    """
+    homes = crowds.select("gid", F.array_min("crowds").alias("home"), "crowds")
+    living = member.join(homes.select("gid", "home"), "gid").groupBy("home").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    living = cut(living.withColumn("blocks", blocks))
+    here = tokens.select("token", "gid").join(homes.select("gid", "home"), "gid").join(living.select("home", "classes"), "home")
+    larger = here.select("token", F.col("home").alias("dest"), F.col("classes").alias("more")).distinct()
+    above = (F.col("more") > F.col("classes")) | ((F.col("more") == F.col("classes")) & (F.col("dest") > F.col("home")))
+    guests = here.join(larger, "token").where(above).select("gid", "dest").distinct()
+    crowded = member.join(homes, "gid").select("gid", "rep", "n", "home", "crowds")
+    crowded = cut(crowded.join(sets_of(crowded.select("rep")), "rep"))
+    visits = cut(guests.join(crowded.select("gid", "rep", "n"), "gid"))
+    visiting = visits.groupBy("dest").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).select("dest", blocks.alias("parts"))
+    at = living.select(F.col("home").alias("dest"), "blocks").join(visiting, "dest", "left").fillna(0, ["parts"])
+    columns = ["dest", "low_block", "high_block", "part", "block", "host", "rep", "n", "crowds", "set"]
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    hosts = crowded.withColumnRenamed("home", "dest").join(at, "dest").withColumn("block", block).withColumn("host", F.lit(True))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low_block"), F.greatest("block", o).alias("high_block"), F.lit(-1).alias("part")))
+    parts = F.transform(F.sequence(F.lit(0), F.col("parts")), lambda p: F.struct(F.col("block").alias("low_block"), F.col("block").alias("high_block"), p.alias("part")))
+    meetings = F.concat(others, F.filter(parts, lambda p: p["part"] < F.col("parts")))
+    among = hosts.select("*", F.inline(meetings)).select(*columns)
+    guest = visits.select("dest", "rep").join(crowded.drop("home", "gid"), "rep").join(at, "dest").withColumn("block", F.lit(-1)).withColumn("host", F.lit(False))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("low_block"), b.alias("high_block")))
+    return among.unionByName(guest.withColumn("part", part).select("*", F.inline(everywhere)).select(*columns))
+
+
 def op6_jaccard_join(spark, sf_dir):
     return join(table(spark, sf_dir, "documents")).drop("text_hash", "group")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions.urls import registrable
+
 #: Words without content, question starters and patterns of claims.
 STOPWORDS = (
     "the a an and or but if then than that this these those of to in on for with as by at from is are was were be been being it its "
-    "we our you your they their he she his her i me my us not no do does did can could will would should may might must have has had also "
+    "we our you your they their he she his her i me my us not no do does did can could will would should may might must has have had also "
     "more most other some such only own same so too very just about into over after before up down out off all any each how what when where "
     "which who why get got make made use used using new best top free"
 ).split()
@@ -18,6 +22,23 @@ BACKWARD = r"(?i)^(it|this|that|they|these|those|he|she)\b"
 CONNECTIVE = r"(?i)^(it|this|that|they|these|those|and|but|so|however|therefore)\b"
 DEFINITION = r"\b[A-Z][\w .'-]{2,60}\s+(is|are|refers to|means|stands for|is defined as)\s+(a|an|the|when|any|two|three|\w)"
 STATISTIC = r"(?i)(\d{1,3}(,\d{3})+|\d+(\.\d+)?)\s*(%|percent|per cent|x\b|million|billion|crore|lakh|bn|mn|k\b|users|customers|hours|days|weeks|months|years|₹|\$|€|£)|[₹$€£]\s*\d"
+#: Words that tell a page's intent, tried in this order, and other kinds of pages.
+INTENTS = (
+    ("transactional", r"pricing|price|buy|checkout|cart|order|subscribe|book a|start free|sign ?up|demo"),
+    ("commercial", r"vs|versus|compare|comparison|alternative|best|top \d|review|case stud"),
+    ("informational", r"what is|how to|guide|tutorial|why|when|glossary|faq|learn|blog|resource"),
+)
+PROCEDURAL = r"how to|step[- ]by[- ]step|tutorial|guide|setup|install|configure"
+COMPARISON = r"vs|versus|compare|comparison|alternative"
+RESEARCH = r"research|report|study|survey|benchmark|state of|index|whitepaper|data"
+#: Words that colour the neighbourhood of a mention.
+POSITIVE = r"best|leading|top|recommend|excellent|strong|popular|trusted|preferred|award"
+NEGATIVE = r"poor|worst|avoid|complaint|lawsuit|criticis|expensive|limited|drawback|downside"
+
+
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -25,8 +46,12 @@ def tokens(text: Column) -> Column:
     return F.transform(found, lambda w: F.regexp_replace(w, r"['’]s$", ""))
 
 
+def content_of(words: Column) -> Column:
+    return F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(STOPWORDS))
+
+
 def content_tokens(text: Column) -> Column:
-    return F.filter(tokens(text), lambda w: (F.char_length(w) > 2) & ~w.isin(STOPWORDS))
+    return content_of(tokens(text))
 
 
 def sentences(text: Column) -> Column:
@@ -53,30 +78,135 @@ def is_statistic(sentence: Column) -> Column:
 
 
 def is_quotable(sentence: Column) -> Column:
-    return F.size(tokens(sentence)).between(15, 45) & ~sentence.endswith("?") & ~sentence.rlike(CONNECTIVE) & (F.size(content_tokens(sentence)) >= 7)
+    long_enough = let(tokens(sentence), lambda w: F.size(w).between(15, 45) & (F.size(content_of(w)) >= 7))
+    return ~sentence.endswith("?") & ~sentence.rlike(CONNECTIVE) & long_enough
 
 
 def median(values: Column) -> Column:
     """Median of an array; 0 when empty."""
-    v, n = F.sort_array(values), F.size(values)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
-    return F.when(n == 0, 0.0).otherwise((F.get(v, low - 1) + F.get(v, high - 1)) / 2)
 
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
+        return F.when(n == 0, 0.0).otherwise((F.get(v, low - 1) + F.get(v, high - 1)) / 2)
 
-def ramp(value: Column, bad: float, good: float) -> Column:
-    if bad == good:
-        return F.when(value >= good, 1.0).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - bad) / (good - bad)))
+    return let(F.sort_array(values), middle)
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters of an ASCII text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """32-bit FNV-1a over the UTF-16 units of a text."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+
+    def step(h: Column, unit: Column) -> Column:
+        return (h.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+
+    def units(h: Column, c: Column) -> Column:
+        above = c - 65536
+        pair = step(step(h, F.shiftright(above, 10) + 55296), above.bitwiseAND(F.lit(1023)) + 56320)
+        return F.when(c < 65536, step(h, c)).otherwise(pair)
+
+    return F.aggregate(points, F.lit(2166136261).cast("bigint"), units)
+
+
+def grams(words: Column, width: int = 5) -> Column:
+    """Texts of ``width`` neighbouring words; none for fewer words."""
+    none = F.array().cast("array<string>")
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1)))
+        return F.when(F.size(w) < width, none).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+    return let(words, of)
+
+
+def shingles(text: Column, width: int = 5, cap: int = 400) -> Column:
+    """The ``cap`` smallest of the first ``4 * cap`` distinct hashes of content-word grams, ascending."""
+    hashed = F.array_distinct(F.transform(grams(content_tokens(text), width), fnv1a))
+    return F.slice(F.sort_array(F.slice(hashed, 1, 4 * cap)), 1, cap)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of arrays without repeats; 0 where one is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)))
 
 
 def top_terms(words: Column) -> Column:
     """(term, weight) of unigrams, which weigh 1, and bigrams, which weigh 2."""
-    single = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1).alias("weight")))
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0))), lambda a, b: F.struct(F.concat(a, F.lit(" "), b).alias("term"), F.lit(2).alias("weight")))
-    return F.concat(single, F.filter(pairs, lambda p: p["term"].isNotNull()))
+
+    def weighed(terms: Column, weight: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    return let(words, lambda w: F.concat(weighed(w, 1), weighed(grams(w, 2), 2)))
+
+
+def plural(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {noun}").otherwise(f" {noun}s"))
+
+
+def ordinal_suffix(n: Column) -> Column:
+    return F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+
+
+def has_word(text: Column, words: str) -> Column:
+    """Whether one of ``words`` stands between ASCII word edges, in any case."""
+    return text.rlike(rf"(?i)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])")
+
+
+def intent(haystack: Column) -> Column:
+    """Of a page's url, title and headings: transactional, commercial, informational or navigational."""
+    return F.coalesce(*[F.when(has_word(haystack, words), name) for name, words in INTENTS], F.lit("navigational"))
+
+
+def brand_from_title(title: Column) -> Column:
+    """The last of several parts of a title, if it is short enough for a name."""
+
+    def tail(parts: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        short = (F.char_length(last) <= 40) & (F.size(F.split(last, r"\s+")) <= 5)
+        return F.when((F.size(parts) >= 2) & short, last)
+
+    return let(F.filter(F.transform(F.split(title, r"\s[|\-–—·]\s"), F.trim), lambda p: p != ""), tail)
+
+
+def host_to_brand(host: Column) -> Column:
+    first = F.substring_index(F.regexp_replace(host, r"^www\.", ""), ".", 1)
+    parts = F.filter(F.split(first, "[-_]"), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000))), " ")
+
+
+def category(*descriptions: Column) -> tuple[Column, Column]:
+    """Category (the first clause of the first description, 9 to 140 characters) and descriptor."""
+    known = F.coalesce(*descriptions)
+    clause = F.trim(F.get(F.split(known, r"[.;]|\s[—–-]\s"), F.lit(0)))
+    return F.when(F.char_length(clause).between(9, 140), clause), F.substring(known, 1, 300)
+
+
+def printable(text: Column) -> Column:
+    """Characters that a Latin font lacks as their nearest ones, or a question mark."""
+    folded = F.translate(text, "‘’“”–—•→", "''\"\"--*>")
+    return F.regexp_replace(folded, r"[^\x09\x0A\x0D\x20-\x7E -ÿ]", "?")
+
+
+def json_of(answer: Column) -> Column:
+    """The JSON of a model's answer, fenced or bare; null where there is none."""
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    bare = F.regexp_extract(answer, r"(?s)(\{.*\}|\[.*\])", 1)
+    found = F.when(fenced != "", F.trim(fenced)).otherwise(bare)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def mention(answer: Column, brand: Column, host: Column, rivals: Column, cited: Column) -> Column:
+    """How an answer treats a brand: mentioned, ordinal among tracked brands, cited, rivals mentioned, sentiment."""
+    low = F.lower(answer)
+    at = F.instr(low, F.lower(brand))
+    near = F.lower(F.substring(answer, F.greatest(at - 160, F.lit(1)), F.least(at - 1, F.lit(160)) + 220))
+    good, bad = near.rlike(POSITIVE), near.rlike(NEGATIVE)
+    # Of tracked brands at one place the brand itself comes first.
+    ahead = F.size(F.filter(rivals, lambda r: F.instr(low, F.lower(r)).between(1, at - 1)))
+    named = at > 0
+    return F.struct(
+        named.alias("brand_mentioned"), F.when(named, ahead + 1).alias("ordinal"), F.exists(cited, lambda d: registrable(d) == registrable(host)).alias("cited_brand_domain"),
+        F.filter(rivals, lambda r: F.instr(low, F.lower(r)) > 0).alias("competitors_mentioned"),
+        F.when(named, F.when(good & ~bad, "positive").when(bad & ~good, "negative").otherwise("neutral")).alias("sentiment"),
+    )

@@ -53,5 +53,30 @@ def canonical(url: Column) -> Column:
     return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host(url), shown, trimmed, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
+def normalise_input(text: Column, allow_local: bool = False) -> Column:
+    """What a user typed as an absolute URL; null for what is no public host."""
+    typed = F.trim(text)
+    url = F.when(typed.rlike(r"(?i)^https?://"), typed).when(typed != "", F.concat(F.lit("https://"), typed))
+    name = host(url)
+    local = (name == "localhost") | name.endswith(".localhost") | name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (name == "[::1]")
+    public = F.contains(name, F.lit(".")) & ~local
+    return F.when(name.rlike(r"^[a-z0-9.\[\]:_-]+$") & ((public | local) if allow_local else public), url)
+
+
+def same_site(a: Column, b: Column) -> Column:
+    return registrable(host(a)) == registrable(host(b))
+
+
+def hashed_ip(ip: Column, salt: str) -> Column:
+    """The first eight bytes of a salted SHA-256, as hex."""
+    return F.substring(F.sha2(F.concat(F.lit(salt), ip), 256), 1, 16)
+
+
+def report_name(host_name: Column, day: Column) -> Column:
+    """File name of a report; without a day where that is null."""
+    bare = F.regexp_replace(F.regexp_replace(host_name, r"^www\.", ""), "[^A-Za-z0-9.-]", "-")
+    return F.concat(F.concat_ws("-", bare, F.date_format(day, "yyyy-MM-dd")), F.lit("-visibility-report.pdf"))
+
+
 def email_domain(email: Column) -> Column:
     return F.trim(F.lower(F.element_at(F.split(email, "@"), -1)))

@@ -12,8 +12,10 @@ GROUPS = {
     "geo.entity": 30, "geo.citation": 28, "geo.content": 24, "geo.machine": 18, "ai.mention": 40, "ai.citation": 30, "ai.sov": 20, "ai.sentiment": 10,
 }
 GATING = ("seo.index.robots_txt", "seo.index.noindex", "seo.index.https", "seo.index.status_code", "seo.index.canonical_host", "seo.index.csr_dependency", "geo.machine.ai_crawler_access")
+COMPOSITES = {"google_visibility": {"seo": 0.65, "aeo": 0.35}, "ai_measured": {"geo": 0.6, "aeo": 0.25, "ai": 0.15}, "ai_estimated": {"geo": 0.7, "aeo": 0.3}}
+SCORING_VERSION = "1.0.0"
 BANDS = ((85, "A"), (70, "B"), (55, "C"), (35, "D"))
-MIN_COVERAGE = 0.5
+MIN_COVERAGE, PARTIAL_COVERAGE = 0.5, 0.7
 
 
 def _lookup(key: Column, values: dict, default: float) -> Column:
@@ -34,8 +36,12 @@ def band(score: Column) -> Column:
     return out
 
 
+def is_scored(status: Column) -> Column:
+    return ~status.isin("unavailable", "not_applicable")
+
+
 def group_scores(findings: DataFrame) -> DataFrame:
-    scored = ~F.col("status").isin("unavailable", "not_applicable")
+    scored = is_scored(F.col("status"))
     weight = F.when(scored, F.col("weight") * F.col("confidence"))
     total = F.sum(weight)
     score = F.when(total > 0, F.sum(weight * F.col("score")) / total).otherwise(0.0)
@@ -52,15 +58,39 @@ def pillar_scores(groups: DataFrame) -> DataFrame:
     return rolled.select("audit_id", "pillar", "coverage", F.when(F.col("coverage") >= MIN_COVERAGE, half_up(F.col("_m") * 100)).alias("score"))
 
 
+def partial(coverage: Column) -> Column:
+    """Whether a score that is shown rests on part of its checks only."""
+    return (coverage >= MIN_COVERAGE) & (coverage < PARTIAL_COVERAGE)
+
+
 def overall_scores(pillars: DataFrame) -> DataFrame:
     weight = F.when(F.col("score").isNotNull(), _lookup(F.col("pillar"), PILLARS, 0))
     rolled = pillars.groupBy("audit_id").agg(F.coalesce(half_up(F.sum(weight * F.col("score")) / F.sum(weight)), F.lit(0)).alias("overall"))
-    return rolled.withColumn("band", band(F.col("overall")))
+    return rolled.withColumn("band", band(F.col("overall"))).withColumn("scoring_version", F.lit(SCORING_VERSION))
+
+
+def composite_scores(pillars: DataFrame) -> DataFrame:
+    """Google and AI visibility; a pillar without score counts as 0 here, and AI visibility is estimated where its pillar has none."""
+    by = {p: F.max(F.when(F.col("pillar") == p, F.col("score"))) for p in PILLARS}
+    wide = pillars.groupBy("audit_id").agg(*[c.alias(p) for p, c in by.items()])
+
+    def of(name: str) -> Column:
+        return half_up(sum((F.coalesce(p, F.lit(0)) * w for p, w in COMPOSITES[name].items()), F.lit(0.0)))
+
+    ai = F.when(F.col("ai").isNotNull(), of("ai_measured")).otherwise(of("ai_estimated"))
+    return wide.select("audit_id", of("google_visibility").alias("google_visibility"), ai.alias("ai_visibility"), F.col("ai").isNotNull().alias("ai_is_measured"))
+
+
+def status_counts(findings: DataFrame) -> DataFrame:
+    """Findings of each status as columns."""
+    states = ("pass", "warn", "fail", "opportunity", "unavailable", "not_applicable")
+    return findings.groupBy("audit_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in states])
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
     severity = F.when(F.col("status") == "fail", F.when(F.col("check_id").isin(*GATING), -1).otherwise(0)).when(F.col("status") == "warn", 1).otherwise(2)
-    gain = (1 - F.col("score")) * F.col("weight") * F.col("confidence") * _lookup(F.col("group"), GROUPS, 10) * _lookup(F.col("pillar"), PILLARS, 0.25)
+    # Sums in another order may differ in the last places; they tie all the same.
+    gain = F.round((1 - F.col("score")) * F.col("weight") * F.col("confidence") * _lookup(F.col("group"), GROUPS, 10) * _lookup(F.col("pillar"), PILLARS, 0.25), 9)
     chosen = findings.where(F.col("status").isin("fail", "warn", "opportunity")).withColumn("severity", severity).withColumn("recoverable", gain)
     order = Window.partitionBy("audit_id").orderBy("severity", F.desc("recoverable"), "check_ord")
     return chosen.withColumn("rank", F.row_number().over(order))

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
-from sitelens.operators import pages as P
-from sitelens.operators import scoring as S
-from sitelens.streaming.limits import stream_rate_limit
-
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_TOK = r"list_transform(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9''’-]*'), lambda w: regexp_replace(w, '[''’]s$', ''))"
-_CONTENT = f"list_filter({_TOK}, lambda w: length(w) > 2 AND w NOT IN ({_STOP}))"
-_SENT = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '([.!?])\s+([A-Z0-9"''“])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
-
-
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+from sitelens.operators import crawl as K
+from sitelens.operators import discovery as D
+from sitelens.operators import evidence as E
+from sitelens.operators import leads as G
+from sitelens.operators import site as L
+from sitelens.plans import audit
+from sitelens.plans import sql as Q
+from sitelens.streaming.limits import charged, stream_latest_stage, stream_rate_limit
+
+_TOK, _CONTENT, _SENT, _q = Q.TOK, Q.CONTENT, Q.SENT, Q.quoted
+_HOST_SQL, _PATH_SQL = Q.HOST, Q.PATH
+_APEX = f"regexp_replace({_HOST_SQL}, '^www\\.', '')"
+_REG_SQL = Q.registrable(_HOST_SQL)
+_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+_TITLE_SQL = r"nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,67 +32,16 @@ def _select(spark: SparkSession, sf_dir: str, table: str, key: str, **columns) -
     return _read(spark, sf_dir, table).select(key, *[c.alias(n) for n, c in columns.items()])
 
 
-_HOST_SQL = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))"
-_PATH_SQL = r"regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
-_MULTI = ", ".join(f"'{m}'" for m in U.MULTI_PART)
-_APEX = f"regexp_replace({_HOST_SQL}, '^www\\.', '')"
-_LAST = f"list_slice(string_split({_APEX}, '.'), -{{}}, -1)"
-_REG_SQL = f"CASE WHEN array_to_string({_LAST.format(2)}, '.') IN ({_MULTI}) THEN array_to_string({_LAST.format(3)}, '.') ELSE array_to_string({_LAST.format(2)}, '.') END"
-_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-
-
 def _title():
     return F.nullif(F.trim(F.regexp_extract("html", _TITLE, 1)), F.lit(""))
 
 
-_TITLE_SQL = r"nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
-
-
 def _pages(spark, d):
     return _read(spark, d, "pages").select("page_id", "url", "html", U.registrable(U.host(F.col("url"))).alias("site"), _title().alias("title"))
 
 
 _PAGES_SQL = f"SELECT page_id, url, html, {_REG_SQL} AS site, {_TITLE_SQL} AS title FROM pages"
 
-_CHECKS = (
-    ("seo.index.https", "seo", "seo.index", 14.0, 1.0), ("seo.onpage.title_present", "seo", "seo.onpage", 12.0, 1.0), ("seo.onpage.title_length", "seo", "seo.onpage", 8.0, 1.0),
-    ("aeo.answer.h1", "aeo", "aeo.answer", 10.0, 0.8), ("geo.machine.lists", "geo", "geo.machine", 6.0, 0.5),
-)
-
-
-def findings(spark, d) -> DataFrame:
-    """A finding for each site and check, from shares of its pages."""
-    p = _pages(spark, d)
-    share = [
-        F.col("url").startswith("https://"), F.col("title").isNotNull(), F.coalesce(F.char_length("title").between(30, 60), F.lit(False)),
-        F.col("html").rlike("(?i)<h1"), F.col("html").rlike("(?i)<(ul|ol|table)"),
-    ]
-    site = p.groupBy("site").agg(*[F.avg(s.cast("double")).alias(f"s{i}") for i, s in enumerate(share)])
-    rows = F.array(*[F.struct(F.lit(i).alias("check_ord"), F.lit(c).alias("check_id"), F.lit(pi).alias("pillar"), F.lit(g).alias("group"), F.lit(w).alias("weight"), F.lit(k).alias("confidence"), F.col(f"s{i}").alias("score")) for i, (c, pi, g, w, k) in enumerate(_CHECKS)])
-    return site.select(F.col("site").alias("audit_id"), F.inline(rows)).withColumn("status", S.grade_status(F.col("score")))
-
-
-_SHARES = ["url LIKE 'https://%'", "title IS NOT NULL", "coalesce(length(title) BETWEEN 30 AND 60, false)", "regexp_matches(html, '(?i)<h1')", "regexp_matches(html, '(?i)<(ul|ol|table)')"]
-_FINDINGS_SQL = f"(SELECT *, CASE WHEN score < 0.4 THEN 'fail' WHEN score < 0.8 THEN 'warn' ELSE 'pass' END AS status FROM (" + " UNION ALL ".join(
-    f"SELECT site AS audit_id, {i} AS check_ord, '{c}' AS check_id, '{p}' AS pillar, '{g}' AS \"group\", {w}::DOUBLE AS weight, {k}::DOUBLE AS confidence, avg(({s})::INT::DOUBLE) AS score FROM pg GROUP BY site" for i, ((c, p, g, w, k), s) in enumerate(zip(_CHECKS, _SHARES, strict=True))
-) + "))"
-_WITH = f"WITH pg AS ({_PAGES_SQL}), findings AS {_FINDINGS_SQL}"
-_GW = "CASE \"group\" " + " ".join(f"WHEN '{g}' THEN {float(w)}::DOUBLE" for g, w in S.GROUPS.items()) + " ELSE 10.0::DOUBLE END"
-_PW = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {w}::DOUBLE" for p, w in S.PILLARS.items()) + " ELSE 0.25::DOUBLE END"
-_GROUPS_SQL = f"SELECT audit_id, pillar, \"group\", sum(weight * confidence * score) / sum(weight * confidence) AS score, 1.0::DOUBLE AS coverage, {_GW} AS group_weight FROM findings GROUP BY ALL"
-_PILLARS_SQL = f"SELECT audit_id, pillar, 1.0::DOUBLE AS coverage, floor(sum(score * group_weight) / sum(group_weight) * 100 + 0.5)::BIGINT AS score FROM ({_GROUPS_SQL}) GROUP BY ALL"
-_OVERALL_SQL = f"SELECT *, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' WHEN overall >= 35 THEN 'D' ELSE 'E' END AS band FROM (SELECT audit_id, floor(sum(score * {_PW}) / sum({_PW}) + 0.5)::BIGINT AS overall FROM ({_PILLARS_SQL}) GROUP BY ALL)"
-
-
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 9) for n in names})
-
-
-def _corpus_top_terms(spark, d):
-    rows = _read(spark, d, "documents").select("lang", F.explode(T.top_terms(T.content_tokens(F.col("text")))).alias("t"))
-    counted = rows.groupBy("lang", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight")).where("weight > 1 and char_length(term) > 3")
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "term"))).where("rank <= 15")
-
 
 def _conv_answers(spark, d):
     turn = Window.partitionBy("conv_id").orderBy("turn")
@@ -119,57 +71,216 @@ def _url_sample(spark, d):
     return turn.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("turn", "first_seen"))).where("place <= 25").select("site", "page_id", "place")
 
 
-def _strip(html: str) -> str:
-    return f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+def _recent(spark, d):
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return _read(spark, d, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("place")).where("place <= 5")
 
 
-def _flat(text: str) -> str:
-    return f"trim(regexp_replace({text}, '{P.BLANK}', ' ', 'g'))"
+def _sentences():
+    return T.sentences(F.col("text"))
 
 
-_BODY_SQL = f"regexp_replace(regexp_extract(html, '{P.BODY}', 1), '(?s)<!--.*?-->', '', 'g')"
-for _tag in P.DROPPED:
-    _BODY_SQL = f"regexp_replace({_BODY_SQL}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
-_BODY_SQL = _flat(_strip(_BODY_SQL))
-_SIGNALS_SQL = f"""SELECT page_id, site, nullif(trim(regexp_extract(html, {_q(P.LANG)}, 1)), '') AS lang, len(h)::INT AS h1_count, h[1] AS h1, len({_TOK.format("body")})::INT AS word_count,
- round(length(body) / greatest(length(html), 1), 9) AS text_ratio, len(l)::INT AS links, len(list_distinct(list_filter(l, lambda u: u LIKE '/%' AND NOT u LIKE '//%')))::INT AS internal_links,
- len(i)::INT AS images, len(list_filter(i, lambda x: regexp_matches(x, {_q(P.ALT)})))::INT AS images_with_alt, regexp_matches(html, {_q(P.NOINDEX)}) AS noindex
- FROM (SELECT page_id, {_REG_SQL} AS site, html, {_BODY_SQL} AS body, list_filter(list_transform(regexp_extract_all(html, {_q(P.H1)}, 1), lambda x: {_flat(_strip("x"))}), lambda x: x <> '') AS h,
- list_filter(regexp_extract_all(html, {_q(P.HREF)}, 1), lambda u: u <> '' AND NOT regexp_matches(u, '(?i)^(#|mailto:|tel:|javascript:)')) AS l, regexp_extract_all(html, {_q(P.IMAGE)}, 1) AS i FROM pages)"""
+def _count(rule):
+    return F.size(F.filter(_sentences(), rule))
 
 
-def _thin(spark, d):
-    p = _pages(spark, d).select("page_id", "site", "html")
-    return P.thin_pages(P.signals(p).join(p.select("page_id", "site"), "page_id"))
+def _sentence_counts(spark, d):
+    made = _read(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).withColumn("n", F.transform("s", lambda x: F.size(T.tokens(x)).cast("double")))
+    return made.select("doc_id", F.size("s").alias("n_sentences"), T.median(F.col("n")).alias("median_words"))
 
 
-def _recent(spark, d):
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _read(spark, d, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("place")).where("place <= 5")
+def _word_counts(spark, d):
+    made = _read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return made.select("doc_id", F.size("t").alias("n_tokens"), F.size(T.content_of(F.col("t"))).alias("n_content"))
 
 
-def _coverage(spark, d):
-    rolled = findings(spark, d).rollup("pillar", "group").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
-    return rolled.select("pillar", "group", "n", "mean_score")
+def _gram_hashes(spark, d):
+    """Number and sum of the hashes of all five-word grams of the content words of whole texts."""
+    made = _read(spark, d, "documents").select("doc_id", F.transform(T.grams(T.content_tokens(F.col("text"))), T.fnv1a).alias("h"))
+    return made.select("doc_id", F.size("h").alias("n"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-def _sentences():
-    return T.sentences(F.col("text"))
+def _shingles(spark, d):
+    made = _read(spark, d, "documents").select("doc_id", T.shingles(F.col("text")).alias("s")).where("size(s) > 0")
+    return made.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_max("s").alias("largest"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-def _count(rule):
-    return F.size(F.filter(_sentences(), rule))
+def _near_documents(spark, d):
+    """Pairs of documents of one source whose shingles are alike."""
+    made = _read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("audit_id"), F.col("doc_id").alias("page_ord"), T.shingles(F.col("text")).alias("shingles"))
+    return L.near_duplicate_pages(made).select(F.col("audit_id").alias("source"), "a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+#: Places of one document's terms follow those of the documents before it.
+_ROOM = 1 << 24
+
+
+def _corpus_top_terms(spark, d):
+    rows = _read(spark, d, "documents").select("lang", "doc_id", F.posexplode(T.top_terms(T.content_tokens(F.col("text")))).alias("pos", "t"))
+    counted = rows.groupBy("lang", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"), F.min(F.col("doc_id") * _ROOM + F.col("pos")).alias("seen")).where("weight > 1 and char_length(term) > 3")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "seen"))
+    return counted.withColumn("rank", first).where("rank <= 15").drop("seen")
+
+
+_TERMS_SQL = f"""SELECT lang, term, weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, seen) AS rank FROM (SELECT lang, term, sum(w)::BIGINT AS weight, min(doc_id * {_ROOM} + pos) AS seen FROM
+ (SELECT lang, doc_id, unnest(c) AS term, 1 AS w, generate_subscripts(c, 1) - 1 AS pos FROM (SELECT lang, doc_id, {_CONTENT.format('text')} AS c FROM documents)
+ UNION ALL SELECT lang, doc_id, c[i] || ' ' || c[i + 1], 2, len(c) + i - 1 FROM (SELECT lang, doc_id, c, unnest(range(1, len(c))) AS i FROM (SELECT lang, doc_id, {_CONTENT.format('text')} AS c FROM documents)))
+ GROUP BY lang, term HAVING sum(w) > 1 AND length(term) > 3)) WHERE rank <= 15"""
+
+#: Hosts that pages stand for where citations are needed.
+_HOSTS = ("en.wikipedia.org", "www.nytimes.com", "news.bbc.co.uk", "techcrunch.com", "www.g2.com", "old.reddit.com", "news.ycombinator.com", "m.youtube.com", "economictimes.indiatimes.com", "list.example.org")
+
+
+def _hits(spark, d):
+    n = len(_HOSTS)
+    at = F.col("page_id") % n + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)
+    cited = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (at % n + 1).cast("int"))
+    p = _read(spark, d, "pages")
+    return p.select(U.host(F.col("url")).alias("audit_id"), F.col("page_id").alias("ord"), U.host(F.col("url")).alias("host"), F.concat(F.lit("https://"), cited, F.lit("/x")).alias("url"))
+
+
+_SITE_OF = {h: ".".join(h.split(".")[-3:] if h.endswith("co.uk") else h.split(".")[-2:]) for h in _HOSTS}
+_TIER_OF = {h: next((n for n, _, _, hosts in E.TIERS if s in hosts.split()), 7) for h, s in _SITE_OF.items()}
+_HITS_SQL = f"""SELECT DISTINCT audit_id, site, tier FROM (SELECT {_HOST_SQL} AS audit_id, {list(_SITE_OF.values())}[k] AS site, {list(_TIER_OF.values())}[k] AS tier
+ FROM (SELECT *, (page_id % {len(_HOSTS)} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) % {len(_HOSTS)} + 1 AS k FROM pages))"""
+
+
+def _citations(spark, d):
+    return E.citations(_hits(spark, d)).select("audit_id", "site", "tier")
+
+
+def _citation_weights(spark, d):
+    w = E.citation_weights(E.citations(_hits(spark, d)))
+    return w.select("audit_id", F.round("tier_weight", 9).alias("tier_weight"), F.round("tier7_weight", 9).alias("tier7_weight"))
+
+
+_WEIGHT_SQL = "CASE tier " + " ".join(f"WHEN {n} THEN {w}::DOUBLE" for n, w, _, _ in E.TIERS) + " ELSE 0.15::DOUBLE END"
+
+
+def _answers(spark, d):
+    """Assistant turns as sampled answers about two brands that rivals are named beside."""
+    c = _read(spark, d, "conversations").where("role = 'assistant'")
+    rivals = F.array(F.lit("the "), F.lit("tion"), F.lit("que "))
+    return c.select(
+        (F.col("conv_id") % 5).alias("audit_id"), F.lit("one").alias("engine"), F.col("conv_id").cast("string").alias("prompt"), F.col("turn").alias("sample_index"), F.col("text").alias("answer"), F.lit("and").alias("brand"),
+        F.lit("www.example.com").alias("host"), rivals.alias("rivals"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("blog.example.com"))).otherwise(F.array(F.lit("other.org"))).alias("cited_domains"),
+    )
+
+
+_LOW = "lower(text)"
+_AT = f"instr({_LOW}, 'and')"
+_NEAR = f"substr({_LOW}, greatest({_AT} - 160, 1), least({_AT} - 1, 160) + 220)"
+_MENTIONS_SQL = f"""SELECT conv_id % 5 AS audit_id, conv_id::VARCHAR AS prompt, turn AS sample_index, {_AT} > 0 AS brand_mentioned,
+ CASE WHEN {_AT} > 0 THEN 1 + (instr({_LOW}, 'the ') BETWEEN 1 AND {_AT} - 1)::INT + (instr({_LOW}, 'tion') BETWEEN 1 AND {_AT} - 1)::INT + (instr({_LOW}, 'que ') BETWEEN 1 AND {_AT} - 1)::INT END::INT AS ordinal,
+ conv_id % 3 = 0 AS cited_brand_domain, ((instr({_LOW}, 'the ') > 0)::INT + (instr({_LOW}, 'tion') > 0)::INT + (instr({_LOW}, 'que ') > 0)::INT)::INT AS rivals,
+ CASE WHEN {_AT} > 0 THEN CASE WHEN regexp_matches({_NEAR}, '{T.POSITIVE}') AND NOT regexp_matches({_NEAR}, '{T.NEGATIVE}') THEN 'positive' WHEN regexp_matches({_NEAR}, '{T.NEGATIVE}') AND NOT regexp_matches({_NEAR}, '{T.POSITIVE}') THEN 'negative' ELSE 'neutral' END END AS sentiment
+ FROM conversations WHERE role = 'assistant'"""
+
+
+def _mentions(spark, d):
+    m = E.mentions(_answers(spark, d))
+    return m.select("audit_id", "prompt", "sample_index", "brand_mentioned", "ordinal", "cited_brand_domain", F.size("competitors_mentioned").alias("rivals"), "sentiment")
+
+
+def _voice(spark, d):
+    s = E.answer_summary(E.mentions(_answers(spark, d)))
+    return s.withColumns({"voice_pct": F.round("voice_pct", 9), "mean_ordinal": F.round("mean_ordinal", 9)})
+
+
+_VOICE_SQL = f"""SELECT audit_id, count(*) AS ai_samples, count(*) FILTER (brand_mentioned) AS ai_mentioned, count(*) FILTER (cited_brand_domain) AS ai_cited, round(coalesce(count(*) FILTER (brand_mentioned) * 100.0::DOUBLE / nullif(count(*) FILTER (brand_mentioned) + sum(rivals), 0), 0), 9) AS voice_pct,
+ count(*) FILTER (brand_mentioned AND sentiment = 'positive') AS ai_positive, count(*) FILTER (brand_mentioned AND sentiment = 'negative') AS ai_negative, round(avg(ordinal) FILTER (brand_mentioned), 9) AS mean_ordinal FROM ({_MENTIONS_SQL}) GROUP BY audit_id"""
+
+
+def _leads(spark, d):
+    """Customers as leads of the site that bears their segment's name."""
+    orders = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    c = _read(spark, d, "customer").join(orders, "c_custkey", "left")
+    host = F.concat(F.lit("www."), F.lower("c_mktsegment"), F.lit(".com"))
+    mail = F.when(F.col("c_custkey") % 3 == 0, "gmail.com").when(F.col("c_custkey") % 3 == 1, F.concat(F.lower("c_mktsegment"), F.lit(".com"))).otherwise("other.org")
+    rows = c.select(
+        "c_custkey", F.concat(F.col("c_name"), F.lit("@"), mail).alias("email"), host.alias("host"), (F.col("c_custkey") % 101).alias("overall"), F.coalesce("n", F.lit(0)).alias("pages_discovered"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") / 3).alias("page_rank"), (F.col("c_nationkey") % 4 == 0).alias("has_entity"), (F.col("c_custkey") % 4).alias("top_citations"), (F.col("c_custkey") % 2 == 0).alias("has_competitors"), (F.col("c_acctbal") > 5000).alias("has_budget"),
+    )
+    return G.lead_scores(rows)
+
+
+def _lead_scores(spark, d):
+    return _leads(spark, d).select("c_custkey", "lead_score", "grade", "is_free_email", "email_matches_domain", G.tone(F.col("overall")).alias("tone"))
+
+
+_OWN = "c_custkey % 3 = 1"
+_LEADS_SQL = f"""SELECT c_custkey, lead_score, CASE WHEN lead_score >= 70 THEN 'A' WHEN lead_score >= 55 THEN 'B' WHEN lead_score >= 40 THEN 'C' ELSE 'D' END AS grade, c_custkey % 3 = 0 AS is_free_email, {_OWN} AS email_matches_domain,
+ CASE WHEN c_custkey % 101 >= 70 THEN 'good' WHEN c_custkey % 101 >= 55 THEN 'warning' WHEN c_custkey % 101 >= 35 THEN 'serious' ELSE 'critical' END AS tone FROM (SELECT *, floor(100 * (0.3::DOUBLE * least(1.0::DOUBLE, log10(greatest(n, 10)) / 3) + 0.3::DOUBLE * ((100 - c_custkey % 101) / 100.0::DOUBLE)
+ + 0.25::DOUBLE * least(1.0::DOUBLE, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey / 3.0::DOUBLE / 10 * 0.6::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN c_nationkey % 4 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN c_custkey % 4 > 0 THEN 0.15::DOUBLE ELSE 0 END)
+ + 0.15::DOUBLE * least(1.0::DOUBLE, CASE WHEN c_custkey % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN {_OWN} THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN c_acctbal > 5000 THEN 0.3::DOUBLE ELSE 0 END)) + 0.5)::BIGINT AS lead_score
+ FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1) USING (c_custkey))"""
+
+
+def _dashboard(spark, d):
+    leads = _read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("audit_id"))
+    audits = _read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("host"), F.col("n_regionkey").alias("overall_score"))
+    return G.lead_dashboard(leads, audits, _read(spark, d, "orders").select(F.col("o_custkey").alias("lead_id"))).select("id", "name", "host", "overall_score", "has_booking")
+
+
+def _admin(spark, d):
+    o = _read(spark, d, "orders")
+    return G.admin_counters(o.select(F.when(F.col("o_orderstatus") == "F", "complete").otherwise("running").alias("status"), F.concat(F.col("o_orderpriority"), F.col("o_custkey") % 50).alias("email")))
+
+
+def _charged(spark, d):
+    e = charged(_read(spark, d, "events").withColumn("scope", F.lit("ip")), "event_type", "user_id", 3600, 2)
+    return e.select("event_id", "window_s", "allowed")
+
+
+_ROBOTS = {
+    "open": "User-agent: *\nDisallow:\nSitemap: https://open.example.com/map.xml\n", "closed": "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nUser-agent: CCBot\nAllow: /\n",
+    "mixed": "# a comment\nUser-agent: ClaudeBot\nDisallow: /private*\nAllow: /private/open$\nno colon here\nUser-agent: perplexity\nCrawl-delay: 2\nDisallow: /*.pdf$\n", "early": "Disallow: /x\nUser-agent: *\nDisallow: /a\nAllow: /a/b\n",
+}
+
+
+def robots_fetches(spark: SparkSession) -> DataFrame:
+    rows = [(name, f"https://{name}.example.com/robots.txt", 200, body) for name, body in _ROBOTS.items()] + [("none", "https://none.example.com/robots.txt", 404, ""), ("page", "https://page.example.com/robots.txt", 200, "<!DOCTYPE html><html></html>")]
+    return spark.createDataFrame(rows, "audit_id string, url string, status_code int, body string")
+
+
+def _robots(spark, d):
+    files = D.robots_files(robots_fetches(spark))
+    return D.allowed(D.robots_rules(files.where("found")), files, [a for a, _, _ in D.AI_CRAWLERS], ["/", "/a/b", "/private/open", "/x.pdf"])
+
+
+def _crawl(spark, d):
+    """A crawl of each site over the links that its pages show, without robots rules, seeded by all its pages."""
+    seen = audit.signals(spark, d).select("audit_id", "page_ord", "url", "internal_links")
+    links = seen.select("audit_id", U.canonical(F.col("url")).alias("url"), F.posexplode("internal_links").alias("link_ord", "link"))
+    sampled = seen.select("audit_id", F.col("page_ord").alias("ord"), U.canonical(F.col("url")).alias("url"))
+    none = D.robots_files(robots_fetches(spark).limit(0))
+    starts = seen.groupBy("audit_id").agg(F.min_by("url", "page_ord").alias("url"))
+    return K.crawl(starts, links, D.robots_rules(none), none, sampled, "any")
 
 
-REGISTRY = {
-    "doc_word_counts": (lambda s, d: _select(s, d, "documents", "doc_id", n_tokens=F.size(T.tokens(F.col("text"))), n_content=F.size(T.content_tokens(F.col("text")))), f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, len({_CONTENT.format('text')})::INT AS n_content FROM documents"),
+REGISTRY = audit.REGISTRY | {
+    "doc_word_counts": (_word_counts, f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, len({_CONTENT.format('text')})::INT AS n_content FROM documents"),
+    "doc_sentences": (_sentence_counts, f"SELECT doc_id, len(s)::INT AS n_sentences, coalesce(list_median(list_transform(s, lambda x: len({_TOK.format('x')})::DOUBLE)), 0.0::DOUBLE) AS median_words FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)"),
+    "doc_fnv_hash": (_gram_hashes, f"SELECT doc_id, count(h)::INT AS n, coalesce(sum(h), 0)::BIGINT AS total FROM (SELECT doc_id, CASE WHEN i IS NOT NULL THEN {Q.FNV.format('array_to_string(list_slice(w, i, i + 4), chr(32))')} END AS h FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) ELSE [NULL] END) AS i FROM (SELECT doc_id, {_CONTENT.format('text')} AS w FROM documents))) GROUP BY doc_id"),
+    "doc_shingles": (_shingles, f"SELECT doc_id, count(*) AS n, max(h) AS largest, sum(h)::BIGINT AS total FROM ({Q.shingle_rows('documents', 'doc_id', _CONTENT.format('text'))}) GROUP BY doc_id"),
+    "doc_near_duplicates": (_near_documents, f"WITH s AS MATERIALIZED ({Q.shingle_rows('documents', 'doc_id', _CONTENT.format('text'), 'source')}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 40) SELECT coalesce(a.source, '') AS source, a.doc_id AS a, b.doc_id AS b, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 9) AS similarity FROM s a JOIN s b ON coalesce(a.source, '') = coalesce(b.source, '') AND a.h = b.h AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.source, a.doc_id, b.doc_id HAVING count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.7"),
+    "corpus_top_terms": (_corpus_top_terms, _TERMS_SQL),
+    "host_citation_tier": (_citations, _HITS_SQL),
+    "citation_score": (_citation_weights, f"SELECT audit_id, round(coalesce(sum({_WEIGHT_SQL}) FILTER (tier < 7), 0), 9) AS tier_weight, round(coalesce(sum({_WEIGHT_SQL}) FILTER (tier = 7), 0), 9) AS tier7_weight FROM ({_HITS_SQL}) GROUP BY audit_id"),
+    "tier_histogram": (lambda s, d: E.tier_histogram(E.citations(_hits(s, d))).withColumnRenamed("count", "n"), f"SELECT audit_id, tier, count(*) AS n FROM ({_HITS_SQL}) GROUP BY audit_id, tier"),
+    "answer_mentions": (_mentions, _MENTIONS_SQL),
+    "share_of_voice": (_voice, _VOICE_SQL),
+    "lead_scores": (_lead_scores, _LEADS_SQL),
+    "lead_dashboard": (_dashboard, "SELECT c_custkey AS id, c_name AS name, n_name AS host, n_regionkey AS overall_score, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_booking FROM customer LEFT JOIN nation ON c_custkey % 4 <> 0 AND n_nationkey = c_nationkey"),
+    "admin_counters": (_admin, "SELECT count(*) AS audits, count(*) FILTER (o_orderstatus = 'F') AS completed, count(DISTINCT lower(o_orderpriority || (o_custkey % 50)::VARCHAR)) AS people FROM orders"),
+    "rate_limit_calls": (_charged, "SELECT event_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, row_number() OVER (PARTITION BY event_type, user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events"),
+    "robots_allowed": (_robots, None),
+    "crawl_rounds": (_crawl, None),
+    "stream_stage_state": (stream_latest_stage, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL"),
     "doc_tokens": (lambda s, d: _select(s, d, "documents", "doc_id", tokens=F.array_join(T.tokens(F.col("text")), " ")), f"SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents"),
-    "doc_sentences": (lambda s, d: _select(s, d, "documents", "doc_id", n_sentences=F.size(_sentences()), median_words=T.median(F.transform(_sentences(), lambda s: F.size(T.tokens(s)).cast("double")))), f"SELECT doc_id, len(s)::INT AS n_sentences, coalesce(list_median(list_transform(s, lambda x: len({_TOK.format('x')})::DOUBLE)), 0.0::DOUBLE) AS median_words FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)"),
     "doc_definitions": (lambda s, d: _select(s, d, "documents", "doc_id", n_definitions=_count(T.is_definition)), f"SELECT doc_id, len(list_filter({_SENT.format('text')}, lambda x: regexp_matches(x, {_q(T.DEFINITION)})))::INT AS n_definitions FROM documents"),
     "doc_statistics": (lambda s, d: _select(s, d, "documents", "doc_id", n_statistics=_count(T.is_statistic)), f"SELECT doc_id, len(list_filter({_SENT.format('text')}, lambda x: regexp_matches(x, {_q(T.STATISTIC)}) AND len({_CONTENT.format('x')}) >= 5))::INT AS n_statistics FROM documents"),
     "doc_quotable": (lambda s, d: _select(s, d, "documents", "doc_id", n_quotable=_count(T.is_quotable)), f"SELECT doc_id, len(list_filter({_SENT.format('text')}, lambda x: len({_TOK.format('x')}) BETWEEN 15 AND 45 AND NOT x LIKE '%?' AND NOT regexp_matches(x, {_q(T.CONNECTIVE)}) AND len({_CONTENT.format('x')}) >= 7))::INT AS n_quotable FROM documents"),
-    "doc_fnv_hash": (lambda s, d: _select(s, d, "documents", "doc_id", h=T.fnv1a(F.array_join(F.slice(T.content_tokens(F.col("text")), 1, 5), " "))), f"SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split(array_to_string(list_slice({_CONTENT.format('text')}, 1, 5), ' '), ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM documents"),
-    "corpus_top_terms": (_corpus_top_terms, f"SELECT lang, term, weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM (SELECT lang, term, sum(w)::BIGINT AS weight FROM (SELECT lang, unnest(c) AS term, 1 AS w FROM (SELECT lang, {_CONTENT.format('text')} AS c FROM documents) UNION ALL SELECT lang, unnest(list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])), 2 FROM (SELECT lang, {_CONTENT.format('text')} AS c FROM documents)) GROUP BY ALL HAVING sum(w) > 1 AND length(term) > 3)) WHERE rank <= 15"),
     "conv_answers": (_conv_answers, f"SELECT conv_id, turn, length(trim(text)) >= 6 AND (trim(text) LIKE '%?' OR regexp_matches(trim(text), {_q(T.STARTERS)})) AS is_question, coalesce(nxt = 'assistant', false) AND coalesce(length(trim(answer)) BETWEEN 40 AND 320 AND NOT trim(answer) LIKE '%?' AND NOT regexp_matches(trim(answer), {_q(T.BACKWARD)}), false) AS qualifies FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'"),
     "url_parts": (lambda s, d: _select(s, d, "pages", "page_id", host=U.host(F.col("url")), registrable=U.registrable(U.host(F.col("url"))), depth=U.depth(F.col("url")), is_html=U.is_html(F.col("url"))), f"SELECT page_id, {_HOST_SQL} AS host, {_REG_SQL} AS registrable, len(list_filter(string_split({_PATH_SQL}, '/'), lambda p: p <> ''))::INT AS depth, NOT regexp_matches({_PATH_SQL}, {_q(U.ASSET)}) AS is_html FROM pages"),
     "url_variants": (lambda s, d: _select(s, d, "pages", "page_id", variants=F.array_join(U.variants(F.col("url")), " ")), f"SELECT page_id, 'http://' || h || '/ https://' || h || '/ http://www.' || h || '/ https://www.' || h || '/' AS variants FROM (SELECT page_id, {_APEX} AS h FROM pages)"),
@@ -177,16 +288,8 @@ REGISTRY = {
     "url_round_robin_sample": (_url_sample, rf"SELECT site, page_id, place::INT AS place FROM (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY turn, first_seen) AS place FROM (SELECT *, row_number() OVER (PARTITION BY site, prefix ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY site, prefix) AS first_seen FROM (SELECT page_id, {_REG_SQL} AS site, regexp_extract({_PATH_SQL}, '^/([^/]*)', 1) AS prefix FROM pages))) WHERE place <= 25"),
     "page_title": (lambda s, d: _select(s, d, "pages", "page_id", title=_title()), f"SELECT page_id, {_TITLE_SQL} AS title FROM pages"),
     "site_title_duplicates": (_duplicate_titles, f"SELECT site, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS duplicates, count(*) AS titles FROM (SELECT site, lower(title) AS k, count(*) AS n FROM ({_PAGES_SQL}) WHERE title IS NOT NULL GROUP BY ALL) GROUP BY site"),
-    "group_scores": (lambda s, d: _rounded(S.group_scores(findings(s, d)), "score"), f"{_WITH} SELECT * REPLACE (round(score, 9) AS score) FROM ({_GROUPS_SQL})"),
-    "pillar_scores": (lambda s, d: S.pillar_scores(S.group_scores(findings(s, d))), f"{_WITH} {_PILLARS_SQL}"),
-    "overall_scores": (lambda s, d: S.overall_scores(S.pillar_scores(S.group_scores(findings(s, d)))), f"{_WITH} {_OVERALL_SQL}"),
-    "rank_findings": (lambda s, d: _rounded(S.rank_findings(findings(s, d)).select("audit_id", "check_id", "severity", "recoverable", "rank"), "recoverable"), f"{_WITH}, r AS (SELECT *, CASE status WHEN 'fail' THEN CASE WHEN check_id = 'seo.index.https' THEN -1 ELSE 0 END WHEN 'warn' THEN 1 ELSE 2 END AS severity, (1 - score) * weight * confidence * ({_GW}) * ({_PW}) AS recoverable FROM findings WHERE status IN ('fail', 'warn', 'opportunity')) SELECT audit_id, check_id, severity, round(recoverable, 9) AS recoverable, (row_number() OVER (PARTITION BY audit_id ORDER BY severity, recoverable DESC, check_ord))::INT AS rank FROM r"),
     "rate_limit_events": (_rate_limit, "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS hits, least(count(*), 3) AS allowed FROM events GROUP BY ALL"),
-    "page_body_text": (lambda s, d: _select(s, d, "pages", "page_id", body=P.body_text(F.col("html"))), f"SELECT page_id, {_BODY_SQL} AS body FROM pages"),
-    "page_signals": (lambda s, d: P.signals(_read(s, d, "pages")), f"SELECT * EXCLUDE (site) FROM ({_SIGNALS_SQL})"),
-    "site_thin_pages": (_thin, f"SELECT site, count(*) AS pages, sum((word_count < 300)::INT)::BIGINT AS thin, round(avg(word_count), 6) AS mean_words FROM ({_SIGNALS_SQL}) GROUP BY site"),
     "recent_by_user": (_recent, "SELECT user_id, event_id, event_type, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 5"),
-    "coverage_rollup": (_coverage, f"{_WITH} SELECT pillar, \"group\", count(*) AS n, round(avg(score), 9) AS mean_score FROM findings GROUP BY ROLLUP (pillar, \"group\")"),
     "stream_rate_limit": (stream_rate_limit, "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS hits, least(count(*), 3) AS allowed FROM events GROUP BY ALL"),
     "latest_stage": (_latest, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL"),
 }

@@ -1,13 +1,17 @@
-"""Fixed-window rate limits over a stream of events."""
+"""Fixed-window rate limits and latest stages over a stream of events.
+
+Windows are aligned to the clock, as in the store's rate-limit statement, and not opened by a first call.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.sources.tables import shared_folder
+
 LIMIT, WINDOW, LATE = 3, "1 hour", "1 hour"
 
 
@@ -16,26 +20,44 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def limited(events: DataFrame, limit: int = LIMIT, window: str = WINDOW, late: str = LATE) -> DataFrame:
+def limited(events: DataFrame, limit: int = LIMIT, window: str = WINDOW, late: str | None = LATE) -> DataFrame:
     """Hits of each user and aligned window, and how many of them are allowed; refusals are not charged.
 
     State is dropped once the watermark passes a window, so it is bounded by the users active within
-    ``window`` and ``late``. Events later than that are not counted.
+    ``window`` and ``late``. Events later than that are not counted; with ``late`` None all are, and state grows with the windows.
     """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
     hits = timed.groupBy("user_id", F.window("ts", window).alias("w")).agg(F.count("*").alias("hits"))
-    return hits.select("user_id", F.unix_seconds("w.start").alias("window_s"), "hits", F.least("hits", F.lit(limit).cast("bigint")).alias("allowed"))
+    # A limit below one allows nothing.
+    return hits.select("user_id", F.unix_seconds("w.start").alias("window_s"), "hits", F.least("hits", F.lit(max(0, limit)).cast("bigint")).alias("allowed"))
+
+
+def charged(events: DataFrame, scope: str, key: str, seconds: int, limit: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Each call of a batch with its aligned window and whether it is allowed: the first ``limit`` of a scope, key and window are."""
+    start = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds
+    turn = F.row_number().over(Window.partitionBy(scope, key, "window_s").orderBy(ts, tie))
+    return events.withColumn("window_s", start).withColumn("allowed", turn <= max(0, limit))
+
+
+def latest_stages(events: DataFrame) -> DataFrame:
+    """The newest event of each user and type in a stream, and how many there were; state is one row for each of these."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"), F.count("*").alias("n")).select("user_id", "event_type", "m.event_id", "n")
+
+
+def progress(stages: DataFrame, order: list[str]) -> DataFrame:
+    """Of each audit the share of stages that are done and the one that runs."""
+    names = F.array(*[F.lit(s) for s in order])
+    done = F.count_if(F.col("status") == "done")
+    return stages.groupBy("audit_id").agg((done / len(order)).alias("share"), F.max_by("stage", F.when(F.col("status") == "running", F.array_position(names, F.col("stage")))).alias("running"))
 
 
 def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Runs an updating stream over what is there; each key's row of its last batch."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark)
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
 
     def upsert(batch: DataFrame, number: int) -> None:
         # A batch that is run again replaces its own folder.
@@ -49,4 +71,8 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(limited(event_stream(spark, sf_dir)), ["user_id", "window_s"])
+    return drained(limited(event_stream(spark, sf_dir), late=None), ["user_id", "window_s"])
+
+
+def stream_latest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(latest_stages(event_stream(spark, sf_dir)), ["user_id", "event_type"])

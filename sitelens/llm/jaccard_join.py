@@ -1,8 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Documents with equal shingle sets are one class, named by its smallest doc_id. A class's prefix is
-the first ``n - ceil(t n) + 1`` shingles of an order that is by hash, but puts shingles that are
-frequent among first prefixes last. Classes with equal prefix and size are one group; group
+the first ``n - ceil(t n) + 1`` shingles of an order that puts rare ones first: by the number of texts
+in their cell of hashes, of which there is a fixed number, and then by hash. Classes with equal prefix and size are one group; group
 pairs that share a prefix shingle and pass the size bound are expanded to class pairs and
 verified on whole sets, every one of them. A shingle in the prefixes of over ``CROWD`` classes
 has its classes compared on whole sets in blocks; a block gives each class's number of
@@ -29,9 +29,7 @@ from sitelens.llm.components import components
 from sitelens.llm.hashing import rolled, word_hashes
 
 PERCENT, WIDTH = 90, 3
-#: A shingle is frequent if over one in so many documents have it in the prefix, and over LEAST do.
-ONE_IN, LEAST = 4000, 32
-BUCKETS, CROWD, CELLS = 256, 16, 1 << 20
+BUCKETS, CROWD, CELLS = 256, 64, 1 << 22
 #: Classes and shingles of a block of a crowd.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
@@ -99,36 +97,39 @@ def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def frequent(docs: DataFrame, percent: int, width: int) -> np.ndarray:
-    """Cells of hashes that stand in many first prefixes, out of ``CELLS``: counts are summed by cell, so their size is fixed."""
-    chunk = CELLS >> 6
+def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many texts have a shingle of each cell of hashes, out of ``CELLS``, which fixes the size."""
+    chunk, byte = CELLS >> 6, 255
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, "u4")
         for batch in batches:
-            firsts = {s[: prefix_length(len(s), percent)].tobytes() for s in shingle_sets(batch.text.tolist(), width)}
-            total += np.bincount(np.frombuffer(b"".join(firsts), np.int64) & (CELLS - 1), minlength=CELLS)
+            # Copies in a batch count once.
+            sets = {key_of(s): s for s in shingle_sets(batch.text.tolist(), width)}
+            cells, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets.values()]) & (CELLS - 1), return_counts=True)
+            total[cells] += n.astype("u4")
         for k, part in enumerate(total.reshape(-1, chunk)):
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pd.DataFrame({"chunk": [k], "cells": [at.astype("<u4").tobytes()], "counts": [part[at].astype("<u4").tobytes()]})
+            if part.any():
+                # A byte for each cell, and those that need more by their places.
+                over = np.flatnonzero(part >= byte)
+                yield pd.DataFrame({"chunk": [k], "counts": [np.minimum(part, byte).astype("u1").tobytes()], "over": [over.astype("<u4").tobytes()], "more": [part[over].astype("<u4").tobytes()]})
 
-    least = max(LEAST, docs.count() // ONE_IN)
-
-    def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, n in zip(batch.chunk, batch.cells, batch.counts, strict=True):
-                total.setdefault(k, np.zeros(chunk, np.int64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4")
+            for k, counts, over, more in zip(batch.chunk, batch.counts, batch.over, batch.more, strict=True):
+                part = np.frombuffer(counts, "u1").astype(np.int64)
+                part[np.frombuffer(over, "<u4")] = np.frombuffer(more, "<u4")
+                total[k] = total.get(k, 0) + part
         for k, part in total.items():
-            yield pd.DataFrame({"cell": np.flatnonzero(part > least) + k * chunk})
+            yield pd.DataFrame({"chunk": [k], "counts": [np.minimum(part, 2**32 - 1).astype("<u4").tobytes()]})
 
-    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "chunk int, cells binary, counts binary")
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "chunk int, counts binary, over binary, more binary")
+    out = np.zeros((64, chunk), "<u4")
     with finished_shuffles_go(docs.sparkSession):
-        rows = sums.repartition(min(64, shuffle_width(docs.sparkSession)), "chunk").mapInPandas(often, "cell bigint").collect()
-    out = np.zeros(CELLS, bool)
-    out[[r.cell for r in rows]] = True
-    return out
+        for r in sums.repartition(min(64, shuffle_width(docs.sparkSession)), "chunk").mapInPandas(summed, "chunk int, counts binary").collect():
+            out[r.chunk] = np.frombuffer(r.counts, "<u4")
+    return out.reshape(-1)
 
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -140,7 +141,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     spark = docs.sparkSession
     scratch = Scratch(spark)
     cut = scratch.cut
-    hot = spark.sparkContext.broadcast(frequent(docs, percent, width))
+    common = spark.sparkContext.broadcast(cell_counts(docs, width))
 
     def make(batch):
         out = []
@@ -148,8 +149,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
             if not len(s):
                 out.append((doc_id, h, 0, None, None, None))
                 continue
-            late = hot.value[s & (CELLS - 1)]
-            first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
+            first = s[np.argsort(common.value[s & (CELLS - 1)], kind="stable")[: prefix_length(len(s), percent)]]
             out.append((doc_id, h, len(s), key_of(s), first, counts(s)))
         return pd.DataFrame(out, columns=["_id", "text_hash", "n", "key", "prefix", "sig"])
 

@@ -192,7 +192,7 @@ def json_of(answer: Column) -> Column:
     """The JSON of a model's answer, fenced or bare; null where there is none."""
     fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = F.regexp_extract(answer, r"(?s)(\{.*\}|\[.*\])", 1)
-    found = F.when(fenced != "", F.trim(fenced)).otherwise(bare)
+    found = F.regexp_replace(F.when(fenced != "", fenced).otherwise(bare), r"^\s+|\s+$", "")
     return F.when(F.try_parse_json(found).isNotNull(), found)
 
 

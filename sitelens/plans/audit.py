@@ -5,8 +5,6 @@ The SQL beside each query reads the markup by patterns, which for these pages sa
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from sitelens.operators import plan as P
 from sitelens.operators import scoring as S
 from sitelens.operators import site as L
 from sitelens.plans import sql as Q
+from sitelens.sources.tables import stored
 
 AS_OF = "2026-01-01"
 
@@ -44,7 +43,8 @@ def homes(pages: DataFrame) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fetches(spark, sf_dir)
-    seen = L.resolved_canonicals(H.page_signals(got))
+    # A dozen aggregates read the signals; every page is parsed once for all of them.
+    seen = stored(L.resolved_canonicals(H.page_signals(got)))
     targets = homes(got)
     brand = L.brands(seen, targets.select("audit_id", F.col("audit_id").alias("host")))
     # Only files of a site's root and its homepage say anything about discovery here.
@@ -137,7 +137,7 @@ def _page_text(spark, d):
 
 
 def _site_duplicates(spark, d):
-    return _rounded(L.near_duplicate_pages(signals(spark, d), least=0.02), "similarity")
+    return _rounded(L.near_duplicate_pages(stored(signals(spark, d).select("audit_id", "page_ord", "shingles")), least=0.02), "similarity")
 
 
 def _orphans(spark, d):
@@ -163,7 +163,7 @@ def _facts(spark, d):
 
 def question_gaps(spark, d):
     """Gaps of each site over its own template questions."""
-    seen = signals(spark, d)
+    seen = stored(signals(spark, d))
     brand = L.brands(seen, seen.select("audit_id").distinct().withColumn("host", F.col("audit_id"))).select("audit_id", "name", "category", F.lit(None).cast("string").alias("top_term"))
     return E.ranked_gaps(E.question_gaps(E.template_questions(brand), seen)).select("audit_id", "q_ord", "question", "intent", "value", "answered", "matched_url", "rank")
 

@@ -14,6 +14,7 @@ from sitelens.operators import leads as G
 from sitelens.operators import site as L
 from sitelens.plans import audit
 from sitelens.plans import sql as Q
+from sitelens.sources.tables import stored
 from sitelens.streaming.limits import charged, stream_latest_stage, stream_rate_limit
 
 _TOK, _CONTENT, _SENT, _q = Q.TOK, Q.CONTENT, Q.SENT, Q.quoted
@@ -107,7 +108,7 @@ def _shingles(spark, d):
 
 def _near_documents(spark, d):
     """Pairs of documents of one source whose shingles are alike."""
-    made = _read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("audit_id"), F.col("doc_id").alias("page_ord"), T.shingles(F.col("text")).alias("shingles"))
+    made = stored(_read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("audit_id"), F.col("doc_id").alias("page_ord"), T.shingles(F.col("text")).alias("shingles")))
     return L.near_duplicate_pages(made).select(F.col("audit_id").alias("source"), "a", "b", F.round("similarity", 9).alias("similarity"))
 
 
@@ -250,7 +251,7 @@ def _robots(spark, d):
 
 def _crawl(spark, d):
     """A crawl of each site over the links that its pages show, without robots rules, seeded by all its pages."""
-    seen = audit.signals(spark, d).select("audit_id", "page_ord", "url", "internal_links")
+    seen = stored(audit.signals(spark, d).select("audit_id", "page_ord", "url", "internal_links"))
     links = seen.select("audit_id", U.canonical(F.col("url")).alias("url"), F.posexplode("internal_links").alias("link_ord", "link"))
     sampled = seen.select("audit_id", F.col("page_ord").alias("ord"), U.canonical(F.col("url")).alias("url"))
     none = D.robots_files(robots_fetches(spark).limit(0))

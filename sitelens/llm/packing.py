@@ -59,7 +59,7 @@ def _tokenizer(path: str | None):
 
 
 class Encoder(dict):
-    """Token ids of texts, remembered by chunk.
+    """Token ids of texts, remembered by chunk as bytes.
 
     A chunk is a run of plain white space and the run of other characters behind it, parted once more
     where a stop follows a word of letters. The byte-level pre-tokenizer never joins a character with
@@ -71,7 +71,7 @@ class Encoder(dict):
 
     def __init__(self, tokenizer, most: int = 600_000, longest: int = 40):
         super().__init__()
-        self.tokenizer, self.most, self.longest = tokenizer, most, longest
+        self.tokenizer, self.most, self.longest, self.older = tokenizer, most, longest, {}
         made = json.loads(tokenizer.to_str())
         before, model = made.get("pre_tokenizer") or {}, made["model"]
         by_chunk = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
@@ -83,16 +83,29 @@ class Encoder(dict):
         # The fast form leaves out offsets, which nothing here reads.
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        chunks = [_CHUNK.findall(t) if self.by_chunk and not self.other.search(t) else None for t in texts]
-        new = [c for c in set(chain.from_iterable(filter(None, chunks))) if c not in self]
-        if len(self) + len(new) > self.most:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self) >= self.most // 2:
+            # What is still in use comes back from the older half.
+            self.older = dict(self)
             self.clear()
-            new = list(set(chain.from_iterable(filter(None, chunks))))
+        chunks = [_CHUNK.findall(t) if self.by_chunk else [] for t in texts]
+        new, strange = [], set()
+        for c in set(chain.from_iterable(chunks)):
+            if c not in self:
+                known = self.older.get(c)
+                if known is not None:
+                    self[c] = known
+                elif self.other.search(c):
+                    strange.add(c)
+                else:
+                    new.append(c)
         # All new chunks in one call.
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self[chunk] = found.ids
-        out = [self.whole(t) if c is None else list(chain.from_iterable(map(self.__getitem__, c))) for t, c in zip(texts, chunks, strict=True)]
+            self[chunk] = np.array(found.ids, "<u4").tobytes()
+        out = []
+        for text, of in zip(texts, chunks, strict=True):
+            whole = not self.by_chunk or (strange and not strange.isdisjoint(of))
+            out.append(np.array(self.whole(text), "<u4") if whole else np.frombuffer(b"".join(map(self.__getitem__, of)), "<u4"))
         for chunk in new:
             if len(chunk) > self.longest:
                 del self[chunk]
@@ -114,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             for a in range(0, len(batch), TOGETHER):
                 some, out = batch.iloc[a : a + TOGETHER], []
                 for doc_id, found in zip(some.doc_id, encoder.encode(some.text.tolist()), strict=True):
-                    ids = np.array([*found, END_ID], "<u4")
+                    ids = np.append(found, np.array([END_ID], "<u4"))
                     start = 0
                     for n in harmonic_cuts(len(ids), capacity, fine):
                         part = ids[start : start + n]

@@ -109,7 +109,7 @@ def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
     equal = Window.partitionBy("place", "id")
     plan = mix(docs).select("place", "copies", "extra", "size", "position", F.col("doc_id").alias("id"))
     # Rows with one id, text and source are numbered on both sides, so that each meets its own part of the plan.
-    plan = plan.withColumn("turn", F.row_number().over(equal.orderBy(F.desc(F.col("extra")), F.desc("copies")))).where("copies > 0 or extra > 0")
+    plan = plan.withColumn("turn", F.row_number().over(equal.orderBy(F.desc(F.col("extra")), F.desc("copies")))).where("size > 0 and (copies > 0 or extra > 0)")
     keyed = docs.select(F.struct(*[_name(c) for c in columns]).alias("row"), _place().alias("place"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*[_name(c) for c in columns]).alias("order"))
     keyed = keyed.withColumn("turn", F.row_number().over(equal.orderBy("order"))).drop("order")
     joined = keyed.alias("d").join(plan.alias("p"), (F.col("d.place") == F.col("p.place")) & F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.turn") == F.col("p.turn")))

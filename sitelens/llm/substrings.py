@@ -99,6 +99,8 @@ def _repeated_minimizers(texts: DataFrame, seed: int, width: int, seed_width: in
                 seeds.append(np.unique(minimizers(hashed, width, seed_width)))
                 tags.append(np.full(len(seeds[-1]), tag_of(digest(split(text))), np.uint32))
         lo, hi, of = _extremes(np.concatenate(seeds), np.concatenate(tags))
+        if not len(of):
+            return
         # A minimizer goes out once, or twice with the two texts that show it repeats.
         both = np.flatnonzero(lo != hi)
         of, lo = np.concatenate([of, of[both]]), np.concatenate([lo, hi[both]])

@@ -107,6 +107,8 @@ def calibrate(graph: CentroidGraph, sample: np.ndarray, k: int) -> tuple[float,
     Neighbours in the sample lie farther than in the whole, so the whole's recall is hardly lower.
     """
     lists = len(graph.c)
+    if len(sample) < 2:
+        return PROBES[-1], lists
     near, d = graph.search(sample, min(lists, 4 * DEGREE))
     keep, member = posted_lists(d), np.zeros((len(sample), lists), bool)
     np.put_along_axis(member, near, keep, 1)

@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Scratch, finished_shuffles_go, shuffle_width, table
+from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, shuffle_width, table
 from sitelens.llm.components import components
 from sitelens.llm.hashing import rolled, word_hashes
 
 PERCENT, WIDTH = 90, 3
 BUCKETS, CROWD, CELLS = 256, 64, 1 << 22
+#: Bits of the filter of documents to read again; a full one lets more through and changes no result.
+FILTER_BITS = 1 << 24
 #: Classes and shingles of a block of a crowd.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
@@ -189,7 +191,15 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
 
     def sets_of(needed: DataFrame) -> DataFrame:
         known = named.join(needed.distinct(), "rep")
-        again = docs.where("doc_id is not null").select("doc_id", "text").join(known.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ids = known.select(F.col("first").alias("doc_id")).distinct()
+        wanted = spark.sparkContext.broadcast(Bitmap.collect(ids.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS))
+
+        @F.pandas_udf("boolean")
+        def may_be_needed(h: pd.Series) -> pd.Series:
+            return pd.Series(wanted.value.holds(h.to_numpy()))
+
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        again = texts.where(may_be_needed(F.xxhash64("doc_id"))).join(ids, "doc_id", "left_semi")
         return cut(_sketch(again, whole, "key binary, set array<bigint>").join(known.select("key", "rep"), "key").select("rep", "set").dropDuplicates(["rep"]))
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -142,8 +142,8 @@ def _hits(spark, d):
 
 _SITE_OF = {h: ".".join(h.split(".")[-3:] if h.endswith("co.uk") else h.split(".")[-2:]) for h in _HOSTS}
 _TIER_OF = {h: next((n for n, _, _, hosts in E.TIERS if s in hosts.split()), 7) for h, s in _SITE_OF.items()}
-_HITS_SQL = f"""SELECT DISTINCT audit_id, site, tier FROM (SELECT {_HOST_SQL} AS audit_id, {list(_SITE_OF.values())}[k] AS site, {list(_TIER_OF.values())}[k] AS tier
- FROM (SELECT *, (page_id % {len(_HOSTS)} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) % {len(_HOSTS)} + 1 AS k FROM pages))"""
+_HITS_SQL = f"""SELECT DISTINCT audit_id, site, tier FROM (SELECT {_HOST_SQL} AS audit_id, {_REG_SQL} AS own, {list(_SITE_OF.values())}[k] AS site, {list(_TIER_OF.values())}[k] AS tier
+ FROM (SELECT *, (page_id % {len(_HOSTS)} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) % {len(_HOSTS)} + 1 AS k FROM pages)) WHERE site <> own"""
 
 
 def _citations(spark, d):

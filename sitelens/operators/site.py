@@ -25,7 +25,7 @@ COMMERCIAL = r"(?i)/(product|service|solution|pricing|plans|shop)"
 GENERIC = r"(?i)^(click here|here|read more|learn more|more|link|this|details)$"
 LEGAL = r"(inc|llc|ltd|limited|pvt|private|gmbh|corp|corporation|co)$"
 NEAR, LEAST_SHINGLES = 0.7, 40
-_DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "EEE, dd MMM yyyy HH:mm:ss zzz")
+_DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm:ss zzz")
 
 
 def ok_pages(signals: DataFrame) -> DataFrame:
@@ -48,8 +48,9 @@ def broken_pages(signals: DataFrame) -> DataFrame:
 
 
 def parsed_date(text: Column) -> Column:
-    """A moment from the usual ways to write one; null for the rest."""
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in _DATES])
+    """A moment from the usual ways to write one; null for the rest. The name of a weekday before it says nothing."""
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s+", "")
+    return F.coalesce(F.try_to_timestamp(bare), *[F.try_to_timestamp(bare, F.lit(f)) for f in _DATES])
 
 
 def months_between(newest: Column, as_of: Column) -> Column:

@@ -190,7 +190,7 @@ def test_small_functions(spark):
     assert one(spark, M.fixed(F.lit(1.005), 1)) == "1.0" and M.env_number("SITELENS_NOT_SET", 3.0) == 3.0 and round(one(spark, M.log_scaled(F.lit(100))), 6) == 0.666667
     assert len(one(spark, U.hashed_ip(F.lit("1.2.3.4"), "salt:"))) == 16 and one(spark, U.report_name(F.lit("www.A b.com"), F.lit("2025-03-04").cast("date"))) == "A-b.com-2025-03-04-visibility-report.pdf"
     assert one(spark, U.email_domain(F.lit("a@b@Mail.ORG "))) == "mail.org" and one(spark, T.printable(F.lit("“a” – ☃é"))) == '"a" - ?é'
-    assert one(spark, L.parsed_date(F.lit("June 1, 2026"))) == datetime.datetime(2026, 6, 1) and one(spark, L.parsed_date(F.lit("soon"))) is None
+    assert one(spark, L.parsed_date(F.lit("June 1, 2026"))) == datetime.datetime(2026, 6, 1) and one(spark, L.parsed_date(F.lit("soon"))) is None and one(spark, L.parsed_date(F.lit("Wed, 01 Jan 2025 10:00:00 GMT"))) == datetime.datetime(2025, 1, 1, 10)
     assert [one(spark, T.intent(F.lit(t))) for t in ("our pricing page", "a versus b", "how to do it", "hello", "reorders")] == ["transactional", "commercial", "informational", "navigational", "navigational"]
 
 

@@ -48,7 +48,7 @@ def canonical(url: Column) -> Column:
     trimmed = F.when(path(url) == "", "/").when(F.char_length(path(url)) > 1, F.regexp_replace(path(url), "/+$", "")).otherwise(path(url))
     pairs = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     # The index keeps equal keys in their order.
-    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), p.alias("p"))))
+    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.named_struct(F.lit("k"), F.lower(F.substring_index(p, "=", 1)), F.lit("i"), i, F.lit("p"), p)))
     query = F.array_join(F.transform(keyed, lambda s: s["p"]), "&")
     return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host(url), shown, trimmed, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 

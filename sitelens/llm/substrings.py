@@ -92,12 +92,12 @@ def spans(starts: np.ndarray, width: int = WIDTH) -> list[tuple[int, int]]:
 
 def _repeated_minimizers(texts: DataFrame, seed: int, width: int, seed_width: int, parts: int) -> Bitmap:
     def found(batch):
-        seeds, tags = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        seeds, tags = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         texts = batch.text.tolist()
         for text, hashed in zip(texts, word_hashes(texts, seed), strict=True):
             if len(hashed) >= width:
                 seeds.append(np.unique(minimizers(hashed, width, seed_width)))
-                tags.append(np.full(len(seeds[-1]), tag_of(digest(split(text))), np.uint32))
+                tags.append(np.full(len(seeds[-1]), int.from_bytes(digest(split(text))[:8], "little"), np.uint64))
         lo, hi, of = _extremes(np.concatenate(seeds), np.concatenate(tags))
         if not len(of):
             return
@@ -115,7 +115,7 @@ def _repeated_minimizers(texts: DataFrame, seed: int, width: int, seed_width: in
         seeds, tags = [], []
         for batch in batches:
             seeds += [np.frombuffer(x, np.uint64) for x in batch.seeds]
-            tags += [np.frombuffer(x, np.uint32) for x in batch.tags]
+            tags += [np.frombuffer(x, np.uint64) for x in batch.tags]
         if seeds:
             lo, hi, of = _extremes(np.concatenate(seeds), np.concatenate(tags))
             yield pd.DataFrame({"seed": of[lo != hi].view(np.int64)})

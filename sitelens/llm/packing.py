@@ -31,6 +31,8 @@ from sitelens.llm.common import shuffle_width, table
 CAPACITY, END_ID, FINE = 2048, 1, 64
 TOKENIZER = "byte_bpe_50k.json"
 DOCS_PER_WORKER, TOGETHER = 4000, 256
+#: Characters that a token has at least, on the whole; only the number of workers depends on it.
+CHARS_A_TOKEN = 2
 #: A word of letters before a stop, or all up to the next white space; either with the white space before it.
 _CHUNK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r.,;:!?%&)|]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -201,8 +203,9 @@ def pack(cut_pieces: DataFrame, workers: int, capacity: int = CAPACITY) -> DataF
 
 
 def packed(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:
-    """Documents packed; the number of workers follows the number of documents."""
-    n = docs.count()
+    """Documents packed; the number of workers follows the documents and the pieces that their characters make."""
+    made = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
+    n = made.n + made.chars // (CHARS_A_TOKEN * CAPACITY)
     workers = max(1, min(n // DOCS_PER_WORKER, max(shuffle_width(docs.sparkSession), n // 200_000)))
     return pack(pieces(docs, keep_ids=keep_ids, **options), workers)
 

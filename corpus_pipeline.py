@@ -70,8 +70,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every row into sequences; repeats of a document are packed each for itself. A null text is empty."""
-    return packing.packed(docs, keep_ids=False)
+    """Packs every row into sequences, pieces with their ids; repeats of a document are packed each for itself. A null text is empty."""
+    return packing.packed(docs)
 
 
 STAGES = [

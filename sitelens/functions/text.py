@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions.columns import let, trim
 from sitelens.functions.urls import registrable
 
 #: Words without content, question starters and patterns of claims.
@@ -36,11 +36,6 @@ POSITIVE = r"best|leading|top|recommend|excellent|strong|popular|trusted|preferr
 NEGATIVE = r"poor|worst|avoid|complaint|lawsuit|criticis|expensive|limited|drawback|downside"
 
 
-def let(value: Column, make: Callable[[Column], Column]) -> Column:
-    """``make(value)`` with ``value`` computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def tokens(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
     return F.transform(found, lambda w: F.regexp_replace(w, r"['’]s$", ""))
@@ -56,16 +51,16 @@ def content_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s+(?=[A-Z0-9\"'“])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, trim), lambda s: s != "")
 
 
 def is_question(text: Column) -> Column:
-    t = F.trim(text)
+    t = trim(text)
     return (F.char_length(t) >= 6) & (t.endswith("?") | t.rlike(STARTERS))
 
 
 def qualifies_as_answer(text: Column) -> Column:
-    t = F.trim(text)
+    t = trim(text)
     return F.coalesce(F.char_length(t).between(40, 320) & ~t.endswith("?") & ~t.rlike(BACKWARD), F.lit(False))
 
 
@@ -166,7 +161,7 @@ def brand_from_title(title: Column) -> Column:
         short = (F.char_length(last) <= 40) & (F.size(F.split(last, r"\s+")) <= 5)
         return F.when((F.size(parts) >= 2) & short, last)
 
-    return let(F.filter(F.transform(F.split(title, r"\s[|\-–—·]\s"), F.trim), lambda p: p != ""), tail)
+    return let(F.filter(F.transform(F.split(title, r"\s[|\-–—·]\s"), trim), lambda p: p != ""), tail)
 
 
 def host_to_brand(host: Column) -> Column:
@@ -178,7 +173,7 @@ def host_to_brand(host: Column) -> Column:
 def category(*descriptions: Column) -> tuple[Column, Column]:
     """Category (the first clause of the first description, 9 to 140 characters) and descriptor."""
     known = F.coalesce(*descriptions)
-    clause = F.trim(F.get(F.split(known, r"[.;]|\s[—–-]\s"), F.lit(0)))
+    clause = trim(F.get(F.split(known, r"[.;]|\s[—–-]\s"), F.lit(0)))
     return F.when(F.char_length(clause).between(9, 140), clause), F.substring(known, 1, 300)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
+from sitelens.functions.columns import trim
 
 #: Crawlers of AI systems, who runs them and what for; paths of feeds.
 AI_CRAWLERS = (
@@ -35,20 +36,29 @@ def failed_fetch(url: Column, error: Column) -> Column:
 # robots.txt
 
 
-def robots_files(fetches: DataFrame) -> DataFrame:
-    """audit_id, found, status_code, body, html_instead of each site's robots.txt."""
+def robots_files(fetches: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """audit_id, found, status_code, body, html_instead of each site's robots.txt, one row for each site that has a fetch of it.
+
+    Of several fetches that of the site's own origin counts (``origins``: audit_id, origin), then one by https, then the first by address.
+    """
     html = F.substring("body", 1, 200).rlike("(?i)<html|<!doctype")
-    alive = ok(F.col("status_code")) & (F.trim("body") != "")
+    alive = ok(F.col("status_code")) & (trim(F.col("body")) != "")
     files = fetches.where(U.path(F.col("url")) == "/robots.txt")
-    return files.select("audit_id", (alive & ~html).alias("found"), "status_code", F.when(alive & ~html, F.col("body")).alias("body"), (alive & html).alias("html_instead"))
+    own = F.lit(True)
+    if origins is not None:
+        files = files.join(origins.select("audit_id", F.lower("origin").alias("_origin")), "audit_id", "left")
+        own = F.coalesce(F.lower("url") == F.concat("_origin", F.lit("/robots.txt")), F.lit(False))
+    row = F.struct((alive & ~html).alias("found"), "status_code", F.when(alive & ~html, F.col("body")).alias("body"), (alive & html).alias("html_instead"))
+    first = F.min_by(row, F.struct((~own).alias("a"), (~F.lower("url").startswith("https:")).alias("b"), "url", F.coalesce("body", F.lit("")).alias("c")))
+    return files.groupBy("audit_id").agg(first.alias("r")).select("audit_id", "r.*")
 
 
 def robots_lines(files: DataFrame) -> DataFrame:
     """Lines with a number of their group; a group starts at the first user agent after a directive."""
     lines = files.select("audit_id", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "raw"))
-    lines = lines.withColumn("line", F.trim(F.substring_index("raw", "#", 1))).where("line <> ''")
-    field = F.lower(F.trim(F.substring_index("line", ":", 1)))
-    value = F.trim(F.expr("substring(line, instr(line, ':') + 1)"))
+    lines = lines.withColumn("line", trim(F.substring_index("raw", "#", 1))).where("line <> ''")
+    field = F.lower(trim(F.substring_index("line", ":", 1)))
+    value = trim(F.expr("substring(line, instr(line, ':') + 1)"))
     kind = F.when(~F.contains("line", F.lit(":")), "error").when(field == "sitemap", "sitemap").when(field == "user-agent", "agent").otherwise("directive")
     split = lines.select("audit_id", "pos", "line", field.alias("field"), value.alias("value"), kind.alias("kind"))
     grouped = split.where("kind IN ('agent', 'directive')")
@@ -150,7 +160,7 @@ def _blocks(xml: Column, tag: str) -> Column:
 
 
 def _first(block: Column, tag: str) -> Column:
-    found = F.trim(F.regexp_extract(block, rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?{tag}>", 1))
+    found = trim(F.regexp_extract(block, rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?{tag}>", 1))
     for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         found = F.replace(found, F.lit(entity), F.lit(character))
     return F.when(found != "", found)
@@ -205,19 +215,22 @@ def host_variants(fetches: DataFrame, origins: DataFrame) -> DataFrame:
 def probes(fetches: DataFrame) -> DataFrame:
     """Per site, whether there is an llms.txt and how many feeds."""
     path = U.path(F.col("url"))
-    text = ok(F.col("status_code")) & (F.trim("body") != "") & ~F.substring("body", 1, 200).rlike("(?i)<html")
+    text = ok(F.col("status_code")) & (trim(F.col("body")) != "") & ~F.substring("body", 1, 200).rlike("(?i)<html")
     return fetches.groupBy("audit_id").agg((F.count_if((path == "/llms.txt") & text) > 0).alias("llms_found"), F.count_distinct(F.when(path.isin(*FEEDS) & ok(F.col("status_code")), path)).alias("feeds"))
 
 
 def discover(targets: DataFrame, fetches: DataFrame) -> DataFrame:
     """A row of discovery facts for each site of ``targets`` (audit_id, url)."""
-    home = targets.join(fetches.select("audit_id", "url", "final_url", "status_code", "redirect_chain"), ["audit_id", "url"], "left")
+    # A page that was fetched twice counts once, as the fetch that got an answer.
+    answer = F.struct(~ok(F.col("status_code")), "final_url", "status_code", "redirect_chain")
+    once = fetches.join(targets.select("audit_id", "url"), ["audit_id", "url"], "left_semi").groupBy("audit_id", "url").agg(F.min(answer).alias("r")).select("audit_id", "url", "r.final_url", "r.status_code", "r.redirect_chain")
+    home = targets.join(once, ["audit_id", "url"], "left")
     resolved = F.coalesce("final_url", "url")
     home = home.select(
         "audit_id", resolved.alias("resolved"), F.regexp_extract(resolved, r"(?i)^([a-z]+://[^/?#]*)", 1).alias("origin"), F.coalesce("status_code", F.lit(0)).alias("home_status"),
         resolved.rlike("(?i)^https://").alias("https"), F.coalesce(F.size("redirect_chain"), F.lit(0)).alias("redirects"),
     )
-    files = targets.select("audit_id").join(robots_files(fetches), "audit_id", "left").fillna({"found": False, "html_instead": False})
+    files = targets.select("audit_id").join(robots_files(fetches, home.select("audit_id", "origin")), "audit_id", "left").fillna({"found": False, "html_instead": False})
     lines, rules = robots_lines(files.where("found")), robots_rules(files.where("found"))
     summary = lines.groupBy("audit_id").agg(F.count_if(F.col("kind") == "error").alias("errors"), F.count_if((F.col("kind") == "sitemap") & (F.col("value") != "")).alias("declared"))
     blocked = rules.where((F.col("user_agent") == "*") & F.array_contains("disallow", "/")).select("audit_id").distinct().withColumn("blocks", F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.functions.columns import trim
 
 #: Tiers of citing hosts with weight and label; all other hosts are of the last tier, whose sum is capped.
 TIERS = (
@@ -117,7 +118,7 @@ def template_questions(brands: DataFrame) -> DataFrame:
 
 def prompts(brands: DataFrame, market: str = "global") -> DataFrame:
     """The prompts sampled for each brand; none without category and top term."""
-    subject = F.trim(F.array_join(F.slice(F.split(F.coalesce("category", "top_term", F.lit("")), r"\s+"), 1, 6), " "))
+    subject = trim(F.array_join(F.slice(F.split(F.coalesce("category", "top_term", F.lit("")), r"\s+"), 1, 6), " "))
     region = F.lit("" if market in ("", "global") else f" in {market.upper()}")
     rows = [F.struct(F.lit(i).alias("p_ord"), _filled(p, s=F.col("_s"), r=region).alias("prompt")) for i, p in enumerate(PROMPTS)]
     return brands.withColumn("_s", subject).where("_s <> ''").select("audit_id", F.inline(F.array(*rows)))

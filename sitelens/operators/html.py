@@ -2,7 +2,9 @@
 
 Null, empty and non-HTML bodies and responses outside 2xx give the zeroed record. Markup is read with
 the implied end tags of paragraphs, list items, table parts and options; blocks are joined without a
-separator.
+separator. A page costs time in proportion to its size, however deep its elements nest: every element
+knows where its text begins and ends in that of the whole page. JSON-LD that is no JSON, or nests too deep to
+be read, counts as a parse error; lone surrogates in it become U+FFFD. Addresses that no browser reads are left out.
 """
 
 from __future__ import annotations
@@ -11,14 +13,15 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions import addresses as A
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.functions.addresses import canonical
 
 #: Elements without text of the page, counted elements, organisation types and their properties by weight.
 DROPPED = {"script", "style", "noscript", "svg", "template", "iframe"}
@@ -49,36 +52,43 @@ _CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: The kinds of implied ends: that of a paragraph before a block, and those of _CLOSES.
+_KINDS = [({"p"}, {"button", "td", "th", "table", "object"})]
+_KIND_OF = {}
+for _tag, _pair in _CLOSES.items():
+    _KIND_OF[_tag] = _KINDS.index(_pair) if _pair in _KINDS else len(_KINDS)
+    _KINDS += [_pair] * (_pair not in _KINDS)
+_MATTERS = set().union(*[tags | until for tags, until in _KINDS])
 _SPACE = re.compile(r"\s+")
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-
-    def text(self, without: set[str] = frozenset({"script", "style"})) -> str:
-        out, waiting = [], [self]
-        while waiting:
-            n = waiting.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif n.tag not in without or n is self:
-                waiting += reversed(n.children)
-        return "".join(out)
-
-    def flat(self, without: set[str] = frozenset({"script", "style"})) -> str:
-        return _SPACE.sub(" ", self.text(without)).strip()
-
-    def inside(self, tags: set[str]) -> bool:
-        n = self
-        while n is not None:
-            if n.tag in tags:
-                return True
-            n = n.parent
-        return False
+    """An element. ``seen`` and ``kept`` are where its text stands in the page's text without scripts and without all that is DROPPED."""
+
+    __slots__ = ("tag", "attrs", "parent", "place", "elements", "seen", "kept", "raw", "data", "dropped")
+
+    def __init__(self, tag: str, attrs: dict, parent: Node | None, dropped: bool = False):
+        self.tag, self.attrs, self.parent, self.dropped = tag, attrs, parent, dropped
+        self.elements: list[Node] = []
+        self.place = 0
+        self.data: list[str] = []
+
+
+class Text:
+    """The text of a page as it grows, runs of white space as one blank."""
+
+    def __init__(self):
+        self.parts, self.size, self.blank = [], 0, False
+
+    def add(self, data: str) -> None:
+        flat = _SPACE.sub(" ", data)
+        if self.blank and flat.startswith(" "):
+            flat = flat[1:]
+        if flat:
+            self.parts.append(flat)
+            self.size += len(flat)
+            self.blank = flat.endswith(" ")
 
 
 class Tree(HTMLParser):
@@ -86,53 +96,128 @@ class Tree(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.root = Node("", {}, None)
+        self.stack, self.open = [self.root], {}
+        # How many open elements hide text, and all text but that of scripts and styles.
+        self.hidden = self.unseen = 0
+        #: For each element of the stack and each kind of implied end, the outermost element that it would close.
+        self.reach: list[tuple] = [(None,) * len(_KINDS)]
         self.nodes: list[Node] = []
-        self.feed(html)
-        self.close()
-
-    def _close(self, tags: set[str], until: set[str]) -> None:
-        n, last = self.at, None
-        while n is not None and n.tag not in until:
-            if n.tag in tags:
-                last = n
-            n = n.parent
-        if last is not None:
-            self.at = last.parent
+        self.seen, self.kept, self.raw = Text(), Text(), []
+        self.raw_size = 0
+        self._begin(self.root)
+        self._count("", 1)
+        # What cannot be read ends the page.
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:
+            pass
+        while self.stack:
+            self._pop()
+        self.seen_text, self.kept_text, self.raw_text = "".join(self.seen.parts), "".join(self.kept.parts), "".join(self.raw)
+
+    def _begin(self, node: Node) -> None:
+        node.seen, node.kept, node.raw = self.seen.size, self.kept.size, self.raw_size
+
+    def _pop(self) -> None:
+        node = self.stack.pop()
+        self.reach.pop()
+        self._end(node)
+        self._count(node.tag, -1)
+
+    def _count(self, tag: str, by: int) -> None:
+        self.open[tag] = self.open.get(tag, 0) + by
+        if tag in DROPPED:
+            self.hidden += by
+            self.unseen += by * (tag in ("script", "style"))
+
+    def _end(self, node: Node) -> None:
+        node.seen, node.kept, node.raw = (node.seen, self.seen.size), (node.kept, self.kept.size), (node.raw, self.raw_size)
+
+    def _implied(self, kind: int) -> None:
+        at = self.reach[-1][kind]
+        while at is not None and len(self.stack) > at:
+            self._pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCKS:
-            self._close({"p"}, {"button", "td", "th", "table", "object"})
+            self._implied(0)
         if tag in _CLOSES:
-            self._close(*_CLOSES[tag])
+            self._implied(_KIND_OF[tag])
         known: dict = {}
         for name, value in attrs:
             known.setdefault(name, value or "")
-        node = Node(tag, known, self.at)
-        self.at.children.append(node)
+        above = self.stack[-1]
+        node = Node(tag, known, above, self.hidden > 0)
+        node.place = len(above.elements)
+        above.elements.append(node)
         self.nodes.append(node)
-        if tag not in _VOID:
-            self.at = node
+        self._begin(node)
+        if tag in _VOID:
+            self._end(node)
+            return
+        at, reach = len(self.stack), self.reach[-1]
+        if tag in _MATTERS:
+            reach = tuple(None if tag in until else r if r is not None else at if tag in tags else None for r, (tags, until) in zip(reach, _KINDS, strict=True))
+        self.stack.append(node)
+        self.reach.append(reach)
+        self._count(tag, 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # A slash ends void and foreign elements only.
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at.inside({"svg", "math"}):
-            self.at = self.at.parent
+        if tag not in _VOID and (self.open.get("svg") or self.open.get("math")):
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.at = n.parent
+        if self.open.get(tag):
+            while self.stack[-1].tag != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        above = self.stack[-1]
+        if above.tag in ("script", "style"):
+            above.data.append(data)
+        if not self.unseen:
+            self.seen.add(data)
+            self.raw.append(data)
+            self.raw_size += len(data)
+            if not self.hidden:
+                self.kept.add(data)
 
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.nodes if n.tag in tags]
 
+    def trimmed(self, node: Node) -> tuple[int, int]:
+        """Where the element's text without outer blanks stands in ``seen_text``."""
+        a, b = node.seen
+        a += a < b and self.seen_text[a] == " "
+        return a, b - (a < b and self.seen_text[b - 1] == " ")
+
+    def flat(self, node: Node, most: int | None = None) -> str:
+        a, b = self.trimmed(node)
+        return self.seen_text[a : b if most is None else min(b, a + most)]
+
+    def paragraph(self, node: Node) -> str:
+        return self.kept_text[slice(*node.kept)]
+
+    def exact(self, node: Node, most: int = 10_000) -> str:
+        """The text as it is written, without outer white space."""
+        return self.raw_text[node.raw[0] : min(node.raw[1], node.raw[0] + most)].strip()
+
+    def body(self) -> str:
+        """All text that is shown; that of the head only where it is inside the body."""
+        bodies = self.all("body")
+        if bodies:
+            return self.paragraph(bodies[0]).strip()
+        at, parts = 0, []
+        for head in self.all("head"):
+            parts.append(self.kept_text[at : max(at, head.kept[0])])
+            at = max(at, head.kept[1])
+        return _SPACE.sub(" ", "".join([*parts, self.kept_text[at:]])).strip()
+
 
 def objects(value, depth: int, most: int) -> Iterator[dict]:
     """Objects of a JSON value, outer ones first, down to a depth."""
@@ -147,33 +232,22 @@ def objects(value, depth: int, most: int) -> Iterator[dict]:
             yield from objects(v, depth + 1, most)
 
 
-def types_of(node: dict) -> list[str]:
-    t = node.get("@type")
-    return [t] if isinstance(t, str) else [x for x in t if isinstance(x, str)] if isinstance(t, list) else []
+def _refused(name: str):
+    raise ValueError(name)
 
 
-def canonical(raw: str, base: str | None = None) -> str | None:
-    """A URL resolved, without fragment, tracking parameters, default port or closing slash, parameters by key."""
-    try:
-        parts = urlsplit(urljoin(base or "", raw.strip()))
-        port = parts.port
-    except ValueError:
-        return None
-    scheme, name = parts.scheme.lower(), (parts.hostname or "").lower()
-    if scheme not in ("http", "https") or not name:
-        return None
-    shown = "" if port in (None, 443 if scheme == "https" else 80) else f":{port}"
-    path = parts.path or "/"
-    path = path if path == "/" else path.rstrip("/")
-    pairs = [p for p in parts.query.split("&") if p and not re.match(U.TRACKING, p)]
-    pairs.sort(key=lambda p: p.split("=", 1)[0].lower())
-    return f"{scheme}://{name}{shown}{path}" + ("?" + "&".join(pairs) if pairs else "")
+def _json(raw: str):
+    """A JSON value, no NaN or infinity; lone surrogates become U+FFFD. Too deep a value raises RecursionError."""
+    value = json.loads(raw, parse_constant=_refused)
+    written = json.dumps(value, ensure_ascii=False)
+    if not _LONE.search(written):
+        return value
+    return json.loads(written.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"))
 
 
-def _site(url: str) -> str:
-    name = re.sub(r"^www\.", "", (urlsplit(url).hostname or "").lower())
-    labels = name.split(".")
-    return ".".join(labels[-3:] if ".".join(labels[-2:]) in U.MULTI_PART else labels[-2:])
+def types_of(node: dict) -> list[str]:
+    t = node.get("@type")
+    return [t] if isinstance(t, str) else [x for x in t if isinstance(x, str)] if isinstance(t, list) else []
 
 
 def _meta(tree: Tree, *names: str) -> str | None:
@@ -210,35 +284,38 @@ def _author(tree: Tree, blocks: list) -> tuple[str | None, bool]:
             name = name or (found if isinstance(found, str) else None)
     if not name:
         line = _meta(tree, "author", "article:author")
-        line = line or next((n.text().strip() for n in tree.nodes if n.attrs.get("rel") == "author"), "")
+        line = line or next((tree.exact(n) for n in tree.nodes if n.attrs.get("rel") == "author"), "")
         classed = (n for n in tree.nodes if "author" in n.attrs.get("class", "") or "byline" in n.attrs.get("class", "").split())
-        line = line or next((n.flat() for n in classed), "")
+        line = line or next((tree.flat(n, 200) for n in classed), "")
         if line and len(line) < 120:
             name = re.sub(r"(?i)^(by|written by)\s+", "", line).strip() or None
     return name, schema
 
 
 def _questions(tree: Tree) -> list[dict]:
-    """Headings with the text that follows each of them."""
+    """Headings with the text that follows each of them, of which 400 characters are kept."""
     out = []
     for n in tree.all("h1", "h2", "h3", "h4", "summary", "dt"):
-        text = n.flat()
-        if not text:
+        a, b = tree.trimmed(n)
+        if not 6 <= b - a <= LONGEST_QUESTION:
             continue
-        answer = None
-        siblings = [s for s in n.parent.children if isinstance(s, Node)]
-        for s in siblings[siblings.index(n) + 1 :][:4]:
+        text, answer, size = tree.seen_text[a:b], "", 0
+        for s in n.parent.elements[n.place + 1 : n.place + 5]:
             if re.fullmatch("h[1-6]", s.tag):
                 break
-            answer = s.flat() or None
-            if answer:
+            if answer := tree.flat(s, 400):
+                a, b = tree.trimmed(s)
+                size = b - a
                 break
-        size = len(answer or "")
         if not answer:
-            behind = n.parent.flat().split(text)
-            answer = (behind[1].strip()[:400] if len(behind) > 1 else "") or None
-            size = len(answer or "")
-        out.append({"text": text, "answer": answer and answer[:400], "answer_length": size, "whole": answer})
+            # Behind the heading's first place in the text of what holds it, up to its next one.
+            a, b = tree.trimmed(n.parent)
+            behind = tree.seen_text.find(text, a, b) + len(text)
+            if behind >= len(text):
+                again = tree.seen_text.find(text, behind, min(b, behind + 402 + len(text)))
+                answer = tree.seen_text[behind : again if again >= 0 else min(b, behind + 402)].strip()[:400]
+            size = len(answer)
+        out.append({"text": text, "answer": answer or None, "answer_length": size})
     return out
 
 
@@ -259,11 +336,8 @@ def _organisation(blocks: list) -> dict | None:
 def parse(html: str, url: str) -> dict:
     """What the tree of one page shows."""
     tree = Tree(html)
-    bodies = tree.all("body")
-    body = bodies[0] if bodies else tree.root
-    without = DROPPED | {"head"} if not bodies else DROPPED
-    headings = [(int(n.tag[1]), t) for n in tree.nodes if re.fullmatch("h[1-6]", n.tag) and (t := n.flat())]
-    internal, external, anchors, nofollow, site = {}, {}, [], 0, _site(url)
+    headings = [(int(n.tag[1]), t) for n in tree.nodes if re.fullmatch("h[1-6]", n.tag) and (t := tree.flat(n, 300))]
+    internal, external, anchors, nofollow, site = {}, {}, [], 0, A.site(url)
     for n in tree.all("a"):
         href = n.attrs.get("href", "")
         if not href or href.startswith("#") or re.match(r"(?i)(mailto|tel|javascript):", href):
@@ -271,10 +345,10 @@ def parse(html: str, url: str) -> dict:
         target = canonical(href, url)
         if target is None:
             continue
-        if label := n.flat():
-            anchors.append(label[:120])
-        if _site(target) == site:
-            if not re.search(U.ASSET, urlsplit(target).path):
+        if label := tree.flat(n, 120):
+            anchors.append(label)
+        if A.site(target) == site:
+            if not re.search(U.ASSET, A.read(target).path):
                 internal[target] = True
         else:
             external[target] = True
@@ -282,11 +356,11 @@ def parse(html: str, url: str) -> dict:
     images = [n.attrs.get("alt") for n in tree.all("img")]
     blocks, errors = [], 0
     for n in tree.all("script"):
-        raw = "".join(c for c in n.children if isinstance(c, str)).strip()
+        raw = "".join(n.data).strip()
         if n.attrs.get("type") == "application/ld+json" and raw:
             try:
-                blocks.append(json.loads(raw))
-            except ValueError:
+                blocks.append(_json(raw))
+            except (ValueError, RecursionError):
                 errors += 1
     nodes = list(objects(blocks, 0, 8))
     accepted = [o.get("acceptedAnswer") if o.get("acceptedAnswer") is not None else o.get("suggestedAnswer") for o in nodes]
@@ -296,11 +370,11 @@ def parse(html: str, url: str) -> dict:
     counts = {t: len(tree.all(t)) for t in SEMANTIC}
     link = next((n.attrs["href"].strip() for n in tree.all("link") if n.attrs.get("rel") == "canonical" and "href" in n.attrs), None)
     return {
-        "title": next((n.text().strip() for n in tree.all("title")), "") or None, "meta_description": _meta(tree, "description"), "canonical": link,
+        "title": next((tree.exact(n) for n in tree.all("title")), "") or None, "meta_description": _meta(tree, "description"), "canonical": link,
         "robots_raw": robots, "lang": next((n.attrs["lang"].strip() for n in tree.all("html") if "lang" in n.attrs), None),
         "headings": [{"level": k, "text": t[:300]} for k, t in headings[:120]], "h1_count": sum(k == 1 for k, _ in headings),
         "heading_hierarchy_breaks": sum(b - a > 1 for (a, _), (b, _) in zip(headings, headings[1:], strict=False)),
-        "body_text": body.flat(without), "paragraphs": [n.text(DROPPED) for n in tree.all("p") if not n.inside(DROPPED)],
+        "body_text": tree.body(), "paragraphs": [tree.paragraph(n) for n in tree.all("p") if not n.dropped],
         "internal_links": list(internal)[:300], "external_links": list(external)[:150], "anchor_texts": anchors[:300], "nofollow_outbound": nofollow,
         "images": {"total": len(images), "with_alt": sum(bool(a and a.strip()) for a in images), "decorative": sum(a is not None and not a.strip() for a in images)},
         "json_ld": [json.dumps(b) for b in blocks], "json_ld_types": list(dict.fromkeys(t for o in nodes for t in types_of(o))),
@@ -322,11 +396,13 @@ PARSED = (
     "heading_hierarchy_breaks bigint, body_text string, paragraphs array<string>, internal_links array<string>, external_links array<string>, anchor_texts array<string>, "
     "nofollow_outbound bigint, images struct<total:bigint,with_alt:bigint,decorative:bigint>, json_ld array<string>, json_ld_types array<string>, json_ld_has_ids boolean, "
     "json_ld_parse_errors bigint, microdata_types array<string>, open_graph map<string,string>, semantic_tags map<string,bigint>, "
-    "lists struct<ul:bigint,ol:bigint,table:bigint,dl:bigint>, blockquotes bigint, questions array<struct<text:string,answer:string,answer_length:bigint,whole:string>>, "
+    "lists struct<ul:bigint,ol:bigint,table:bigint,dl:bigint>, blockquotes bigint, questions array<struct<text:string,answer:string,answer_length:bigint>>, "
     "faq_answers array<string>, date_published string, date_modified string, author_name string, has_author_schema boolean, "
     "organisation struct<keys:bigint,weight:double,present:array<string>,same_as:array<string>,address:boolean,area:boolean,name:string,legal_name:string,description:string>, "
     "spa_root boolean, script_src bigint"
 )
+#: A longer heading is no question.
+LONGEST_QUESTION = 1000
 #: The body of a page is read up to so many characters, as a crawler would fetch it.
 MOST_BODY = 2_000_000
 
@@ -342,7 +418,8 @@ def page_signals(fetches: DataFrame) -> DataFrame:
     kept = ["audit_id", "page_ord", "url", "final_url", "depth", "status_code", "content_type", "error"]
     usable = F.col("status_code").between(200, 299) & F.coalesce(F.col("content_type").rlike("(?i)html"), F.lit(False))
     body = F.when(usable, F.substring(F.coalesce("html", F.lit("")), 1, MOST_BODY)).otherwise("")
-    source = fetches.select(*kept, body.alias("html"))
+    # As text, so that nulls and large numbers come through pandas unchanged.
+    source = fetches.select(*[F.col(c).cast("string").alias(c) for c in kept], body.alias("html"))
     names = [f.split(" ")[0] for f in re.split(r", (?![^<]*>)", PARSED)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,10 +427,10 @@ def page_signals(fetches: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 128):
                 part = batch.iloc[at : at + 128].reset_index(drop=True)
                 found = pd.DataFrame([parse(h, u or "") for h, u in zip(part.html, part.final_url, strict=True)], columns=names)
-                yield pd.concat([part.assign(page_ord=part.page_ord.astype("string")), found], axis=1)
+                yield pd.concat([part, found], axis=1)
 
-    types = ", ".join(f"{c} {'string' if c == 'page_ord' else source.schema[c].dataType.simpleString()}" for c in [*kept, "html"])
-    parsed = source.mapInPandas(run, f"{types}, {PARSED}").withColumn("page_ord", F.col("page_ord").cast(source.schema["page_ord"].dataType))
+    types = ", ".join(f"{c} string" for c in [*kept, "html"])
+    parsed = source.mapInPandas(run, f"{types}, {PARSED}").withColumns({c: F.col(c).cast(fetches.schema[c].dataType) for c in kept if fetches.schema[c].dataType.typeName() != "string"})
     # Arrays that several columns read are made once.
     lengths = parsed.withColumns({"sentences": T.sentences(F.col("body_text")), "word_count": F.size(T.tokens(F.col("body_text"))).cast("bigint"), "vendor": challenge(F.col("html"))})
     asked = F.filter("questions", lambda q: T.is_question(q["text"]))
@@ -361,7 +438,7 @@ def page_signals(fetches: DataFrame) -> DataFrame:
         "sentence_words": F.transform("sentences", lambda s: F.size(T.tokens(s)).cast("double")),
         "paragraph_words": F.filter(F.transform("paragraphs", lambda p: F.size(T.tokens(p)).cast("double")), lambda n: n > 0),
         "text_to_html_ratio": F.when(F.char_length("html") > 0, F.char_length("body_text") / F.char_length("html")).otherwise(0.0),
-        "question_headings": F.transform(asked, lambda q: F.struct(q["text"].alias("text"), q["answer"].alias("answer"), q["answer_length"].alias("answer_length"), T.qualifies_as_answer(q["whole"]).alias("qualifies"))),
+        "question_headings": F.transform(asked, lambda q: F.struct(q["text"].alias("text"), q["answer"].alias("answer"), q["answer_length"].alias("answer_length"), ((q["answer_length"] <= 320) & T.qualifies_as_answer(q["answer"])).alias("qualifies"))),
     })
     raw = F.coalesce("robots_raw", F.lit(""))
     return counted.select(

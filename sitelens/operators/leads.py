@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import maths as M
 from sitelens.functions import urls as U
+from sitelens.functions.columns import trim
 
 #: Mail hosts anyone can use, markets, and the least score of each grade.
 FREE_MAIL = (
@@ -65,7 +66,7 @@ def owned_by(audits: DataFrame, email: str) -> DataFrame:
 def is_admin(email: Column, allowlist: str) -> Column:
     """Whether an address is in a comma-separated list; an empty list admits nobody."""
     names = [n.strip().lower() for n in allowlist.split(",") if n.strip()]
-    return F.coalesce(F.lower(F.trim(email)).isin(*names), F.lit(False)) if names else F.lit(False)
+    return F.coalesce(F.lower(trim(email)).isin(*names), F.lit(False)) if names else F.lit(False)
 
 
 def may_set_up_schema(email: Column, allowlist: str, ready: bool) -> Column:

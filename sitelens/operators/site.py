@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.functions.columns import trim
 from sitelens.operators.html import canonical
 
 #: What URLs of some kinds of pages hold, and labels that say nothing.
@@ -49,7 +50,7 @@ def broken_pages(signals: DataFrame) -> DataFrame:
 
 def parsed_date(text: Column) -> Column:
     """A moment from the usual ways to write one; null for the rest. The name of a weekday before it says nothing."""
-    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s+", "")
+    bare = F.regexp_replace(trim(text), r"^[A-Za-z]{3,9},\s+", "")
     return F.coalesce(F.try_to_timestamp(bare), *[F.try_to_timestamp(bare, F.lit(f)) for f in _DATES])
 
 
@@ -87,13 +88,13 @@ def orphan_pages(signals: DataFrame) -> DataFrame:
 
 def repeats(pages: DataFrame, column: str) -> DataFrame:
     """Per site, how many pages share their ``column`` with another page, whatever its case and outer blanks."""
-    keys = pages.where(F.trim(F.col(column)) != "").groupBy("audit_id", F.lower(F.trim(F.col(column))).alias("k")).count()
+    keys = pages.where(trim(F.col(column)) != "").groupBy("audit_id", F.lower(trim(F.col(column))).alias("k")).count()
     return keys.groupBy("audit_id").agg(F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias(f"{column}_repeats"))
 
 
 def anchor_counts(pages: DataFrame) -> DataFrame:
     label = pages.select("audit_id", F.explode(F.transform("anchor_texts", F.lower)).alias("label")).groupBy("audit_id", "label").count()
-    generic = F.when(F.trim("label").rlike(GENERIC), F.col("count")).otherwise(0)
+    generic = F.when(trim(F.col("label")).rlike(GENERIC), F.col("count")).otherwise(0)
     return label.groupBy("audit_id").agg(F.sum("count").alias("anchors"), F.count("*").alias("anchors_distinct"), F.sum(generic).alias("anchors_generic"))
 
 
@@ -103,7 +104,7 @@ def brands(signals: DataFrame, hosts: DataFrame) -> DataFrame:
     org = F.max_by("organisation", F.when(F.col("organisation").isNotNull(), F.struct(F.col("organisation.keys"), -F.col("page_ord"))))
     rolled = signals.groupBy("audit_id").agg(home.alias("home"), org.alias("org")).join(hosts.select("audit_id", "host"), "audit_id")
     first = F.get(F.filter("home.headings", lambda h: h["level"] == 1), F.lit(0))["text"]
-    site_name = F.trim(F.try_element_at("home.open_graph", F.lit("og:site_name")))
+    site_name = trim(F.try_element_at("home.open_graph", F.lit("og:site_name")))
     names = [F.col("org.name"), F.col("org.legal_name"), site_name, T.brand_from_title(F.col("home.title")), T.host_to_brand(F.lower("host"))]
     named = rolled.withColumn("_names", F.array(*names))
     kind, descriptor = T.category(F.col("org.description"), F.try_element_at("home.open_graph", F.lit("og:description")), F.col("home.meta_description"), first)
@@ -122,7 +123,7 @@ def _page_flags(signals: DataFrame) -> DataFrame:
     """Signals that an aggregate reads several times."""
     heads = F.array_join(F.transform("headings", lambda h: h["text"]), " ")
     named = F.concat_ws(" ", F.coalesce("title", F.lit("")), heads)
-    needles = F.transform("faq_answers", lambda a: F.lower(F.substring(F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]+>", " "), r"\s+", " ")), 1, 60)))
+    needles = F.transform("faq_answers", lambda a: F.lower(F.substring(trim(F.regexp_replace(F.regexp_replace(a, "<[^>]+>", " "), r"\s+", " ")), 1, 60)))
 
     def stands(needle: Column) -> Column:
         answered = F.exists("question_headings", lambda q: F.contains(F.lower(F.coalesce(q["answer"], F.lit(""))), needle))
@@ -163,7 +164,7 @@ def page_facts(signals: DataFrame, as_of: Column) -> DataFrame:
     def has(kind: str) -> Column:
         return F.array_contains("json_ld_types", kind)
 
-    url, described, titled = F.col("url"), F.trim("meta_description") != "", F.trim("title") != ""
+    url, described, titled = F.col("url"), trim(F.col("meta_description")) != "", trim(F.col("title")) != ""
     essay = url.rlike(ESSAYS)
     rolled = pages.groupBy("audit_id").agg(
         F.count("*").alias("pages"), F.count_if(F.expr("status_code >= 400 OR (status_code = 0 AND error IS NOT NULL)")).alias("broken"), F.count_if(ok).alias("pages_ok"),

@@ -81,8 +81,8 @@ _PILLARS = f"""SELECT audit_id, pillar, sum(coverage * group_weight) / sum(group
  THEN floor(sum(score * group_weight) FILTER (coverage > 0) / sum(group_weight) FILTER (coverage > 0) * 100 + 0.5)::BIGINT END AS score FROM ({_GROUPS}) GROUP BY audit_id, pillar"""
 _OVERALL = f"""SELECT audit_id, overall, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' WHEN overall >= 35 THEN 'D' ELSE 'E' END AS band, '{S.SCORING_VERSION}' AS scoring_version
  FROM (SELECT audit_id, coalesce(floor(sum(score * {_PW}) FILTER (score IS NOT NULL) / nullif(sum({_PW}) FILTER (score IS NOT NULL), 0) + 0.5), 0)::BIGINT AS overall FROM ({_PILLARS}) GROUP BY audit_id)"""
-_COMPOSITE = f"""SELECT audit_id, floor(0.65 * coalesce(seo, 0) + 0.35 * coalesce(aeo, 0) + 0.5)::BIGINT AS google_visibility,
- floor(CASE WHEN ai IS NULL THEN 0.7 * coalesce(geo, 0) + 0.3 * coalesce(aeo, 0) ELSE 0.6 * coalesce(geo, 0) + 0.25 * coalesce(aeo, 0) + 0.15 * ai END + 0.5)::BIGINT AS ai_visibility, ai IS NOT NULL AS ai_is_measured
+_COMPOSITE = f"""SELECT audit_id, floor(0.65::DOUBLE * coalesce(seo, 0) + 0.35::DOUBLE * coalesce(aeo, 0) + 0.5::DOUBLE)::BIGINT AS google_visibility,
+ floor(CASE WHEN ai IS NULL THEN 0.7::DOUBLE * coalesce(geo, 0) + 0.3::DOUBLE * coalesce(aeo, 0) ELSE 0.6::DOUBLE * coalesce(geo, 0) + 0.25::DOUBLE * coalesce(aeo, 0) + 0.15::DOUBLE * ai END + 0.5::DOUBLE)::BIGINT AS ai_visibility, ai IS NOT NULL AS ai_is_measured
  FROM (SELECT audit_id, max(score) FILTER (pillar = 'seo') AS seo, max(score) FILTER (pillar = 'aeo') AS aeo, max(score) FILTER (pillar = 'geo') AS geo, max(score) FILTER (pillar = 'ai') AS ai FROM ({_PILLARS}) GROUP BY audit_id)"""
 _GATING = ", ".join(f"'{c}'" for c in S.GATING)
 _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY severity, recoverable DESC, check_ord)::INT AS rank FROM (SELECT audit_id, check_ord, check_id, pillar, status,

@@ -45,6 +45,11 @@ def decoded(text: str) -> str:
     return text
 
 
+def escaped(text: str) -> str:
+    """Letters outside ASCII by percent escapes."""
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+
+
 _BODY = "regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)</body>.*$', '')"
 _BODY = f"regexp_replace({_BODY}, '(?s)<!--.*?-->', '', 'g')"
 for _tag in sorted(H.DROPPED):
@@ -73,7 +78,7 @@ PAGES = rf"""WITH raw AS (SELECT page_id::BIGINT AS page_id, url, html, {HOST} A
  list_filter(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: {decoded(flat(stripped('x')))}), lambda x: x <> '') AS heads FROM pages),
  cooked AS (SELECT *, {decoded(flat(stripped('content')))} AS body, {decoded("array_to_string(list_transform(" + _PARAGRAPHS + ", lambda x: x), chr(2))")} AS paras,
  list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)<a href="([^"]*)"', 1), lambda u: u LIKE '/%' AND NOT regexp_matches(u, {quoted(U.ASSET)})),
-  lambda u: lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || CASE WHEN u = '/' THEN '/' ELSE regexp_replace(u, '/+$', '') END)) AS internal,
+  lambda u: lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || CASE WHEN u = '/' THEN '/' ELSE {escaped("regexp_replace(u, '/+$', '')")} END)) AS internal,
  list_filter(heads, lambda x: length(trim(x)) >= 6 AND (trim(x) LIKE '%?' OR regexp_matches(trim(x), {quoted(T.STARTERS)}))) AS asked,
  list_filter(list_transform(regexp_extract_all(html, {quoted(_ANCHOR)}, 1), lambda x: {decoded(flat(stripped('x')))}), lambda x: x <> '') AS anchors,
  regexp_matches(html, '(?i)<meta[^>]*name="robots"[^>]*noindex') AS noindex, {counted('html', 'ul')} AS ul, {counted('html', 'ol')} AS ol, {counted('html', 'article')} AS articles, {counted('html', 'nav')} AS navs, {counted('html', 'img')} AS images,

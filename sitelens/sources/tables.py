@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.columns import trim
+
 #: Columns of the tables that the store keeps, and values that some columns may have.
 SCHEMAS = {
     "audits": "id string, created_at timestamp, email string, host string, url string, market string, status string, mode string, overall_score int, seo_score int, aeo_score int, geo_score int, ai_presence_score int, pages_crawled int, pages_discovered int, page_rank double, scoring_version string, error string, started_at timestamp, completed_at timestamp, result string",
@@ -153,7 +155,7 @@ def append_sheet(rows: DataFrame, path: str) -> None:
 
 def upsert_users(known: DataFrame, seen: DataFrame) -> DataFrame:
     """``known`` and ``seen``: email, name, at. One row for each address whatever its case, with first and last time seen and the newest name."""
-    every = known.unionByName(seen).withColumn("email", F.lower(F.trim("email")))
+    every = known.unionByName(seen).withColumn("email", F.lower(trim(F.col("email"))))
     return every.groupBy("email").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("at"))).alias("name"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
 
 

@@ -370,7 +370,7 @@ def parse(html: str, url: str) -> dict:
     counts = {t: len(tree.all(t)) for t in SEMANTIC}
     link = next((n.attrs["href"].strip() for n in tree.all("link") if n.attrs.get("rel") == "canonical" and "href" in n.attrs), None)
     return {
-        "title": next((tree.exact(n) for n in tree.all("title")), "") or None, "meta_description": _meta(tree, "description"), "canonical": link,
+        "own_url": canonical(url), "canonical_url": link and canonical(link, url), "title": next((tree.exact(n) for n in tree.all("title")), "") or None, "meta_description": _meta(tree, "description"), "canonical": link,
         "robots_raw": robots, "lang": next((n.attrs["lang"].strip() for n in tree.all("html") if "lang" in n.attrs), None),
         "headings": [{"level": k, "text": t[:300]} for k, t in headings[:120]], "h1_count": sum(k == 1 for k, _ in headings),
         "heading_hierarchy_breaks": sum(b - a > 1 for (a, _), (b, _) in zip(headings, headings[1:], strict=False)),
@@ -392,7 +392,7 @@ def parse(html: str, url: str) -> dict:
 
 
 PARSED = (
-    "title string, meta_description string, canonical string, robots_raw string, lang string, headings array<struct<level:int,text:string>>, h1_count bigint, "
+    "own_url string, canonical_url string, title string, meta_description string, canonical string, robots_raw string, lang string, headings array<struct<level:int,text:string>>, h1_count bigint, "
     "heading_hierarchy_breaks bigint, body_text string, paragraphs array<string>, internal_links array<string>, external_links array<string>, anchor_texts array<string>, "
     "nofollow_outbound bigint, images struct<total:bigint,with_alt:bigint,decorative:bigint>, json_ld array<string>, json_ld_types array<string>, json_ld_has_ids boolean, "
     "json_ld_parse_errors bigint, microdata_types array<string>, open_graph map<string,string>, semantic_tags map<string,bigint>, "
@@ -442,7 +442,7 @@ def page_signals(fetches: DataFrame) -> DataFrame:
     })
     raw = F.coalesce("robots_raw", F.lit(""))
     return counted.select(
-        *kept, "title", "meta_description", "canonical", F.struct(raw.rlike("(?i)noindex").alias("noindex"), raw.rlike("(?i)nofollow").alias("nofollow"), F.col("robots_raw").alias("raw")).alias("robots_meta"),
+        *kept, "own_url", "canonical_url", "title", "meta_description", "canonical", F.struct(raw.rlike("(?i)noindex").alias("noindex"), raw.rlike("(?i)nofollow").alias("nofollow"), F.col("robots_raw").alias("raw")).alias("robots_meta"),
         "lang", "headings", "h1_count", "heading_hierarchy_breaks", "word_count", "text_to_html_ratio", T.median(F.col("sentence_words")).alias("median_sentence_words"),
         T.median(F.col("paragraph_words")).alias("median_paragraph_words"), "internal_links", "external_links", "anchor_texts", "nofollow_outbound", "images", "json_ld", "json_ld_types", "json_ld_has_ids",
         "json_ld_parse_errors", "microdata_types", "open_graph", "semantic_tags", "lists", "question_headings",

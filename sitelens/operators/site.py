@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
 from sitelens.functions.columns import trim
-from sitelens.operators.html import canonical
 
 #: What URLs of some kinds of pages hold, and labels that say nothing.
 EDITORIAL = r"(?i)/(blog|article|news|insight|resource|guide)"
@@ -25,7 +24,7 @@ PEOPLE = r"(?i)/(author|people|team|leadership|experts)"
 COMMERCIAL = r"(?i)/(product|service|solution|pricing|plans|shop)"
 GENERIC = r"(?i)^(click here|here|read more|learn more|more|link|this|details)$"
 LEGAL = r"(inc|llc|ltd|limited|pvt|private|gmbh|corp|corporation|co)$"
-NEAR, LEAST_SHINGLES = 0.7, 40
+NEAR, LEAST_SHINGLES, TOP_TERMS = 0.7, 40, 18
 _DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy HH:mm:ss zzz")
 
 
@@ -81,7 +80,7 @@ def orphan_pages(signals: DataFrame) -> DataFrame:
     """Pages below the homepage that no other page of the site links to."""
     good = ok_pages(signals)
     links = good.select("audit_id", F.col("url").alias("source"), F.explode("internal_links").alias("target"))
-    own = good.where("depth > 0").withColumn("target", U.canonical(F.col("final_url"))).alias("p")
+    own = good.where("depth > 0").withColumn("target", F.col("own_url")).alias("p")
     met = (F.col("p.audit_id") == F.col("l.audit_id")) & (F.col("p.target") == F.col("l.target")) & (F.col("p.url") != F.col("l.source"))
     return own.join(links.alias("l"), met, "left_anti").drop("target")
 
@@ -102,7 +101,7 @@ def brands(signals: DataFrame, hosts: DataFrame) -> DataFrame:
     """Name, category and descriptor of each site's brand, and whether its names agree. ``hosts``: audit_id, host."""
     home = F.min_by(F.struct("title", "open_graph", "meta_description", "headings"), F.struct(F.col("depth") != 0, "page_ord"))
     org = F.max_by("organisation", F.when(F.col("organisation").isNotNull(), F.struct(F.col("organisation.keys"), -F.col("page_ord"))))
-    rolled = signals.groupBy("audit_id").agg(home.alias("home"), org.alias("org")).join(hosts.select("audit_id", "host"), "audit_id")
+    rolled = hosts.select("audit_id", "host").join(ok_pages(signals).groupBy("audit_id").agg(home.alias("home"), org.alias("org")), "audit_id", "left")
     first = F.get(F.filter("home.headings", lambda h: h["level"] == 1), F.lit(0))["text"]
     site_name = trim(F.try_element_at("home.open_graph", F.lit("og:site_name")))
     names = [F.col("org.name"), F.col("org.legal_name"), site_name, T.brand_from_title(F.col("home.title")), T.host_to_brand(F.lower("host"))]
@@ -119,6 +118,15 @@ def brands(signals: DataFrame, hosts: DataFrame) -> DataFrame:
     )
 
 
+def top_terms(signals: DataFrame, most: int = TOP_TERMS) -> DataFrame:
+    """audit_id, top_terms: the heaviest terms of the pages' excerpts, equal ones as they come first."""
+    seen = ok_pages(signals).select("audit_id", "page_ord", F.posexplode(T.top_terms(T.content_tokens(F.col("excerpt")))).alias("at", "t"))
+    weighed = seen.groupBy("audit_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"), F.min(F.struct("page_ord", "at")).alias("first")).where("weight > 1 AND char_length(term) > 3")
+    place = F.row_number().over(Window.partitionBy("audit_id").orderBy(F.desc("weight"), "first"))
+    best = weighed.withColumn("place", place).where(F.col("place") <= most)
+    return best.groupBy("audit_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("top_terms"))
+
+
 def _page_flags(signals: DataFrame) -> DataFrame:
     """Signals that an aggregate reads several times."""
     heads = F.array_join(F.transform("headings", lambda h: h["text"]), " ")
@@ -132,19 +140,14 @@ def _page_flags(signals: DataFrame) -> DataFrame:
     return signals.withColumns({
         "_ok": F.col("status_code").between(200, 299), "_intent": T.intent(F.lower(F.concat_ws(" ", "url", named))), "_named": named, "_topic": F.concat_ws(" ", "url", F.coalesce("title", F.lit(""))),
         "_aligned": F.size(F.filter(needles, stands)), "_date": parsed_date(F.coalesce("date_modified", "date_published")),
-        "_own": F.coalesce(U.canonical(F.when(F.col("canonical").rlike("(?i)^https?://"), F.col("canonical"))) == U.canonical(F.col("final_url")), F.lit(False)),
+        "_own": F.coalesce(F.col("canonical_url") == F.col("own_url"), F.lit(False)),
     })
 
 
 def resolved_canonicals(signals: DataFrame) -> DataFrame:
     """Relative canonical links against their pages' addresses; absolute ones stay as they are."""
-
-    @F.pandas_udf("string")
-    def join(links, bases):
-        return links.combine(bases, lambda a, b: canonical(a, b) if a is not None and b is not None else a)
-
     relative = F.col("canonical").isNotNull() & ~F.col("canonical").rlike("(?i)^https?://")
-    return signals.withColumn("canonical", F.when(relative, join("canonical", "final_url")).otherwise(F.col("canonical")))
+    return signals.withColumn("canonical", F.when(relative, F.col("canonical_url")).otherwise(F.col("canonical")))
 
 
 def page_facts(signals: DataFrame, as_of: Column) -> DataFrame:

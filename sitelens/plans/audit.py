@@ -5,6 +5,8 @@ The SQL beside each query reads the markup by patterns, which for these pages sa
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,9 @@ from sitelens.operators import html as H
 from sitelens.operators import plan as P
 from sitelens.operators import scoring as S
 from sitelens.operators import site as L
+from sitelens.plans import observed as O
 from sitelens.plans import sql as Q
-from sitelens.sources.tables import stored
-
-AS_OF = "2026-01-01"
-
+from sitelens.sources.tables import kept, stored, version
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as fetches; host names are the sites, and every page counts as answered."""
@@ -41,15 +41,41 @@ def homes(pages: DataFrame) -> DataFrame:
     return pages.groupBy("audit_id").agg(F.min_by("url", F.struct(F.col("depth") != 0, "page_ord")).alias("url"))
 
 
+#: Changes whenever signals or facts of the same files would come out otherwise.
+MADE = 1
+
+
+def _name(spark: SparkSession, sf_dir: str, what: str, *tables: str) -> str:
+    state = "-".join(version(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables)
+    return f"{what}-{MADE}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+
+
+def seen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the observed pages; every state of the pages is parsed once for all queries."""
+    return kept(spark, _name(spark, sf_dir, "signals", "pages"), lambda: H.page_signals(O.fetches(spark, sf_dir)))
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = seen_pages(spark, sf_dir)
+    named = L.brands(seen, O.targets(O.fetches(spark, sf_dir)))
+    return named.join(L.top_terms(seen), "audit_id", "left").withColumn("top_term", F.get("top_terms", F.lit(0)))
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of each site over its own template questions."""
+    return E.ranked_gaps(E.question_gaps(E.template_questions(brands(spark, sf_dir)), seen_pages(spark, sf_dir)))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fetches(spark, sf_dir)
-    # A dozen aggregates read the signals; every page is parsed once for all of them.
-    seen = stored(L.resolved_canonicals(H.page_signals(got)))
-    targets = homes(got)
-    brand = L.brands(seen, targets.select("audit_id", F.col("audit_id").alias("host")))
-    # Only files of a site's root and its homepage say anything about discovery here.
-    files = got.join(targets.select("audit_id", "url"), ["audit_id", "url"], "left_semi")
-    return L.site_facts(seen, D.discover(targets, files), brand, F.lit(AS_OF).cast("timestamp"))
+    """The facts of each site, made once for each state of the tables that they come from."""
+
+    def make() -> DataFrame:
+        seen, homes = seen_pages(spark, sf_dir), O.targets(O.fetches(spark, sf_dir))
+        found = D.discover(homes.select("audit_id", "url"), O.site_files(homes))
+        evidence = O.measurements(spark, sf_dir, homes) | {"gaps": E.gap_counts(gaps(spark, sf_dir))}
+        return L.site_facts(seen, found, brands(spark, sf_dir), F.lit(O.AS_OF).cast("timestamp"), **evidence)
+
+    return kept(spark, _name(spark, sf_dir, "facts", "pages", "customer", "conversations"), make)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +93,11 @@ def _group(name: str):
         rows = C.evaluate(facts(spark, d), checks).drop("check_ord")
         return _rounded(rows, "score")
 
-    sql = f"{Q.FACTS} SELECT * EXCLUDE (check_ord) REPLACE (round(score, 9) AS score) FROM ({C.findings_sql('facts', checks)})"
+    sql = f"{O.FACTS} SELECT * EXCLUDE (check_ord) REPLACE (round(score, 9) AS score) FROM ({C.findings_sql('facts', checks)})"
     return query, sql
 
 
-_FINDINGS = f"{Q.FACTS}, findings AS ({C.findings_sql('facts')})"
+_FINDINGS = f"{O.FACTS}, findings AS ({C.findings_sql('facts')})"
 _GW = "CASE \"group\" " + " ".join(f"WHEN '{g}' THEN {float(w)}::DOUBLE" for g, w in S.GROUPS.items()) + " ELSE 10.0::DOUBLE END"
 _PW = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {w}::DOUBLE" for p, w in S.PILLARS.items()) + " ELSE 0.25::DOUBLE END"
 _SCORED = "status NOT IN ('unavailable', 'not_applicable')"
@@ -95,6 +121,7 @@ _PLAN = f"""SELECT audit_id, 'rec.' || check_id AS id, check_id, pillar, horizon
 _TOLD = " UNION ALL ".join(f"SELECT '{c}' AS check_id, '{s}' AS usual, '{h.replace(chr(39), chr(39) * 2)}' AS business" for c, (s, h) in P.TRANSLATIONS.items())
 _TRANSLATED = f"""SELECT audit_id, check_id, business, CASE status WHEN 'fail' THEN 'critical' WHEN 'warn' THEN 'warning' ELSE usual END AS severity, place::INT AS place FROM
  (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY rank) AS place FROM ({_RANKED}) JOIN ({_TOLD}) USING (check_id)) WHERE place <= 5"""
+_DOUBLES = {"median_words", "median_links", "median_paragraph", "months_old", "org_weight", "performance_score", "lcp_ms", "cls", "ttfb_ms", "mobile_score", "page_rank", "tier_weight", "tier7_weight", "voice_pct"}
 _STATES = ("pass", "warn", "fail", "opportunity", "unavailable", "not_applicable")
 
 
@@ -150,26 +177,21 @@ def _intents(spark, d):
 
 
 def _brand_names(spark, d):
-    got = fetches(spark, d)
-    made = L.brands(H.page_signals(got), homes(got).select("audit_id", F.col("audit_id").alias("host")))
-    return made.select("audit_id", "name", "category", "one_name", "home_h1", "home_meta")
+    return brands(spark, d).select("audit_id", "name", "category", "one_name", "home_h1", "home_meta", "top_term")
 
 
 def _facts(spark, d):
     named = facts(spark, d)
     kinds = dict(named.dtypes)
-    return named.select("audit_id", *[F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c).cast("bigint").alias(c) for c in Q.SHOWN])
+    return named.select("audit_id", *[F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c).cast("bigint").alias(c) for c in O.SHOWN])
 
 
 def question_gaps(spark, d):
-    """Gaps of each site over its own template questions."""
-    seen = stored(signals(spark, d))
-    brand = L.brands(seen, seen.select("audit_id").distinct().withColumn("host", F.col("audit_id"))).select("audit_id", "name", "category", F.lit(None).cast("string").alias("top_term"))
-    return E.ranked_gaps(E.question_gaps(E.template_questions(brand), seen)).select("audit_id", "q_ord", "question", "intent", "value", "answered", "matched_url", "rank")
+    return gaps(spark, d).select("audit_id", "q_ord", "question", "intent", "value", "answered", "matched_url", "rank")
 
 
 REGISTRY = {f"check_{g.replace('.', '_')}": _group(g) for g in S.GROUPS} | {
-    "site_facts": (_facts, f"{Q.FACTS} SELECT audit_id, " + ", ".join(f"round({c}, 9) AS {c}" if c.startswith("median") else f"CAST({c} AS BIGINT) AS {c}" for c in Q.SHOWN) + " FROM facts"),
+    "site_facts": (_facts, f"{O.FACTS} SELECT audit_id, " + ", ".join(f"round({c}, 9) AS {c}" if c in _DOUBLES else f"CAST({c} AS BIGINT) AS {c}" for c in O.SHOWN) + " FROM facts"),
     "group_scores": (lambda s, d: _rounded(groups(s, d), "score", "coverage"), f'{_FINDINGS} SELECT * REPLACE (round(score, 9) AS score, round(coverage, 9) AS coverage) FROM ({_GROUPS})'),
     "pillar_scores": (lambda s, d: _rounded(pillars(s, d), "coverage"), f"{_FINDINGS} SELECT * REPLACE (round(coverage, 9) AS coverage) FROM ({_PILLARS})"),
     "overall_scores": (_overall, f"{_FINDINGS} {_OVERALL}"),
@@ -182,11 +204,11 @@ REGISTRY = {f"check_{g.replace('.', '_')}": _group(g) for g in S.GROUPS} | {
     "translations": (lambda s, d: P.translations(ranked(s, d)), f"{_FINDINGS} {_TRANSLATED}"),
     "coverage_rollup": (lambda s, d: findings(s, d).rollup("pillar", "group").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score")), f'{_FINDINGS} SELECT pillar, "group", count(*) AS n, round(avg(score), 9) AS mean_score FROM findings GROUP BY ROLLUP (pillar, "group")'),
     "page_links": (_page_links, f"{Q.PAGES} SELECT page_id, len(internal)::INT AS internal, 0 AS \"external\", array_to_string(list_sort(internal), ' ') AS links, len(anchors)::INT AS anchors FROM pg"),
-    "page_shape": (_page_shape, f"{Q.PAGES} SELECT page_id, title, lang, len(heads)::BIGINT AS h1_count, heads[1] AS first_heading, 0::BIGINT AS heading_hierarchy_breaks, ul, ol, articles, navs, {Q.CHALLENGED} AS bot_challenge, csr AS csr_dependent, noindex, images, 0 AS ld_types, 0::BIGINT AS blockquotes FROM pg"),
+    "page_shape": (_page_shape, f"{Q.PAGES} SELECT page_id, title, lang, len(h1s)::BIGINT AS h1_count, heads[1] AS first_heading, 0::BIGINT AS heading_hierarchy_breaks, ul, ol, articles, navs, {Q.CHALLENGED} AS bot_challenge, csr AS csr_dependent, noindex, images, 0 AS ld_types, 0::BIGINT AS blockquotes FROM pg"),
     "page_text": (_page_text, f"{Q.PAGES} SELECT page_id, body AS body_text, word_count, round(ratio, 9) AS text_ratio, median_sentence AS median_sentence_words, median_paragraph AS median_paragraph_words, definitions AS definition_blocks, statistics AS statistic_claims, quotable AS quotable_passages, substr(body, 1, 1200) AS excerpt, coalesce(n_shingles, 0)::INT AS n_shingles FROM pg LEFT JOIN (SELECT page_id, count(*) AS n_shingles FROM shingled GROUP BY page_id) USING (page_id)"),
     "page_intent": (_intents, f"{Q.PAGES} SELECT page_id, intent FROM pg"),
-    "site_brand": (_brand_names, f"{Q.FACTS} SELECT audit_id, brand AS name, category, one_name, home_h1, home_meta FROM facts"),
+    "site_brand": (_brand_names, f"{O.FACTS} SELECT audit_id, brand AS name, category, one_name, home_h1, home_meta, term AS top_term FROM brand LEFT JOIN terms USING (audit_id)"),
     "site_orphans": (_orphans, f"{Q.PAGES} SELECT audit_id, page_id FROM pg p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT audit_id, url, unnest(internal) AS target FROM pg) l WHERE l.audit_id = p.audit_id AND l.url <> p.url AND l.target = p.canonical_url)"),
     "site_near_duplicates": (_site_duplicates, f"{Q.PAGES}, n AS (SELECT audit_id, page_id, count(*) AS n FROM shingled GROUP BY ALL HAVING count(*) >= 40) SELECT a.audit_id, a.page_id AS a, b.page_id AS b, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 9) AS similarity FROM shingled a JOIN shingled b ON a.audit_id = b.audit_id AND a.h = b.h AND a.page_id < b.page_id JOIN n x ON x.page_id = a.page_id JOIN n y ON y.page_id = b.page_id GROUP BY a.audit_id, a.page_id, b.page_id HAVING count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.02"),
-    "question_gaps": (question_gaps, None),
+    "question_gaps": (question_gaps, f"{O.FACTS} SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY answered, value DESC, q_ord)::INT AS rank FROM gap_rows"),
 }

@@ -13,6 +13,7 @@ from sitelens.operators import evidence as E
 from sitelens.operators import leads as G
 from sitelens.operators import site as L
 from sitelens.plans import audit
+from sitelens.plans import observed as O
 from sitelens.plans import sql as Q
 from sitelens.sources.tables import stored
 from sitelens.streaming.limits import charged, stream_latest_stage, stream_rate_limit
@@ -128,68 +129,27 @@ _TERMS_SQL = f"""SELECT lang, term, weight, rank::INT AS rank FROM (SELECT *, ro
  UNION ALL SELECT lang, doc_id, c[i] || ' ' || c[i + 1], 2, len(c) + i - 1 FROM (SELECT lang, doc_id, c, unnest(range(1, len(c))) AS i FROM (SELECT lang, doc_id, {_CONTENT.format('text')} AS c FROM documents)))
  GROUP BY lang, term HAVING sum(w) > 1 AND length(term) > 3)) WHERE rank <= 15"""
 
-#: Hosts that pages stand for where citations are needed.
-_HOSTS = ("en.wikipedia.org", "www.nytimes.com", "news.bbc.co.uk", "techcrunch.com", "www.g2.com", "old.reddit.com", "news.ycombinator.com", "m.youtube.com", "economictimes.indiatimes.com", "list.example.org")
-
-
-def _hits(spark, d):
-    n = len(_HOSTS)
-    at = F.col("page_id") % n + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)
-    cited = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (at % n + 1).cast("int"))
-    p = _read(spark, d, "pages")
-    return p.select(U.host(F.col("url")).alias("audit_id"), F.col("page_id").alias("ord"), U.host(F.col("url")).alias("host"), F.concat(F.lit("https://"), cited, F.lit("/x")).alias("url"))
-
-
-_SITE_OF = {h: ".".join(h.split(".")[-3:] if h.endswith("co.uk") else h.split(".")[-2:]) for h in _HOSTS}
-_TIER_OF = {h: next((n for n, _, _, hosts in E.TIERS if s in hosts.split()), 7) for h, s in _SITE_OF.items()}
-_HITS_SQL = f"""SELECT DISTINCT audit_id, site, tier FROM (SELECT {_HOST_SQL} AS audit_id, {_REG_SQL} AS own, {list(_SITE_OF.values())}[k] AS site, {list(_TIER_OF.values())}[k] AS tier
- FROM (SELECT *, (page_id % {len(_HOSTS)} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) % {len(_HOSTS)} + 1 AS k FROM pages)) WHERE site <> own"""
-
-
 def _citations(spark, d):
-    return E.citations(_hits(spark, d)).select("audit_id", "site", "tier")
+    return E.citations(O.hits(spark, d)).select("audit_id", "site", "tier")
 
 
 def _citation_weights(spark, d):
-    w = E.citation_weights(E.citations(_hits(spark, d)))
+    w = E.citation_weights(E.citations(O.hits(spark, d)))
     return w.select("audit_id", F.round("tier_weight", 9).alias("tier_weight"), F.round("tier7_weight", 9).alias("tier7_weight"))
 
 
-_WEIGHT_SQL = "CASE tier " + " ".join(f"WHEN {n} THEN {w}::DOUBLE" for n, w, _, _ in E.TIERS) + " ELSE 0.15::DOUBLE END"
-
-
-def _answers(spark, d):
-    """Assistant turns as sampled answers about two brands that rivals are named beside."""
-    c = _read(spark, d, "conversations").where("role = 'assistant'")
-    rivals = F.array(F.lit("the "), F.lit("tion"), F.lit("que "))
-    return c.select(
-        (F.col("conv_id") % 5).alias("audit_id"), F.lit("one").alias("engine"), F.col("conv_id").cast("string").alias("prompt"), F.col("turn").alias("sample_index"), F.col("text").alias("answer"), F.lit("and").alias("brand"),
-        F.lit("www.example.com").alias("host"), rivals.alias("rivals"), F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("blog.example.com"))).otherwise(F.array(F.lit("other.org"))).alias("cited_domains"),
-    )
-
-
-_LOW = "lower(text)"
-_AT = f"instr({_LOW}, 'and')"
-_NEAR = f"substr({_LOW}, greatest({_AT} - 160, 1), least({_AT} - 1, 160) + 220)"
-_MENTIONS_SQL = f"""SELECT conv_id % 5 AS audit_id, conv_id::VARCHAR AS prompt, turn AS sample_index, {_AT} > 0 AS brand_mentioned,
- CASE WHEN {_AT} > 0 THEN 1 + (instr({_LOW}, 'the ') BETWEEN 1 AND {_AT} - 1)::INT + (instr({_LOW}, 'tion') BETWEEN 1 AND {_AT} - 1)::INT + (instr({_LOW}, 'que ') BETWEEN 1 AND {_AT} - 1)::INT END::INT AS ordinal,
- conv_id % 3 = 0 AS cited_brand_domain, ((instr({_LOW}, 'the ') > 0)::INT + (instr({_LOW}, 'tion') > 0)::INT + (instr({_LOW}, 'que ') > 0)::INT)::INT AS rivals,
- CASE WHEN {_AT} > 0 THEN CASE WHEN regexp_matches({_NEAR}, '{T.POSITIVE}') AND NOT regexp_matches({_NEAR}, '{T.NEGATIVE}') THEN 'positive' WHEN regexp_matches({_NEAR}, '{T.NEGATIVE}') AND NOT regexp_matches({_NEAR}, '{T.POSITIVE}') THEN 'negative' ELSE 'neutral' END END AS sentiment
- FROM conversations WHERE role = 'assistant'"""
 
 
 def _mentions(spark, d):
-    m = E.mentions(_answers(spark, d))
+    m = E.mentions(O.answers(spark, d))
     return m.select("audit_id", "prompt", "sample_index", "brand_mentioned", "ordinal", "cited_brand_domain", F.size("competitors_mentioned").alias("rivals"), "sentiment")
 
 
 def _voice(spark, d):
-    s = E.answer_summary(E.mentions(_answers(spark, d)))
+    s = E.answer_summary(E.mentions(O.answers(spark, d)))
     return s.withColumns({"voice_pct": F.round("voice_pct", 9), "mean_ordinal": F.round("mean_ordinal", 9)})
 
 
-_VOICE_SQL = f"""SELECT audit_id, count(*) AS ai_samples, count(*) FILTER (brand_mentioned) AS ai_mentioned, count(*) FILTER (cited_brand_domain) AS ai_cited, round(coalesce(count(*) FILTER (brand_mentioned) * 100.0::DOUBLE / nullif(count(*) FILTER (brand_mentioned) + sum(rivals), 0), 0), 9) AS voice_pct,
- count(*) FILTER (brand_mentioned AND sentiment = 'positive') AS ai_positive, count(*) FILTER (brand_mentioned AND sentiment = 'negative') AS ai_negative, round(avg(ordinal) FILTER (brand_mentioned), 9) AS mean_ordinal FROM ({_MENTIONS_SQL}) GROUP BY audit_id"""
 
 
 def _leads(spark, d):
@@ -266,11 +226,11 @@ REGISTRY = audit.REGISTRY | {
     "doc_shingles": (_shingles, f"SELECT doc_id, count(*) AS n, max(h) AS largest, sum(h)::BIGINT AS total FROM ({Q.shingle_rows('documents', 'doc_id', _CONTENT.format('text'))}) GROUP BY doc_id"),
     "doc_near_duplicates": (_near_documents, f"WITH s AS MATERIALIZED ({Q.shingle_rows('documents', 'doc_id', _CONTENT.format('text'), 'source')}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 40) SELECT coalesce(a.source, '') AS source, a.doc_id AS a, b.doc_id AS b, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 9) AS similarity FROM s a JOIN s b ON coalesce(a.source, '') = coalesce(b.source, '') AND a.h = b.h AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.source, a.doc_id, b.doc_id HAVING count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.7"),
     "corpus_top_terms": (_corpus_top_terms, _TERMS_SQL),
-    "host_citation_tier": (_citations, _HITS_SQL),
-    "citation_score": (_citation_weights, f"SELECT audit_id, round(coalesce(sum({_WEIGHT_SQL}) FILTER (tier < 7), 0), 9) AS tier_weight, round(coalesce(sum({_WEIGHT_SQL}) FILTER (tier = 7), 0), 9) AS tier7_weight FROM ({_HITS_SQL}) GROUP BY audit_id"),
-    "tier_histogram": (lambda s, d: E.tier_histogram(E.citations(_hits(s, d))).withColumnRenamed("count", "n"), f"SELECT audit_id, tier, count(*) AS n FROM ({_HITS_SQL}) GROUP BY audit_id, tier"),
-    "answer_mentions": (_mentions, _MENTIONS_SQL),
-    "share_of_voice": (_voice, _VOICE_SQL),
+    "host_citation_tier": (_citations, O.HITS_SQL),
+    "citation_score": (_citation_weights, f"SELECT audit_id, round(coalesce(sum({O.WEIGHT_SQL}) FILTER (tier < 7), 0), 9) AS tier_weight, round(coalesce(sum({O.WEIGHT_SQL}) FILTER (tier = 7), 0), 9) AS tier7_weight FROM ({O.HITS_SQL}) GROUP BY audit_id"),
+    "tier_histogram": (lambda s, d: E.tier_histogram(E.citations(O.hits(s, d))).withColumnRenamed("count", "n"), f"SELECT audit_id, tier, count(*) AS n FROM ({O.HITS_SQL}) GROUP BY audit_id, tier"),
+    "answer_mentions": (_mentions, O.MENTIONS_SQL),
+    "share_of_voice": (_voice, O.VOICE_SQL),
     "lead_scores": (_lead_scores, _LEADS_SQL),
     "lead_dashboard": (_dashboard, "SELECT c_custkey AS id, c_name AS name, n_name AS host, n_regionkey AS overall_score, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_booking FROM customer LEFT JOIN nation ON c_custkey % 4 <> 0 AND n_nationkey = c_nationkey"),
     "admin_counters": (_admin, "SELECT count(*) AS audits, count(*) FILTER (o_orderstatus = 'F') AS completed, count(DISTINCT lower(o_orderpriority || (o_custkey % 50)::VARCHAR)) AS people FROM orders"),

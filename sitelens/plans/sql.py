@@ -54,7 +54,7 @@ _BODY = "regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)
 _BODY = f"regexp_replace({_BODY}, '(?s)<!--.*?-->', '', 'g')"
 for _tag in sorted(H.DROPPED):
     _BODY = f"regexp_replace({_BODY}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
-_PARAGRAPHS = f"list_transform((string_split(content, '<p>'))[2:], lambda x: {stripped('regexp_replace(x, ' + quoted('(?is)</(p|article|body)>.*$') + ', ' + quoted('') + ')')})"
+_PARAGRAPHS = f"list_transform((string_split(content, '<p>'))[2:], lambda x: {stripped('regexp_replace(x, ' + quoted('(?is)(</(p|article|body)>|<h[1-6]>).*$') + ', ' + quoted('') + ')')})"
 CHALLENGED = "regexp_matches(substr(html, 1, 20000), " + quoted("(?i)" + "|".join(p.removeprefix("(?i)") for _, p in H.CHALLENGES)) + ")"
 
 
@@ -75,7 +75,8 @@ def shingle_rows(source: str, key: str, words: str, extra: str = "") -> str:
 _ANCHOR = r"(?is)<a href=\"[^\"]*\"[^>]*>(.*?)</a>".replace('\\"', '"')
 PAGES = rf"""WITH raw AS (SELECT page_id::BIGINT AS page_id, url, html, {HOST} AS audit_id, len(list_filter(string_split({PATH}, '/'), lambda p: p <> ''))::INT AS depth, {_BODY} AS content,
  nullif({decoded("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")}, '') AS title, regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1) AS lang,
- list_filter(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: {decoded(flat(stripped('x')))}), lambda x: x <> '') AS heads FROM pages),
+ list_filter(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: {decoded(flat(stripped('x')))}), lambda x: x <> '') AS h1s,
+ list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: {decoded(flat(stripped('x')))}), lambda x: x <> '') AS heads FROM pages),
  cooked AS (SELECT *, {decoded(flat(stripped('content')))} AS body, {decoded("array_to_string(list_transform(" + _PARAGRAPHS + ", lambda x: x), chr(2))")} AS paras,
  list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)<a href="([^"]*)"', 1), lambda u: u LIKE '/%' AND NOT regexp_matches(u, {quoted(U.ASSET)})),
   lambda u: lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || CASE WHEN u = '/' THEN '/' ELSE {escaped("regexp_replace(u, '/+$', '')")} END)) AS internal,
@@ -94,48 +95,17 @@ PAGES = rf"""WITH raw AS (SELECT page_id::BIGINT AS page_id, url, html, {HOST} A
  word_count < 120 AND ratio < 0.02 AND (regexp_matches(html, 'id="(root|app|__next)"') OR len(regexp_extract_all(html, '<script[^>]* src=')) > 3) AS csr,
  CASE {" ".join(f"WHEN {has_word('haystack', w)} THEN '{n}'" for n, w in T.INTENTS)} ELSE 'navigational' END AS intent FROM parts),
  shingled AS ({shingle_rows('pg', 'page_id', CONTENT.format('body'), 'audit_id')})"""
-_TOPIC = "(url || ' ' || coalesce(title, ''))"
+TOPIC = "(url || ' ' || coalesce(title, ''))"
+CLAUSE = r"trim(regexp_replace(h1s[1], '([.;]|\s[—–-]\s).*$', ''))"
+HOST_BRAND = "list_transform(list_filter(string_split(regexp_replace(regexp_replace(audit_id, '^www\\.', ''), '\\..*$', ''), '-'), lambda x: x <> ''), lambda x: upper(substr(x, 1, 1)) || substr(x, 2))"
+TAIL = "CASE WHEN len(title_parts) >= 2 AND length(title_parts[-1]) <= 40 AND len(string_split_regex(title_parts[-1], '\\s+')) <= 5 THEN title_parts[-1] END"
+FORM = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), '" + L.LEGAL + "', '')"
+EDITORIAL, ESSAYS, ABOUT, CONTACT, PEOPLE, COMMERCIAL, GENERIC, NEAR, LEAST_SHINGLES = L.EDITORIAL, L.ESSAYS, L.ABOUT, L.CONTACT, L.PEOPLE, L.COMMERCIAL, L.GENERIC, L.NEAR, L.LEAST_SHINGLES
 
 
-def _n(condition: str) -> str:
+def count_of(condition: str) -> str:
     return f"count(*) FILTER ({condition})"
 
 
-def _url(pattern: str) -> str:
+def url_has(pattern: str) -> str:
     return f"regexp_matches(url, {quoted(pattern)})"
-
-
-#: What these pages do not hold, as zeros.
-_NONE = "broken canonicals canonicals_own described images_alt schema_any schema_pages schema_errors breadcrumbs schema_ids external citing blockquotes faq qa howto articles_ld bylined author_schema dated faq_checked faq_aligned persons postal product_schema meta_repeats redirects robots_errors sitemaps_declared sitemap_urls retrievers_blocked feeds same_as"
-_ZERO = ", ".join(f"0::BIGINT AS {'articles' if n == 'articles_ld' else n}" for n in _NONE.split())
-_NULL = "NULL::VARCHAR AS performance_source, " + ", ".join(f"NULL::DOUBLE AS {n}" for n in "performance_score lcp_ms cls ttfb_ms mobile_score page_rank tier_weight tier7_weight voice_pct org_weight months_old".split())
-_NULL += ", NULL::VARCHAR AS qid, " + ", ".join(f"NULL::BIGINT AS {n}" for n in "aio_checked aio_present aio_cites aio_domains ai_samples ai_mentioned ai_cited ai_positive ai_negative gaps gaps_answered".split())
-_CLAUSE = r"trim(regexp_replace(heads[1], '([.;]|\s[—–-]\s).*$', ''))"
-_BRAND = "list_transform(list_filter(string_split(regexp_replace(regexp_replace(audit_id, '^www\\.', ''), '\\..*$', ''), '-'), lambda x: x <> ''), lambda x: upper(substr(x, 1, 1)) || substr(x, 2))"
-_TAIL = "CASE WHEN len(title_parts) >= 2 AND length(title_parts[-1]) <= 40 AND len(string_split_regex(title_parts[-1], '\\s+')) <= 5 THEN title_parts[-1] END"
-_FORM = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), '" + L.LEGAL + "', '')"
-FACTS = f"""{PAGES}, first AS (SELECT audit_id, arg_min({{'url': url, 'heads': heads, 'title': title}}, (depth <> 0, page_id)) AS h FROM pg GROUP BY audit_id),
- home AS (SELECT audit_id, h.url AS home_url, h.heads AS heads, array_to_string({_BRAND}, ' ') AS host_brand, list_filter(list_transform(string_split_regex(h.title, '\\s[|\\-–—·]\\s'), lambda x: trim(x)), lambda x: x <> '') AS title_parts FROM first),
- brand AS (SELECT audit_id, home_url LIKE 'https://%' AS https, coalesce({_TAIL}, host_brand) AS brand, ({_TAIL}) IS NULL OR {_FORM.format(_TAIL)} = {_FORM.format('host_brand')} AS one_name, CASE WHEN length({_CLAUSE}) BETWEEN 9 AND 140 THEN {_CLAUSE} END AS category, len(heads) > 0 AND length(heads[1]) > 10 AS home_h1 FROM home),
- repeated AS (SELECT audit_id, sum(n) AS title_repeats FROM (SELECT audit_id, lower(title) AS k, count(*) AS n FROM pg WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY audit_id),
- labels AS (SELECT audit_id, sum(n) AS anchors, count(*) AS anchors_distinct, sum(CASE WHEN regexp_matches(k, {quoted(L.GENERIC)}) THEN n ELSE 0 END) AS anchors_generic FROM (SELECT audit_id, lower(a) AS k, count(*) AS n FROM (SELECT audit_id, unnest(anchors) AS a FROM pg) GROUP BY ALL) GROUP BY audit_id),
- sizes AS (SELECT audit_id, page_id, count(*) AS n FROM shingled GROUP BY ALL HAVING count(*) >= {L.LEAST_SHINGLES}),
- alike AS (SELECT audit_id, count(*) AS alike FROM (SELECT a.audit_id, count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM shingled a JOIN shingled b ON a.audit_id = b.audit_id AND a.h = b.h AND a.page_id < b.page_id
-  JOIN sizes x ON x.page_id = a.page_id JOIN sizes y ON y.page_id = b.page_id GROUP BY a.audit_id, a.page_id, b.page_id) WHERE s >= {L.NEAR} GROUP BY audit_id),
- lost AS (SELECT audit_id, count(*) AS orphans FROM pg p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT audit_id, url, unnest(internal) AS target FROM pg) l WHERE l.audit_id = p.audit_id AND l.url <> p.url AND l.target = p.canonical_url) GROUP BY audit_id),
- rolled AS (SELECT audit_id, count(*) AS pages, count(*) AS pages_ok, {_n('noindex')} AS noindex, {_n('depth > 3')} AS deep, {_n('csr')} AS csr, {_n('title IS NOT NULL')} AS titled, {_n('length(title) BETWEEN 30 AND 60')} AS titles_sized,
- {_n('len(heads) >= 1')} AS h1_any, {_n('len(heads) = 1')} AS h1_one, count(*) AS ordered, sum(images)::BIGINT AS images, median(word_count::DOUBLE) AS median_words, {_n('word_count < 300 AND NOT csr')} AS thin,
- median(len(internal)::DOUBLE) AS median_links, sum(definitions)::BIGINT AS definitions, sum(statistics)::BIGINT AS statistics, sum(quotable)::BIGINT AS quotable, sum(ul + ol)::BIGINT AS list_units, sum(word_count)::BIGINT AS words,
- coalesce(median(median_paragraph) FILTER (median_paragraph > 0), 0.0::DOUBLE) AS median_paragraph, {_n('articles > 0')} AS semantic, sum(len(asked))::BIGINT AS questions,
- sum(CASE WHEN length(answer) BETWEEN 40 AND 320 AND NOT answer LIKE '%?' AND NOT regexp_matches(answer, {quoted(T.BACKWARD)}) THEN len(asked) ELSE 0 END)::BIGINT AS questions_answered, {_n(_url(L.EDITORIAL))} AS editorial, {_n(_url(L.ESSAYS))} AS essays,
- {_n(_url(L.ABOUT))} > 0 AS about, {_n(_url(L.CONTACT))} > 0 AS contact, {_n(_url(L.PEOPLE))} > 0 AS people_page, {", ".join(f"{_n(f'intent = {quoted(n)}')} > 0 AS {n}" for n, _ in T.INTENTS)},
- {_n(_url(L.COMMERCIAL))} AS commercial_pages, {_n(has_word(_TOPIC, T.COMPARISON))} AS comparisons, {_n(has_word(_TOPIC, T.RESEARCH))} AS research, {_n(has_word("(coalesce(title, '') || ' ' || array_to_string(heads, ' '))", T.PROCEDURAL) + ' AND ol > 0')} > 0 AS procedural FROM pg GROUP BY audit_id),
- facts AS (SELECT r.*, b.* EXCLUDE (audit_id), coalesce(length(category), 0) AS category_length, false AS home_meta, false AS org_address, false AS org_area, false AS entity_checked, coalesce(title_repeats, 0)::BIGINT AS title_repeats,
- coalesce(anchors, 0)::BIGINT AS anchors, coalesce(anchors_distinct, 0) AS anchors_distinct, coalesce(anchors_generic, 0)::BIGINT AS anchors_generic, coalesce(alike, 0) AS alike, coalesce(orphans, 0) AS orphans,
- coalesce((SELECT count(*) FROM sizes z WHERE z.audit_id = r.audit_id), 0) AS comparable, 200 AS home_status, true AS one_host, false AS blanket_block, false AS robots_found, false AS sitemap_found, false AS sitemap_lastmod, 6::BIGINT AS retrievers, false AS llms_found, {_ZERO}, {_NULL}
- FROM rolled r JOIN brand b USING (audit_id) LEFT JOIN repeated USING (audit_id) LEFT JOIN labels USING (audit_id) LEFT JOIN alike USING (audit_id) LEFT JOIN lost USING (audit_id))"""
-#: Facts that the query of facts shows.
-SHOWN = (
-    "pages pages_ok noindex deep csr titled titles_sized h1_any h1_one ordered images median_words thin median_links definitions statistics quotable list_units words median_paragraph semantic editorial essays commercial_pages comparisons "
-    "research title_repeats anchors anchors_distinct anchors_generic alike orphans comparable retrievers retrievers_blocked"
-).split()

@@ -148,6 +148,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version(rows: DataFrame) -> str:
+    """A name for the state of the files that ``rows`` are read from: their paths, sizes and times."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").groupBy("file_path", "file_size", "file_modification_time").count()
+    made = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time", "count").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
+    return f"{made.n}-{int(made.h or 0) % (1 << 64):016x}"
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """The table ``name`` of the shared folder, made by ``make()`` the first time it is asked for.
+
+    It is written aside and moved into place whole, so that readers never see a part and of several writers one wins.
+    """
+    jvm, folder = spark._jvm, f"{shared_folder(spark)}/kept"
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        aside = jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}")
+        make().write.parquet(aside.toString())
+        if files.exists(path) or not files.rename(aside, path):
+            files.delete(aside, True)
+    return spark.read.parquet(path.toString())
+
+
 def append_sheet(rows: DataFrame, path: str) -> None:
     """Rows at the end of a spreadsheet kept as CSV."""
     rows.write.mode("append").option("header", True).csv(path)

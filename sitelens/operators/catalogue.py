@@ -173,6 +173,10 @@ def mode_sql() -> str:
     return f"CASE WHEN {_MODE_A} THEN 'A' WHEN {_MODE_B} THEN 'B' ELSE 'C' END"
 
 
+#: What a finding has.
+COLUMNS = ("audit_id", "check_ord", "check_id", "pillar", "group", "status", "score", "weight", "confidence")
+
+
 def evaluate(facts: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     """audit_id, check_ord, check_id, pillar, group, status, score, weight, confidence: a row for each site and check."""
     rows = []

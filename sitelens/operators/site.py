@@ -58,22 +58,44 @@ def months_between(newest: Column, as_of: Column) -> Column:
     return (as_of.cast("double") - newest.cast("double")) / (60 * 60 * 24 * 30)
 
 
-def near_duplicate_pages(signals: DataFrame, key: str = "audit_id", order: str = "page_ord", least: float = NEAR) -> DataFrame:
-    """Pairs (key, a, b, similarity) of comparable pages of a site whose shingles are alike enough.
+def near_duplicate_classes(signals: DataFrame, key: str = "audit_id", order: str = "page_ord", least: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Classes of pages with equal shingles (key, first, n) and pairs of classes (key, a, b, similarity) that are alike enough, by their first pages.
 
-    Only the smallest ``n - ceil(least * n) + 1`` shingles of a page can be all that a pair has to share;
-    pages that share one of these are compared on the whole.
+    Only the rarest ``n - ceil(least * n) + 1`` shingles of a page, counted over the site's classes, can be all that a
+    pair has to share; classes that share one of these are compared on the whole. What stands on all pages of a site
+    is rarest nowhere, so it brings no two of them together.
     """
-    pages = signals.where(F.size("shingles") >= LEAST_SHINGLES).select(key, F.col(order).alias("ord"), "shingles")
-    n = F.size("shingles")
-    first = pages.select(key, "ord", F.explode(F.slice("shingles", 1, n - F.ceil(n * least).cast("int") + 1)).alias("shingle"))
-    a, b = first.alias("a"), first.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.ord") < F.col("b.ord")))
-    pairs = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).distinct()
-    left = pages.select(key, F.col("ord").alias("a"), F.col("shingles").alias("sa"))
-    right = pages.select(key, F.col("ord").alias("b"), F.col("shingles").alias("sb"))
-    compared = pairs.join(left, [key, "a"]).join(right, [key, "b"]).withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb")))
-    return compared.where(F.col("similarity") >= least).select(key, "a", "b", "similarity")
+    classes = signals.where(F.size("shingles") >= LEAST_SHINGLES).groupBy(key, "shingles").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    each = classes.select(key, "first", F.explode("shingles").alias("shingle"))
+    often = each.groupBy(key, "shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, [key, "shingle"]).groupBy(key, "first").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    n = F.size("s")
+    few = ranked.select(key, "first", F.explode(F.slice("s", 1, n - F.ceil(n * least).cast("int") + 1)).alias("x")).select(key, "first", "x.shingle")
+    a, b = few.alias("a"), few.alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.first") < F.col("b.first")))
+    met = met.select(F.col(f"a.{key}").alias(key), F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct()
+    left, right = (classes.select(key, F.col("first").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    compared = met.join(left, [key, "a"]).join(right, [key, "b"]).withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb")))
+    return classes.select(key, "first", "n"), compared.where(F.col("similarity") >= least).select(key, "a", "b", "similarity")
+
+
+def near_duplicate_pages(signals: DataFrame, key: str = "audit_id", order: str = "page_ord", least: float = NEAR) -> DataFrame:
+    """Pairs (key, a, b, similarity) of comparable pages of a site whose shingles are alike enough; each two of equal pages are a pair."""
+    _, pairs = near_duplicate_classes(signals, key, order, least)
+    pages = signals.where(F.size("shingles") >= LEAST_SHINGLES).select(key, F.col(order).alias("ord"), F.min(order).over(Window.partitionBy(key, "shingles")).alias("first"))
+    left, right = (pages.select(key, F.col("ord").alias(f"o{c}"), F.col("first").alias(c)) for c in ("a", "b"))
+    other = pairs.join(left, [key, "a"]).join(right, [key, "b"]).select(key, F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "similarity")
+    equal = left.join(right, (left[key] == right[key]) & (left["a"] == right["b"]) & (F.col("oa") < F.col("ob"))).select(left[key], F.col("oa").alias("a"), F.col("ob").alias("b"), F.lit(1.0).alias("similarity"))
+    return other.unionByName(equal)
+
+
+def near_duplicate_counts(signals: DataFrame) -> DataFrame:
+    """audit_id, alike: the number of pairs of near duplicates, counted by classes."""
+    classes, pairs = near_duplicate_classes(signals)
+    left, right = (classes.select("audit_id", F.col("first").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    across = pairs.join(left, ["audit_id", "a"]).join(right, ["audit_id", "b"]).select("audit_id", (F.col("na") * F.col("nb")).alias("k"))
+    inside = classes.where("n > 1").select("audit_id", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("k"))
+    return across.unionByName(inside).groupBy("audit_id").agg(F.sum("k").alias("alike"))
 
 
 def orphan_pages(signals: DataFrame) -> DataFrame:
@@ -114,7 +136,7 @@ def brands(signals: DataFrame, hosts: DataFrame) -> DataFrame:
         "audit_id", chosen.alias("name"), kind.alias("category"), descriptor.alias("descriptor"), variants.alias("name_variants"), (F.size(forms) <= 1).alias("one_name"),
         F.coalesce(F.char_length(kind), F.lit(0)).alias("category_length"), F.exists("home.headings", lambda h: (h["level"] == 1) & (F.char_length(h["text"]) > 10)).alias("home_h1"),
         F.coalesce(F.char_length("home.meta_description") > 40, F.lit(False)).alias("home_meta"), F.col("org.weight").alias("org_weight"),
-        F.coalesce(F.size("org.same_as"), F.lit(0)).cast("bigint").alias("same_as"), F.coalesce("org.address", F.lit(False)).alias("org_address"), F.coalesce("org.area", F.lit(False)).alias("org_area"),
+        F.coalesce(F.size("org.same_as"), F.lit(0)).cast("bigint").alias("same_as"), F.col("org.same_as").alias("org_same_as"), F.col("org.present").alias("org_present"), F.coalesce("org.address", F.lit(False)).alias("org_address"), F.coalesce("org.area", F.lit(False)).alias("org_area"),
     )
 
 
@@ -193,7 +215,7 @@ def page_facts(signals: DataFrame, as_of: Column) -> DataFrame:
     good = ok_pages(signals)
     extra = [
         repeats(good, "title"), repeats(good, "meta_description").withColumnRenamed("meta_description_repeats", "meta_repeats"), anchor_counts(good),
-        near_duplicate_pages(good).groupBy("audit_id").agg(F.count("*").alias("alike")), orphan_pages(signals).groupBy("audit_id").agg(F.count("*").alias("orphans")),
+        near_duplicate_counts(good), orphan_pages(signals).groupBy("audit_id").agg(F.count("*").alias("orphans")),
     ]
     joined = reduce(lambda left, right: left.join(right, "audit_id", "left"), extra, rolled)
     return joined.fillna(0, ["title_repeats", "meta_repeats", "anchors", "anchors_distinct", "anchors_generic", "alike", "orphans"])

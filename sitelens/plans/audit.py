@@ -15,10 +15,12 @@ from sitelens.functions import urls as U
 from sitelens.operators import catalogue as C
 from sitelens.operators import discovery as D
 from sitelens.operators import evidence as E
+from sitelens.operators import findings as R
 from sitelens.operators import html as H
 from sitelens.operators import plan as P
 from sitelens.operators import scoring as S
 from sitelens.operators import site as L
+from sitelens.plans import evidence_sql as W
 from sitelens.plans import observed as O
 from sitelens.plans import sql as Q
 from sitelens.sources.tables import kept, stored, version
@@ -55,22 +57,31 @@ def seen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, _name(spark, sf_dir, "signals", "pages"), lambda: H.page_signals(O.fetches(spark, sf_dir)))
 
 
+def homepages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """audit_id, url, origin, host and m of each site."""
+    return kept(spark, _name(spark, sf_dir, "homes", "pages"), lambda: O.targets(O.fetches(spark, sf_dir)))
+
+
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = seen_pages(spark, sf_dir)
-    named = L.brands(seen, O.targets(O.fetches(spark, sf_dir)))
-    return named.join(L.top_terms(seen), "audit_id", "left").withColumn("top_term", F.get("top_terms", F.lit(0)))
+    def make() -> DataFrame:
+        seen = seen_pages(spark, sf_dir)
+        named = L.brands(seen, homepages(spark, sf_dir))
+        return named.join(L.top_terms(seen), "audit_id", "left").withColumn("top_term", F.get("top_terms", F.lit(0)))
+
+    return kept(spark, _name(spark, sf_dir, "brands", "pages"), make)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of each site over its own template questions."""
-    return E.ranked_gaps(E.question_gaps(E.template_questions(brands(spark, sf_dir)), seen_pages(spark, sf_dir)))
+    asked = lambda: E.question_gaps(E.template_questions(brands(spark, sf_dir)), seen_pages(spark, sf_dir))
+    return E.ranked_gaps(kept(spark, _name(spark, sf_dir, "gaps", "pages"), asked))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of each site, made once for each state of the tables that they come from."""
 
     def make() -> DataFrame:
-        seen, homes = seen_pages(spark, sf_dir), O.targets(O.fetches(spark, sf_dir))
+        seen, homes = seen_pages(spark, sf_dir), homepages(spark, sf_dir)
         found = D.discover(homes.select("audit_id", "url"), O.site_files(homes))
         evidence = O.measurements(spark, sf_dir, homes) | {"gaps": E.gap_counts(gaps(spark, sf_dir))}
         return L.site_facts(seen, found, brands(spark, sf_dir), F.lit(O.AS_OF).cast("timestamp"), **evidence)
@@ -190,6 +201,25 @@ def question_gaps(spark, d):
     return gaps(spark, d).select("audit_id", "q_ord", "question", "intent", "value", "answered", "matched_url", "rank")
 
 
+def report(spark, d) -> DataFrame:
+    """Findings of each site with title, summary, evidence and affected pages."""
+    seen = seen_pages(spark, d)
+    pairs = R.with_urls(L.near_duplicate_pages(L.ok_pages(seen)), seen)
+    homes = homepages(spark, d)
+    files = D.robots_files(O.site_files(homes), homes)
+    matrix = D.crawler_matrix(D.robots_rules(files.where("found")), files)
+    shown = R.examples(seen, pairs, gaps(spark, d), brands(spark, d), E.citations(O.hits(spark, d)), matrix)
+    return R.report(facts(spark, d), R.affected_urls(seen, pairs, L.orphan_pages(seen)), shown)
+
+
+def _findings_evidence(spark, d):
+    def one(e):
+        return F.concat_ws("|", e["kind"], e["label"], e["value"], e["of"], F.nullif(e["unit"], F.lit("")), e["url"], F.when(F.size(e["values"]) > 0, F.array_join(e["values"], ",")))
+
+    shown = F.array_join(F.transform("evidence", one), "; ").alias("evidence")
+    return report(spark, d).select("audit_id", "check_id", "title", "summary", shown, F.array_join("affected_urls", " ").alias("affected_urls"))
+
+
 REGISTRY = {f"check_{g.replace('.', '_')}": _group(g) for g in S.GROUPS} | {
     "site_facts": (_facts, f"{O.FACTS} SELECT audit_id, " + ", ".join(f"round({c}, 9) AS {c}" if c in _DOUBLES else f"CAST({c} AS BIGINT) AS {c}" for c in O.SHOWN) + " FROM facts"),
     "group_scores": (lambda s, d: _rounded(groups(s, d), "score", "coverage"), f'{_FINDINGS} SELECT * REPLACE (round(score, 9) AS score, round(coverage, 9) AS coverage) FROM ({_GROUPS})'),
@@ -203,6 +233,7 @@ REGISTRY = {f"check_{g.replace('.', '_')}": _group(g) for g in S.GROUPS} | {
     "recommendation_plan": (lambda s, d: P.recommendations(ranked(s, d)).select("audit_id", "id", "pillar", "horizon", "impact", "effort", "place"), f"{_FINDINGS} SELECT audit_id, id, pillar, horizon, impact, effort, place FROM ({_PLAN})"),
     "translations": (lambda s, d: P.translations(ranked(s, d)), f"{_FINDINGS} {_TRANSLATED}"),
     "coverage_rollup": (lambda s, d: findings(s, d).rollup("pillar", "group").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score")), f'{_FINDINGS} SELECT pillar, "group", count(*) AS n, round(avg(score), 9) AS mean_score FROM findings GROUP BY ROLLUP (pillar, "group")'),
+    "findings_evidence": (_findings_evidence, f"{_FINDINGS}, {W.EVIDENCE}"),
     "page_links": (_page_links, f"{Q.PAGES} SELECT page_id, len(internal)::INT AS internal, 0 AS \"external\", array_to_string(list_sort(internal), ' ') AS links, len(anchors)::INT AS anchors FROM pg"),
     "page_shape": (_page_shape, f"{Q.PAGES} SELECT page_id, title, lang, len(h1s)::BIGINT AS h1_count, heads[1] AS first_heading, 0::BIGINT AS heading_hierarchy_breaks, ul, ol, articles, navs, {Q.CHALLENGED} AS bot_challenge, csr AS csr_dependent, noindex, images, 0 AS ld_types, 0::BIGINT AS blockquotes FROM pg"),
     "page_text": (_page_text, f"{Q.PAGES} SELECT page_id, body AS body_text, word_count, round(ratio, 9) AS text_ratio, median_sentence AS median_sentence_words, median_paragraph AS median_paragraph_words, definitions AS definition_blocks, statistics AS statistic_claims, quotable AS quotable_passages, substr(body, 1, 1200) AS excerpt, coalesce(n_shingles, 0)::INT AS n_shingles FROM pg LEFT JOIN (SELECT page_id, count(*) AS n_shingles FROM shingled GROUP BY page_id) USING (page_id)"),

@@ -4,7 +4,8 @@ The number of lists grows with the square root of the rows, up to ``LISTS``; cen
 sample of at most ``SAMPLE`` vectors. Every vector goes to its nearest list, and a boundary vector
 to further lists whose centroids are nearly as near. A graph of centroids, held in memory, is
 searched for both. A query probes the lists whose distance is within a ratio of the nearest one's; the
-ratio is the smallest that gives the wanted recall on the sample. Lists, and the queries that probe
+ratio is the smallest that gives the wanted recall on the sample. The nearest ``FIRST`` lists are probed
+first; of the others only rows within the k-th distance found there are sent on, which loses none. Lists, and the queries that probe
 one, are dealt in blocks of about ``BLOCK`` rows, each pair of which is a task of its own. A query
 whose lists hold fewer than ``k`` candidates probes all lists.
 
@@ -29,6 +30,8 @@ from sitelens.llm.common import Scratch, sampled, table
 
 K, SAMPLE, LISTS, DEGREE = 10, 32_768, 16_384, 16
 CLOSURE, COPIES, BLOCK, EVERY = 1.1, 4, 4096, 100
+#: Lists probed before the others.
+FIRST = 16
 #: Ratios tried for pruning, the recall the chosen one has on the sample, and queries it is measured with.
 PROBES, RECALL, TRIED = tuple(1 + k / 200 for k in range(1, 201)), 0.95, 128
 
@@ -169,7 +172,7 @@ def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report:
                 part = batch.iloc[at : at + 256]
                 near, d = graph.value.search(np.stack(part.embedding.to_numpy()).astype(np.float32), wide)
                 row, col = np.nonzero(chosen(d))
-                yield pd.DataFrame({"vec_id": part.vec_id.to_numpy()[row], "list": near[row, col], "embedding": part.embedding.to_numpy()[row]})
+                yield pd.DataFrame({"vec_id": part.vec_id.to_numpy()[row], "list": near[row, col], "place": col.astype(np.int32), "embedding": part.embedding.to_numpy()[row]})
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return blocks(batches, 4 * DEGREE, posted_lists)
@@ -177,8 +180,9 @@ def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return blocks(batches, beam, lambda d: d <= d[:, :1] * ratio)
 
-    shape = f"vec_id bigint, list int, embedding {kind}"
-    posted = scratch.cut(base.mapInPandas(post, shape))
+    shape = f"vec_id bigint, list int, place int, embedding {kind}"
+    posted = scratch.cut(base.mapInPandas(post, shape).drop("place"))
+
     def blocks_of(rows: DataFrame) -> dict[int, int]:
         """Blocks by list, at most LISTS of them."""
         return {r["list"]: -(-r["count"] // BLOCK) for r in rows.groupBy("list").count().collect()}
@@ -202,21 +206,30 @@ def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report:
             x, v = (np.stack(f.embedding.to_numpy()).astype(np.float64) for f in (block, asking))
             ids, q = block.vec_id.to_numpy(), asking.vec_id.to_numpy()
             i, j, d = nearest_rows(x, ids, v, q, k)
-            return pd.DataFrame({"query_id": q[i], "vec_id": ids[j], "score": d})
+            near = d <= asking.bound.to_numpy()[i]
+            return pd.DataFrame({"query_id": q[i], "vec_id": ids[j], "score": d})[near]
 
         lists = dealt(posted.join(left, "list"), "part", "ask").groupBy("list", "part", "ask")
         found = lists.cogroup(dealt(probes.join(right, "list"), "ask", "part").groupBy("list", "part", "ask")).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return found
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def first_k(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     probes = scratch.cut(asked.mapInPandas(ask, shape))
     report["probed"] = probes.count() / max(1, asked.count())
-    found = scratch.cut(nearest(probes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    # The nearest lists give every query a distance that no row of the further lists has to be sent beyond.
+    near = scratch.cut(first_k(nearest(probes.where(F.col("place") < FIRST).withColumn("bound", F.lit(float("inf"))))))
+    bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    further = probes.where(F.col("place") >= FIRST).join(bound, "vec_id", "left").fillna(float("inf"), ["bound"])
+    found = scratch.cut(first_k(nearest(scratch.cut(further)).unionByName(near.select("query_id", "vec_id", "score"))))
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = scratch.cut(asked.join(full, "vec_id", "left_anti"))
     if not short.isEmpty():
         everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(made.c) - 1))))
-        wider = nearest(everywhere.select("vec_id", "list", "embedding")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        wider = first_k(nearest(everywhere.select("vec_id", "list", "embedding", F.lit(float("inf")).alias("bound"))))
         found = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(wider)
     return found.select("query_id", "rank", "vec_id", "score")
 

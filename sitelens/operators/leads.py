@@ -14,9 +14,18 @@ FREE_MAIL = (
     "gmail.com googlemail.com yahoo.com yahoo.co.in outlook.com hotmail.com live.com aol.com icloud.com me.com proton.me protonmail.com gmx.com yandex.com mail.com zoho.com rediffmail.com"
 ).split()
 MARKETS = ("global", "us", "in", "uk", "ae", "au", "ca", "sg")
+#: Country and language that a search engine is asked for, where they are not the market's own code and English.
+COUNTRIES, LANGUAGE = {"global": "us", "uk": "gb"}, "en"
 GRADES = ((70, "A"), (55, "B"), (40, "C"))
 
 
+def search_region(market: Column) -> Column:
+    """Struct of country (gl) and language (hl) for a market; an unknown one is global."""
+    known = F.when(market.isin(*MARKETS), market).otherwise("global")
+    named = F.coalesce(*[F.when(known == m, c) for m, c in COUNTRIES.items()], known)
+    return F.struct(named.alias("gl"), F.lit(LANGUAGE).alias("hl"))
+
+
 def grade(score: Column) -> Column:
     return F.coalesce(*[F.when(score >= least, name) for least, name in GRADES], F.lit("D"))
 

@@ -69,6 +69,21 @@ def overall_scores(pillars: DataFrame) -> DataFrame:
     return rolled.withColumn("band", band(F.col("overall"))).withColumn("scoring_version", F.lit(SCORING_VERSION))
 
 
+def applied_weights(pillars: DataFrame) -> DataFrame:
+    """audit_id, weights: the share that each pillar has in the overall score, 0 for those without score."""
+    weight = F.when(F.col("score").isNotNull(), _lookup(F.col("pillar"), PILLARS, 0)).otherwise(0.0)
+    by = pillars.groupBy("audit_id").agg(F.sum(weight).alias("_all"), *[F.coalesce(F.max(F.when(F.col("pillar") == p, weight)), F.lit(0.0)).alias(p) for p in PILLARS])
+    shares = [x for p in PILLARS for x in (F.lit(p), F.when(F.col("_all") > 0, F.col(p) / F.col("_all")).otherwise(0.0))]
+    return by.select("audit_id", F.create_map(*shares).alias("weights"))
+
+
+def measured_note(mode: Column, weights: Column) -> Column:
+    """What a reader has to know about how the overall score came about."""
+    used = F.size(F.filter(F.map_values(weights), lambda w: w > 0)).cast("string")
+    left_out = F.concat(F.lit("Made from "), used, F.lit(f" of {len(PILLARS)} pillars; what AI systems answer was not measured and is left out."))
+    return F.when(mode == "C", left_out).when(mode == "B", "AI presence comes from overviews of the search engine alone.").otherwise("All pillars are measured.")
+
+
 def composite_scores(pillars: DataFrame) -> DataFrame:
     """Google and AI visibility; a pillar without score counts as 0 here, and AI visibility is estimated where its pillar has none."""
     by = {p: F.max(F.when(F.col("pillar") == p, F.col("score"))) for p in PILLARS}

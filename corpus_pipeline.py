@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sitelens.llm import jaccard_join, mixing, packing, quality, secrets
 from sitelens.llm.common import finished_shuffles_go, shared_folder, table
 
+#: Chunks of text whose ids a worker of the packing stage remembers.
+REMEMBERED = 100_000
+
 
 def _free(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column is called so."""
@@ -71,7 +74,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs every row into sequences, pieces with their ids; repeats of a document are packed each for itself. A null text is empty."""
-    return packing.packed(docs)
+    # Workers hold the models of earlier stages too, so the encoder remembers less here.
+    return packing.packed(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -30,7 +30,7 @@ from sitelens.llm.common import shuffle_width, table
 
 CAPACITY, END_ID, FINE = 2048, 1, 64
 TOKENIZER = "byte_bpe_50k.json"
-DOCS_PER_WORKER, TOGETHER = 4000, 256
+DOCS_PER_WORKER, TOGETHER, REMEMBERED = 4000, 256, 600_000
 #: Characters that a token has at least, on the whole; only the number of workers depends on it.
 CHARS_A_TOKEN = 2
 #: A word of letters before a stop, or all up to the next white space; either with the white space before it.
@@ -71,7 +71,7 @@ class Encoder(dict):
     About ``most`` chunks of at most ``longest`` characters are remembered.
     """
 
-    def __init__(self, tokenizer, most: int = 600_000, longest: int = 40):
+    def __init__(self, tokenizer, most: int = REMEMBERED, longest: int = 40):
         super().__init__()
         self.tokenizer, self.most, self.longest, self.older = tokenizer, most, longest, {}
         made = json.loads(tokenizer.to_str())
@@ -115,16 +115,16 @@ class Encoder(dict):
 
 
 @cache
-def _encoder(path: str | None) -> Encoder:
+def _encoder(path: str | None, most: int) -> Encoder:
     """One for all tasks of a worker."""
-    return Encoder(_tokenizer(path))
+    return Encoder(_tokenizer(path), most)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, fine: int = FINE, keep_ids: bool = True) -> DataFrame:
-    """Tokenised and cut documents; with ``keep_ids`` each piece carries its token ids."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, fine: int = FINE, keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """Tokenised and cut documents; with ``keep_ids`` each piece carries its token ids. A worker remembers about ``remembered`` chunks of text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, remembered)
         for batch in batches:
             for a in range(0, len(batch), TOGETHER):
                 some, out = batch.iloc[a : a + TOGETHER], []

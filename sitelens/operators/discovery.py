@@ -140,9 +140,9 @@ def crawl_delays(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def fetchable(urls: DataFrame, rules: DataFrame, files: DataFrame, agent: str) -> DataFrame:
-    """Rows of ``urls`` (audit_id, url, ...) that the site's robots rules let ``agent`` fetch."""
+    """Rows of ``urls`` (audit_id, url or path, ...) that the site's robots rules let ``agent`` fetch."""
     chosen = selected_rules(rules, [agent]).select("audit_id", "allow", "disallow")
-    joined = urls.join(files.select("audit_id", "found"), "audit_id", "left").join(chosen, "audit_id", "left").withColumn("_path", U.path(F.col("url")))
+    joined = urls.join(files.select("audit_id", "found"), "audit_id", "left").join(chosen, "audit_id", "left").withColumn("_path", F.col("path") if "path" in urls.columns else U.path(F.col("url")))
 
     def best(patterns: str) -> Column:
         fits = F.filter(patterns, lambda p: (p != "") & F.coalesce(F.rlike(F.col("_path"), pattern_regex(p)), F.lit(False)))

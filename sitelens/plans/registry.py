@@ -16,7 +16,7 @@ from sitelens.plans import audit
 from sitelens.plans import observed as O
 from sitelens.plans import sql as Q
 from sitelens.sources.tables import stored
-from sitelens.streaming.limits import charged, stream_latest_stage, stream_rate_limit
+from sitelens.streaming.limits import charged, stream_calls, stream_latest_stage, stream_rate_limit
 
 _TOK, _CONTENT, _SENT, _q = Q.TOK, Q.CONTENT, Q.SENT, Q.quoted
 _HOST_SQL, _PATH_SQL = Q.HOST, Q.PATH
@@ -193,20 +193,54 @@ def _charged(spark, d):
     return e.select("event_id", "window_s", "allowed")
 
 
-_ROBOTS = {
-    "open": "User-agent: *\nDisallow:\nSitemap: https://open.example.com/map.xml\n", "closed": "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nUser-agent: CCBot\nAllow: /\n",
-    "mixed": "# a comment\nUser-agent: ClaudeBot\nDisallow: /private*\nAllow: /private/open$\nno colon here\nUser-agent: perplexity\nCrawl-delay: 2\nDisallow: /*.pdf$\n", "early": "Disallow: /x\nUser-agent: *\nDisallow: /a\nAllow: /a/b\n",
-}
+_AGENTS = ("GPTBot", "ClaudeBot", "Other")
 
 
-def robots_fetches(spark: SparkSession) -> DataFrame:
-    rows = [(name, f"https://{name}.example.com/robots.txt", 200, body) for name, body in _ROBOTS.items()] + [("none", "https://none.example.com/robots.txt", 404, ""), ("page", "https://page.example.com/robots.txt", 200, "<!DOCTYPE html><html></html>")]
-    return spark.createDataFrame(rows, "audit_id string, url string, status_code int, body string")
+def _robots(spark, d):
+    """Which pages each agent may read by rules that the site's pages stand for: some paths are shut, shorter ones open, one agent has a group of its own."""
+    p = _read(spark, d, "pages").select(U.host(F.col("url")).alias("audit_id"), F.col("page_id").cast("bigint").alias("page_id"), "url", U.path(F.col("url")).alias("path"))
+    shut, open_ = F.concat(F.lit("Disallow:\t"), "path", F.lit(" # shut")), F.concat(F.lit("  allow :"), F.substring("path", 1, 4), F.lit("*"))
+    line = F.when(F.col("page_id") % 3 == 0, shut).when(F.col("page_id") % 3 == 1, open_).otherwise(F.concat(F.lit("Disallow: "), F.substring("path", 1, 3)))
+    own = F.when(F.min("page_id") % 4 == 0, "\r\nUser-Agent:\tgptbot\t\r\nDisallow: /*$\r\n").otherwise("")
+    body = F.concat(F.lit("User-agent: *\r\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\r\n"), own)
+    sites = p.groupBy("audit_id").agg(body.alias("body"), F.min("page_id").alias("m"))
+    rows = F.array(F.struct(F.concat(F.lit("https://"), "audit_id", F.lit("/robots.txt")).alias("url"), F.when(F.col("m") % 5 == 0, 404).otherwise(200).alias("status_code"), "body"), F.struct(F.concat(F.lit("http://"), "audit_id", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status_code"), F.lit("User-agent: *\nDisallow: /").alias("body")))
+    files = stored(D.robots_files(sites.select("audit_id", F.inline(rows))))
+    p, rules = stored(p), stored(D.robots_rules(files.where("found")))
+    parts = [D.fetchable(p, rules, files, a).select("audit_id", "page_id", F.lit(a).alias("agent")) for a in _AGENTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _robots(spark, d):
-    files = D.robots_files(robots_fetches(spark))
-    return D.allowed(D.robots_rules(files.where("found")), files, [a for a, _, _ in D.AI_CRAWLERS], ["/", "/a/b", "/private/open", "/x.pdf"])
+_ROBOTS_SQL = f"""WITH p AS (SELECT {_HOST_SQL} AS audit_id, page_id, CASE WHEN {_PATH_SQL} = '' THEN '/' ELSE {_PATH_SQL} END AS path FROM pages), s AS (SELECT audit_id, min(page_id) AS m FROM p GROUP BY audit_id),
+ r AS (SELECT audit_id, page_id % 3 = 1 AS opens, CASE page_id % 3 WHEN 0 THEN path WHEN 1 THEN substr(path, 1, 4) ELSE substr(path, 1, 3) END AS prefix FROM p),
+ best AS (SELECT p.audit_id, p.page_id, coalesce(max(length(prefix)) FILTER (opens), -1) AS a, coalesce(max(length(prefix)) FILTER (NOT opens), -1) AS d FROM p JOIN r ON r.audit_id = p.audit_id AND starts_with(path, prefix) GROUP BY ALL)
+ SELECT p.audit_id, p.page_id, agent FROM p JOIN s USING (audit_id) LEFT JOIN best USING (audit_id, page_id), (VALUES {", ".join(f"('{a}')" for a in _AGENTS)}) AS x(agent)
+ WHERE m % 5 = 0 OR (CASE WHEN agent = 'GPTBot' AND m % 4 = 0 THEN false ELSE coalesce(d < 0 OR a >= d, true) END)"""
+
+
+#: Addresses as they turn up in the wild, made from page addresses: how each differs, and what a browser reads.
+_ODD = (
+    ("concat(s, '://', h, p, '/a b')", "h", "p || '/a%20b'", "''"), ("concat(s, '://', h, p, '?q=a|b&ref=x')", "h", "p", "'?q=a%7Cb'"), ("concat('  ', upper(s), ':\\\\', upper(h), p, '/x\t')", "h", "p || '/x'", "''"),
+    ("concat(s, '://', h, p, '/%zz')", "h", "p || '/%zz'", "''"), ("concat(s, '://my_', h, p)", "'my_' || h", "p", "''"), ("concat(s, '://münchen.', h, p)", "'xn--mnchen-3ya.' || h", "p", "''"),
+    ("concat(s, '://[', h, p)", "''", "''", "''"), ("concat(s, '://', h, ':8080', p, '/../q/./r/')", "h", "regexp_replace(p, '[^/]*$', '') || 'q/r/'", "''"), ("concat(s, '://', h, p, '?b=2&a=%41+b&utm_x=1#f')", "h", "p", "'?a=A+b&b=2'"),
+    ("concat(s, '://', h, p, '/é')", "h", "p || '/%C3%A9'", "''"),
+)
+
+
+def _odd_urls(spark, d):
+    p = _read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("s"), F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "/+$", "").alias("p"))
+    made = F.coalesce(*[F.when(F.col("page_id") % len(_ODD) == i, F.expr(u)) for i, (u, *_) in enumerate(_ODD)])
+    url = F.col("url")
+    return p.select("page_id", made.alias("url")).select("page_id", U.host(url).alias("host"), U.path(url).alias("path"), U.canonical(url).alias("canonical"), U.depth(url).alias("depth"))
+
+
+def _odd(at: int) -> str:
+    return f"CASE page_id % {len(_ODD)} " + " ".join(f"WHEN {i} THEN {row[at]}" for i, row in enumerate(_ODD)) + " END"
+
+
+_ODD_SQL = f"""SELECT page_id, host, path, CASE WHEN host <> '' THEN s || '://' || host || port || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END || query END AS canonical,
+ len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth FROM (SELECT page_id, s, {_odd(1)} AS host, CASE WHEN {_odd(1)} <> '' AND {_odd(2)} = '' THEN '/' ELSE {_odd(2)} END AS path, {_odd(3)} AS query, CASE WHEN page_id % {len(_ODD)} = 7 THEN ':8080' ELSE '' END AS port
+ FROM (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages))"""
 
 
 def _crawl(spark, d):
@@ -214,11 +248,18 @@ def _crawl(spark, d):
     seen = stored(audit.signals(spark, d).select("audit_id", "page_ord", "url", "internal_links"))
     links = seen.select("audit_id", U.canonical(F.col("url")).alias("url"), F.posexplode("internal_links").alias("link_ord", "link"))
     sampled = seen.select("audit_id", F.col("page_ord").alias("ord"), U.canonical(F.col("url")).alias("url"))
-    none = D.robots_files(robots_fetches(spark).limit(0))
+    none = spark.createDataFrame([], "audit_id string, found boolean, status_code int, body string, html_instead boolean")
     starts = seen.groupBy("audit_id").agg(F.min_by("url", "page_ord").alias("url"))
     return K.crawl(starts, links, D.robots_rules(none), none, sampled, "any")
 
 
+#: Windows that a first call opens: the next one begins with the first call after the last one's end.
+_SLIDING_SQL = """WITH RECURSIVE w AS (SELECT event_type, user_id, min(ts) AS start FROM events GROUP BY ALL
+ UNION ALL SELECT w.event_type, w.user_id, min(e.ts) FROM w JOIN events e ON e.event_type = w.event_type AND e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 1 HOUR GROUP BY w.event_type, w.user_id, w.start)
+ SELECT event_id, epoch_us(start) AS window_us, row_number() OVER (PARTITION BY event_type, user_id, start ORDER BY ts, event_id) <= 2 AS allowed FROM (SELECT e.event_id, e.event_type, e.user_id, e.ts, max(start) AS start
+ FROM events e JOIN w ON w.event_type = e.event_type AND w.user_id = e.user_id AND w.start <= e.ts GROUP BY ALL)"""
+
+
 REGISTRY = audit.REGISTRY | {
     "doc_word_counts": (_word_counts, f"SELECT doc_id, len({_TOK.format('text')})::INT AS n_tokens, len({_CONTENT.format('text')})::INT AS n_content FROM documents"),
     "doc_sentences": (_sentence_counts, f"SELECT doc_id, len(s)::INT AS n_sentences, coalesce(list_median(list_transform(s, lambda x: len({_TOK.format('x')})::DOUBLE)), 0.0::DOUBLE) AS median_words FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)"),
@@ -235,7 +276,10 @@ REGISTRY = audit.REGISTRY | {
     "lead_dashboard": (_dashboard, "SELECT c_custkey AS id, c_name AS name, n_name AS host, n_regionkey AS overall_score, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_booking FROM customer LEFT JOIN nation ON c_custkey % 4 <> 0 AND n_nationkey = c_nationkey"),
     "admin_counters": (_admin, "SELECT count(*) AS audits, count(*) FILTER (o_orderstatus = 'F') AS completed, count(DISTINCT lower(o_orderpriority || (o_custkey % 50)::VARCHAR)) AS people FROM orders"),
     "rate_limit_calls": (_charged, "SELECT event_id, epoch(date_trunc('hour', ts))::BIGINT AS window_s, row_number() OVER (PARTITION BY event_type, user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events"),
-    "robots_allowed": (_robots, None),
+    "stream_limit_calls": (lambda s, d: stream_calls(s, d, True), "SELECT event_id, epoch_us(date_trunc('hour', ts)) AS window_us, row_number() OVER (PARTITION BY event_type, user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events"),
+    "stream_sliding_calls": (lambda s, d: stream_calls(s, d, False), _SLIDING_SQL),
+    "robots_allowed": (_robots, _ROBOTS_SQL),
+    "url_hostile": (_odd_urls, _ODD_SQL),
     "crawl_rounds": (_crawl, None),
     "stream_stage_state": (stream_latest_stage, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL"),
     "doc_tokens": (lambda s, d: _select(s, d, "documents", "doc_id", tokens=F.array_join(T.tokens(F.col("text")), " ")), f"SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents"),

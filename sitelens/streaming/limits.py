@@ -1,14 +1,19 @@
-"""Fixed-window rate limits and latest stages over a stream of events.
+"""Rate limits and latest stages over a stream of events.
 
-Windows are aligned to the clock, as in the store's rate-limit statement, and not opened by a first call.
+Windows of ``limited`` and ``charged`` are aligned to the clock, as in the store's rate-limit statement. ``answered``
+gives every call of a stream its answer, by aligned windows or by windows that a first call opens.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sitelens.sources.tables import shared_folder
 
@@ -46,6 +51,70 @@ def latest_stages(events: DataFrame) -> DataFrame:
     return timed.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"), F.count("*").alias("n")).select("user_id", "event_type", "m.event_id", "n")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_MICROS = 1_000_000
+
+
+class CallLimiter(StatefulProcessor):
+    """Answers the calls of one scope and key: the first ``limit`` of a window are allowed, refusals are not charged.
+
+    The state is one row: when the window began and how many calls it has allowed. A timer at the window's end removes
+    it, so that state is bounded by the keys that call within a window and the watermark's delay. Calls of a batch are taken in
+    order of time; one from before the window counts in it.
+    """
+
+    def __init__(self, seconds: int, limit: int, aligned: bool):
+        self.size, self.limit, self.aligned = seconds * _MICROS, limit, aligned
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start bigint, used bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "call"], kind="stable", ignore_index=True)
+        start, used = self.window.get() if self.window.exists() else (None, 0)
+        known, starts, verdicts = start, [], []
+        for at in calls.micros.tolist():
+            if start is None or at >= start + self.size:
+                start, used = (at // self.size * self.size if self.aligned else at), 0
+            allowed = used < self.limit
+            used += allowed
+            starts.append(start)
+            verdicts.append(allowed)
+        if start != known:
+            if known is not None:
+                self.handle.deleteTimer((known + self.size) // 1000)
+            self.handle.registerTimer((start + self.size) // 1000)
+        self.window.update((start, used))
+        yield pd.DataFrame({"scope": key[0], "key": key[1], "call": calls.call, "window_us": starts, "allowed": verdicts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def answered(events: DataFrame, scope: str, key: str, call: str, seconds: int, limit: int, aligned: bool, late: str = LATE, ts: str = "ts") -> DataFrame:
+    """A row for each call of a stream: scope, key, call, window_us (the window's start in microseconds) and allowed."""
+    timed = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+    calls = timed.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("string").alias("key"), F.col(call).cast("bigint").alias("call"), F.unix_micros("_at").alias("micros"), "_at")
+    schema = "scope string, key string, call bigint, window_us bigint, allowed boolean"
+    return calls.groupBy("scope", "key").transformWithStateInPandas(CallLimiter(seconds, max(0, limit), aligned), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+@contextmanager
+def many_states(spark: SparkSession):
+    """State with timers needs the store that Spark keeps on disk."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def progress(stages: DataFrame, order: list[str]) -> DataFrame:
     """Of each audit the share of stages that are done and the one that runs."""
     names = F.array(*[F.lit(s) for s in order])
@@ -53,7 +122,7 @@ def progress(stages: DataFrame, order: list[str]) -> DataFrame:
     return stages.groupBy("audit_id").agg((done / len(order)).alias("share"), F.max_by("stage", F.when(F.col("status") == "running", F.array_position(names, F.col("stage")))).alias("running"))
 
 
-def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Runs an updating stream over what is there; each key's row of its last batch."""
     spark = stream.sparkSession
     base = shared_folder(spark)
@@ -63,7 +132,7 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
         # A batch that is run again replaces its own folder.
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(upsert).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/rows")
     others = [c for c in stream.columns if c not in keys]
@@ -76,3 +145,10 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_latest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(latest_stages(event_stream(spark, sf_dir)), ["user_id", "event_type"])
+
+
+def stream_calls(spark: SparkSession, sf_dir: str, aligned: bool) -> DataFrame:
+    """Every event as a call of its type and user, two an hour allowed."""
+    with many_states(spark):
+        rows = drained(answered(event_stream(spark, sf_dir), "event_type", "user_id", "event_id", 3600, 2, aligned), ["scope", "key", "call"], "append")
+    return rows.select(F.col("call").alias("event_id"), "window_us", "allowed")

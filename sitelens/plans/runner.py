@@ -28,6 +28,7 @@ from sitelens.operators import leads as G
 from sitelens.operators import plan as P
 from sitelens.operators import scoring as S
 from sitelens.operators import site as L
+from sitelens.sources.pdf import report_lines, reports
 from sitelens.sources.stages import Stages, Tables
 from sitelens.sources.tables import audit_result
 
@@ -180,10 +181,15 @@ def recommend(t: Tables) -> Tables:
     return {"recommendations": plan, "results": audit_result(**parts)}
 
 
+def publish(t: Tables, as_of: str) -> Tables:
+    """The reports as files."""
+    return {"reports": reports(report_lines(t), as_of)}
+
+
 def stages(as_of: str) -> list:
     return [
         ("requests", requests), ("discovery", discovery), ("crawl", crawl), ("refusals", refusals), ("brands", brands), ("evidence", evidence), ("analyse", lambda t: analyse(t, as_of)), ("score", score),
-        ("interpret", interpret), ("recommend", recommend),
+        ("interpret", interpret), ("recommend", recommend), ("publish", lambda t: publish(t, as_of)),
     ]
 
 

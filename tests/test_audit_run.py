@@ -1,6 +1,7 @@
 """A whole audit of several sites: refusals, competitors, evidence, and going on after a crash between stages."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sitelens.operators import leads as G
 from sitelens.operators import scoring as S
 from sitelens.plans import runner
+from sitelens.sources import pdf
 from sitelens.sources.stages import Stages
 
 AS_OF = "2026-01-01"
@@ -135,3 +137,40 @@ def test_weights_and_regions(spark):
     assert abs(w["a"].weights["seo"] - 0.3 / 0.55) < 1e-12 and w["a"].weights["geo"] == 0 and set(w["b"].weights.values()) == {0.0}
     regions = spark.createDataFrame([("uk",), ("global",), ("ae",), (None,), ("mars",)], "m string").select(G.search_region(F.col("m")).alias("r")).collect()
     assert [(r.r.gl, r.r.hl) for r in regions] == [("gb", "en"), ("us", "en"), ("ae", "en"), ("us", "en"), ("us", "en")]
+
+
+def read_pdf(data):
+    """Text of a PDF by its own table of objects."""
+    start = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", data).group(1))
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n \n", data[start:])]
+    assert all(data[p:].startswith(b"%d 0 obj\n" % n) for n, p in enumerate(places, 1))
+    body = lambda n: data[places[n - 1] :].split(b"endobj", 1)[0]
+    kids = [int(x) for x in re.findall(rb"(\d+) 0 R", re.search(rb"/Kids \[(.*?)\]", body(2)).group(1))]
+    out = []
+    for k in kids:
+        content = body(int(re.search(rb"/Contents (\d+) 0 R", body(k)).group(1)))
+        size, stream = int(re.search(rb"/Length (\d+)", content).group(1)), content.split(b"stream\n", 1)[1]
+        assert stream[size:].startswith(b"endstream")
+        for bold, points, x, y, text in re.findall(rb"BT /F(\d) ([\d.]+) Tf ([\d.]+) ([\d.]+) Td \((.*)\) Tj ET\n", stream[:size]):
+            line = re.sub(rb"\\(.)", rb"\1", text).decode("latin-1")
+            assert float(y) >= pdf.MARGIN - 12 and float(x) + pdf.width(line, float(points), bold == b"2") <= pdf.PAGE[0] - pdf.MARGIN + 1
+            out.append(line)
+    return " ".join(out), len(kids)
+
+
+def test_reports_can_be_read(done):
+    files = by(done["reports"], "audit_id")
+    assert set(files) == {"good", "poor"} and files["good"].name == "acme.com-2026-01-01-visibility-report.pdf"
+    for audit, row in files.items():
+        text, n = read_pdf(bytes(row.pdf))
+        flat = "".join(text.split())
+        assert n == row.pages > 1
+        for f in done["findings"].where(F.col("audit_id") == audit).collect():
+            assert "".join(f"{f.title}: {f.status}".split()) in flat and "".join(f.summary.split()) in flat
+    assert "rival.com" in read_pdf(bytes(files["good"].pdf))[0]
+
+
+def test_long_words_and_odd_characters():
+    data = pdf.document([("title", "A (b) \\ c"), ("text", "x" * 4000), ("text", ""), ("note", "ÿ \u4e00 end")] + [("head", f"head {i}") for i in range(200)])
+    text, n = read_pdf(data)
+    assert n > 2 and "A (b) \\ c" in text and text.count("x") == 4000 and "? end" in text

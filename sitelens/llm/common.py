@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,18 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BITS_A_ROW = 8 * 4096
 
 
+def memory_goes_back() -> None:
+    """Returns to the system what this Python worker no longer uses.
+
+    Workers serve one stage after the other, and allocators keep what the largest batch of any of them took.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def words(text: Column) -> Column:
     """Words of a text, unchanged; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, shuffle_width, table
+from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, memory_goes_back, shuffle_width, table
 from sitelens.llm.components import components
 from sitelens.llm.hashing import rolled, word_hashes
 
@@ -88,6 +88,7 @@ def _sketch(docs: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield make(batch)
+        memory_goes_back()
 
     text = F.coalesce("text", F.lit(""))
     source = docs.select(F.col("doc_id").cast("string").alias("_id"), text.alias("text"), text_hash().alias("hash"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import shuffle_width, table
+from sitelens.llm.common import memory_goes_back, shuffle_width, table
 
 CAPACITY, END_ID, FINE = 2048, 1, 64
 TOKENIZER = "byte_bpe_50k.json"
@@ -124,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """Tokenised and cut documents; with ``keep_ids`` each piece carries its token ids. A worker remembers about ``remembered`` chunks of text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory_goes_back()
         encoder = _encoder(tokenizer, remembered)
         for batch in batches:
             for a in range(0, len(batch), TOGETHER):
@@ -170,6 +171,7 @@ def pack(cut_pieces: DataFrame, workers: int, capacity: int = CAPACITY) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        memory_goes_back()
         base = TaskContext.get().partitionId() << 40
         opened: dict[int, pd.DataFrame] = {}
         next_id = 0

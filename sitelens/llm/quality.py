@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import sampled, table
+from sitelens.llm.common import memory_goes_back, sampled, table
 
 SAMPLE, SAMPLE_CHARS, STEPS, PENALTY = 3000, 20_000, 250, 1e-3
 THRESHOLD = 0.7
@@ -206,7 +206,9 @@ def score(docs: DataFrame, model: LineField, name: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()) if len(texts) else [], dtype=float)
+        out = pd.Series(shared.value.score(texts.tolist()) if len(texts) else [], dtype=float)
+        memory_goes_back()
+        return out
 
     return docs.withColumn(name, of(F.coalesce("text", F.lit(""))))
 

@@ -16,3 +16,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
+
+
+def fields(**columns: Column) -> Column:
+    """A struct whose names stay where Spark strips aliases, as inside generators."""
+    return F.named_struct(*[x for name, value in columns.items() for x in (F.lit(name), value)])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelens.functions.columns import let, trim
+from sitelens.functions.columns import fields, let, trim
 
 #: Suffixes of more than one label, tracking parameters and extensions of assets.
 MULTI_PART = ("co.uk", "org.uk", "ac.uk", "gov.uk", "co.in", "net.in", "org.in", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.sg", "com.my", "co.za", "com.mx")
@@ -46,7 +46,7 @@ def _decoded(text: Column) -> Column:
 def punycode(label: Column) -> Column:
     """A host label of any letters as ASCII, after RFC 3492. Letters beyond the first plane count as they are."""
     points = F.transform(F.filter(F.split(label, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint"))
-    return let(F.struct(points.alias("points"), F.regexp_replace(label, r"[^\x00-\x7F]", "").alias("basic")), lambda x: _punycode(x["points"], x["basic"]))
+    return let(fields(points=points, basic=F.regexp_replace(label, r"[^\x00-\x7F]", "")), lambda x: _punycode(x["points"], x["basic"]))
 
 
 def _punycode(points: Column, basic: Column) -> Column:
@@ -54,14 +54,14 @@ def _punycode(points: Column, basic: Column) -> Column:
 
     def digits(delta: Column, bias: Column) -> Column:
         """A number in the digits of the code, whose weights follow the bias."""
-        start = F.struct(delta.alias("q"), F.lit("").alias("out"), F.lit(True).alias("more"))
+        start = fields(q=delta, out=F.lit(""), more=F.lit(True))
 
         def step(s: Column, k: Column) -> Column:
             def going(t: Column) -> Column:
                 last = s["q"] < t
                 digit = F.when(last, s["q"]).otherwise(t + (s["q"] - t) % (36 - t))
                 shown = F.substring(F.lit(_LOWER + "0123456789"), (digit + 1).cast("int"), F.lit(1))
-                return F.struct(F.when(last, zero).otherwise(F.floor((s["q"] - t) / (36 - t))).alias("q"), F.concat(s["out"], shown).alias("out"), (~last).alias("more"))
+                return fields(q=F.when(last, zero).otherwise(F.floor((s["q"] - t) / (36 - t))), out=F.concat(s["out"], shown), more=~last)
 
             return F.when(s["more"], let(F.greatest(F.lit(1), F.least(F.lit(26), k * 36 - bias)).cast("bigint"), going)).otherwise(s)
 
@@ -69,15 +69,15 @@ def _punycode(points: Column, basic: Column) -> Column:
 
     def adapted(delta: Column, first: Column, done: Column) -> Column:
         scaled = let(F.floor(delta / F.when(first, 700).otherwise(2)), lambda d: d + F.floor(d / (done + 1)))
-        start = F.struct(scaled.alias("d"), zero.alias("k"))
+        start = fields(d=scaled, k=zero)
 
         def step(s: Column, _: Column) -> Column:
-            return F.when(s["d"] > 455, F.struct(F.floor(s["d"] / 35).alias("d"), (s["k"] + 36).alias("k"))).otherwise(s)
+            return F.when(s["d"] > 455, fields(d=F.floor(s["d"] / 35), k=s["k"] + 36)).otherwise(s)
 
         return let(F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step), lambda end: end["k"] + F.floor(36 * end["d"] / (end["d"] + 38)))
 
     def state(n, delta, bias, done, out):
-        return F.struct(n.alias("n"), delta.alias("delta"), bias.alias("bias"), done.alias("done"), out.alias("out"))
+        return fields(n=n, delta=delta, bias=bias, done=done, out=out)
 
     def each_point(s: Column, m: Column) -> Column:
         """All letters of one code point; those below it only move the counter on."""
@@ -123,7 +123,7 @@ def _segments(path: Column) -> Column:
         return F.when((up | here) & x["last"], F.concat(kept, F.array(F.lit("")))).otherwise(kept)
 
     def walked(parts: Column) -> Column:
-        numbered = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i == F.size(parts) - 1).alias("last")))
+        numbered = F.transform(parts, lambda p, i: fields(p=p, last=i == F.size(parts) - 1))
         return F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(numbered, F.lit(2), F.size(parts)), start, step), "/"))
 
     return let(F.split(path, "/"), walked)
@@ -145,19 +145,17 @@ def _general(url: Column) -> Column:
         kind = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
         lenient = rf"(?i)^(?:{SPECIAL}):[/\\]*([^/\\?#]*)([^?#]*)"
         strict = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://([^/?#]*))?([^?#]*)"
-        return F.struct(
-            kind.alias("scheme"), kind.isin(*PORTS).alias("special"), *[F.when(kind.isin(*PORTS), F.regexp_extract(text, lenient, i)).otherwise(F.regexp_extract(text, strict, i)).alias(n) for i, n in ((1, "authority"), (2, "tail"))],
-            F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1).alias("query"),
-        )
+        parts = {n: F.when(kind.isin(*PORTS), F.regexp_extract(text, lenient, i)).otherwise(F.regexp_extract(text, strict, i)) for i, n in ((1, "authority"), (2, "tail"))}
+        return fields(scheme=kind, special=kind.isin(*PORTS), **parts, query=F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1))
 
     def whole(x: Column) -> Column:
         behind = F.regexp_replace(x["authority"], r"^.*@", "")
         number = F.regexp_extract(behind, shape, 2)
         fits = behind.rlike(shape) & (F.coalesce(F.nullif(number, F.lit("")).try_cast("bigint"), F.lit(0)) <= 65535) & (F.char_length(number) < 18)
         tail = _path(F.when(x["special"], F.replace(x["tail"], F.lit("\\"), F.lit("/"))).otherwise(x["tail"]))
-        return F.struct(
-            x["scheme"].alias("scheme"), F.regexp_extract(x["authority"], r"^(.*@)", 1).alias("user"), F.when(fits, _host(F.regexp_extract(behind, shape, 1))).otherwise("").alias("host"),
-            F.when(number.rlike("^0+$"), "0").otherwise(F.ltrim(number, F.lit("0"))).alias("port"), F.when(x["special"] & (tail == ""), "/").otherwise(tail).alias("path"), x["query"].alias("query"),
+        return fields(
+            scheme=x["scheme"], user=F.regexp_extract(x["authority"], r"^(.*@)", 1), host=F.when(fits, _host(F.regexp_extract(behind, shape, 1))).otherwise(""),
+            port=F.when(number.rlike("^0+$"), "0").otherwise(F.ltrim(number, F.lit("0"))), path=F.when(x["special"] & (tail == ""), "/").otherwise(tail), query=x["query"],
         )
 
     return let(let(_clean(url), cut), whole)
@@ -209,10 +207,10 @@ def form(raw: Column) -> Column:
 
     def cut(p: Column, i: Column) -> Column:
         behind = F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.char_length(p))).otherwise("")
-        return F.struct(part(F.substring_index(p, "=", 1)).alias("name"), part(behind).alias("value"), i.alias("i"))
+        return fields(name=part(F.substring_index(p, "=", 1)), value=part(behind), i=i)
 
     def keyed(p: Column) -> Column:
-        return F.struct(F.translate(F.lower(p["name"]), COLLATED, _PLACES).alias("a"), F.translate(p["name"], _LOWER + _UPPER, _UPPER + _LOWER).alias("b"), p["i"].alias("i"), p["name"].alias("name"), p["value"].alias("value"))
+        return fields(a=F.translate(F.lower(p["name"]), COLLATED, _PLACES), b=F.translate(p["name"], _LOWER + _UPPER, _UPPER + _LOWER), i=p["i"], name=p["name"], value=p["value"])
 
     kept = F.filter(F.transform(F.filter(F.split(raw, "&"), lambda p: p != ""), cut), lambda p: ~p["name"].rlike(TRACKING))
     # Equal names keep their order.
@@ -222,9 +220,9 @@ def form(raw: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Lower-case host, no fragment, tracking parameters, default port or trailing slash; parameters by name. Null for what is no http address."""
-    plain = F.struct(
-        _simple(url, "^(https?)").alias("scheme"), F.lit("").alias("user"), _simple(url, r"^https?://([^/?#]*)").alias("host"), F.lit("").alias("port"), _simple(url, r"^https?://[^/?#]*([^?#]*)").alias("path"),
-        _simple(url, r"^[^?#]*\?([^#]*)").alias("query"),
+    empty = F.lit("")
+    plain = fields(
+        scheme=_simple(url, "^(https?)"), user=empty, host=_simple(url, r"^https?://([^/?#]*)"), port=empty, path=_simple(url, r"^https?://[^/?#]*([^?#]*)"), query=_simple(url, r"^[^?#]*\?([^#]*)"),
     )
 
     def whole(x: Column) -> Column:
@@ -252,7 +250,7 @@ def normalise_input(text: Column, allow_local: bool = False) -> Column:
 
 def same_site(a: Column, b: Column) -> Column:
     """False where either has no host."""
-    return let(F.struct(host(a).alias("a"), host(b).alias("b")), lambda x: (x["a"] != "") & (x["b"] != "") & (registrable(x["a"]) == registrable(x["b"])))
+    return let(fields(a=host(a), b=host(b)), lambda x: (x["a"] != "") & (x["b"] != "") & (registrable(x["a"]) == registrable(x["b"])))
 
 
 def hashed_ip(ip: Column, salt: str) -> Column:

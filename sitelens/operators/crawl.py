@@ -48,24 +48,26 @@ def crawl(starts: DataFrame, links: DataFrame, rules: DataFrame, files: DataFram
         return U.registrable(U.host(F.col(url))) == F.col("site")
 
     seeds = spread(sampled, 2 * pages).join(site, "audit_id").where(inside("url") & U.is_html(F.col("url")))
+    # Addresses are read once; the rounds only move them.
+    links = stored(links.join(site, "audit_id").where(inside("link")).select("audit_id", "url", "link_ord", "link", U.path(F.col("link")).alias("link_path")))
     seeds = seeds.select("audit_id", "url", F.least(U.depth(F.col("url")), F.lit(depth)).alias("depth"), F.lit(1).alias("priority"), (F.col("place") + 1).cast("bigint").alias("seq"))
     first = start.select("audit_id", "url", F.lit(0).alias("depth"), F.lit(0).alias("priority"), F.lit(0).cast("bigint").alias("seq"))
-    taken = stored(_first(first.unionByName(seeds), ["priority", "seq"]).withColumns({"state": F.lit("queued"), "place": F.lit(None).cast("int")}))
+    taken = stored(_first(first.unionByName(seeds), ["priority", "seq"]).withColumns({"path": U.path(F.col("url")), "state": F.lit("queued"), "place": F.lit(None).cast("int")}))
     seen = stored(taken.select("audit_id", "url"))
     for number in range(1, ROOM * pages + 2):
         done = taken.groupBy("audit_id").agg(F.count_if(F.col("state") == "fetched").alias("fetched"), F.count_if(F.col("state") == "queued").alias("queued"))
         order = Window.partitionBy("audit_id").orderBy("priority", "depth", "seq")
         queue = taken.where("state = 'queued'").join(done.where((F.col("fetched") < pages) & (F.col("queued") > 0)), "audit_id").withColumn("turn", F.row_number().over(order))
         now = queue.where(F.col("turn") <= F.least(F.lit(batch), pages - F.col("fetched")))
-        now = stored(now.select("audit_id", "url", "depth", "turn", "fetched", "queued"))
+        now = stored(now.select("audit_id", "url", "path", "depth", "turn", "fetched", "queued"))
         if now.isEmpty():
             break
         open_ = fetchable(now, rules, files, agent).select("audit_id", "url").withColumn("open", F.lit(True))
         judged = now.join(open_, ["audit_id", "url"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         by_turn = Window.partitionBy("audit_id").orderBy("turn")
         judged = stored(judged.withColumn("nth", F.sum(F.col("open").cast("int")).over(by_turn)).withColumn("taking", F.max("turn").over(Window.partitionBy("audit_id"))))
-        found = judged.where("open").where(F.col("depth") < depth).join(links, ["audit_id", "url"]).join(site, "audit_id").where(inside("link"))
-        found = found.select("audit_id", F.col("link").alias("url"), (F.col("depth") + 1).alias("depth"), "turn", "link_ord", "nth", "fetched", F.col("queued").alias("waiting"), "taking")
+        found = judged.where("open").where(F.col("depth") < depth).drop("path").join(links, ["audit_id", "url"])
+        found = found.select("audit_id", F.col("link").alias("url"), F.col("link_path").alias("path"), (F.col("depth") + 1).alias("depth"), "turn", "link_ord", "nth", "fetched", F.col("queued").alias("waiting"), "taking")
         new = _first(found, ["turn", "link_ord"]).join(seen, ["audit_id", "url"], "left_anti")
         # Room shrinks with every page of the round and every address that got in before.
         new = new.withColumn("entry", F.row_number().over(Window.partitionBy("audit_id").orderBy("turn", "link_ord")))
@@ -74,7 +76,7 @@ def crawl(starts: DataFrame, links: DataFrame, rules: DataFrame, files: DataFram
         old = taken.join(state, ["audit_id", "url"], "left")
         place = F.coalesce("place", F.when(F.col("_state") == "fetched", F.col("_place")).cast("int"))
         old = old.withColumn("place", place).withColumn("state", F.coalesce("_state", "state")).drop("_state", "_place")
-        more = new.where("fits").select("audit_id", "url", "depth", F.lit(0).alias("priority"), (F.lit(number << 32) + F.col("entry")).alias("seq"), F.lit("queued").alias("state"), F.lit(None).cast("int").alias("place"))
+        more = new.where("fits").select("audit_id", "url", "path", "depth", F.lit(0).alias("priority"), (F.lit(number << 32) + F.col("entry")).alias("seq"), F.lit("queued").alias("state"), F.lit(None).cast("int").alias("place"))
         taken = stored(old.unionByName(more))
         seen = stored(seen.unionByName(new.select("audit_id", "url")))
     return taken.select("audit_id", "url", "depth", "state", "place")

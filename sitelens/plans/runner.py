@@ -32,7 +32,7 @@ from sitelens.sources.pdf import report_lines, reports
 from sitelens.sources.stages import Stages, Tables
 from sitelens.sources.tables import audit_result
 
-PAGES, COMPETITOR_PAGES, COMPETITORS = 25, 12, 3
+PAGES, COMPETITOR_PAGES, COMPETITORS = 25, 10, 3
 BLOCKED = (401, 403, 429, 503)
 
 

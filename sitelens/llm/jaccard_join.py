@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ BUCKETS, CROWD, CELLS = 256, 64, 1 << 22
 FILTER_BITS = 1 << 24
 #: Classes and shingles of a block of a crowd.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Texts whose shingles a task holds together.
+SLICE = 1024
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -84,10 +87,16 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _slices(batch: pd.DataFrame, rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """A batch in parts whose sets are held together."""
+    return (batch.iloc[at : at + rows] for at in range(0, len(batch), rows))
+
+
 def _sketch(docs: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory_goes_back()
         for batch in batches:
-            yield make(batch)
+            yield from map(make, _slices(batch))
         memory_goes_back()
 
     text = F.coalesce("text", F.lit(""))
@@ -105,9 +114,10 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     chunk, byte = CELLS >> 6, 255
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory_goes_back()
         total = np.zeros(CELLS, "u4")
-        for batch in batches:
-            # Copies in a batch count once.
+        for batch in chain.from_iterable(map(_slices, batches)):
+            # Copies in a slice count once.
             sets = {key_of(s): s for s in shingle_sets(batch.text.tolist(), width)}
             cells, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets.values()]) & (CELLS - 1), return_counts=True)
             total[cells] += n.astype("u4")

@@ -3,11 +3,13 @@
 The number of lists grows with the square root of the rows, up to ``LISTS``; centroids are fitted on a
 sample of at most ``SAMPLE`` vectors. Every vector goes to its nearest list, and a boundary vector
 to further lists whose centroids are nearly as near. A graph of centroids, held in memory, is
-searched for both. A query probes the lists whose distance is within a ratio of the nearest one's; the
-ratio is the smallest that gives the wanted recall on the sample. The nearest ``FIRST`` lists are probed
-first; of the others only rows within the k-th distance found there are sent on, which loses none. Lists, and the queries that probe
+searched for both. A query probes its ``FIRST`` nearest lists, and further ones whose distance is within a ratio of the last of these.
+The ratio is measured on the data: the true nearest of all rows are found for ``TRIED`` of the queries by brute force,
+and it is the smallest that reaches ``RECALL`` of them, up to all lists. Of the further lists only rows within the k-th distance
+found in the first ones are sent on, which loses none. Lists, and the queries that probe
 one, are dealt in blocks of about ``BLOCK`` rows, each pair of which is a task of its own. A query
-whose lists hold fewer than ``k`` candidates probes all lists.
+whose lists hold fewer than ``k`` candidates probes all lists. Lists are told apart by coordinates around the sample's mean in
+double precision, so neither a common offset nor large components blur them.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are near only
 to those of their own length; each length has its own lists. Rows with one vec_id count as one
@@ -32,8 +34,8 @@ K, SAMPLE, LISTS, DEGREE = 10, 32_768, 16_384, 16
 CLOSURE, COPIES, BLOCK, EVERY = 1.1, 4, 4096, 100
 #: Lists probed before the others.
 FIRST = 16
-#: Ratios tried for pruning, the recall the chosen one has on the sample, and queries it is measured with.
-PROBES, RECALL, TRIED = tuple(1 + k / 200 for k in range(1, 201)), 0.95, 128
+#: The recall that pruning has on the queries it is measured with, and how many these are.
+RECALL, TRIED = 0.97, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,8 +49,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 class CentroidGraph:
     """Centroids and their nearest neighbours among themselves."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
-        self.c = centroids.astype(np.float32)
+    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, middle: np.ndarray | float = 0.0, scale: float = 1.0):
+        self.c, self.middle, self.scale = centroids.astype(np.float64), middle, scale
         square = (self.c**2).sum(1)
         parts = np.array_split(np.arange(len(self.c)), max(1, len(self.c) // 512))
         near = np.concatenate([np.argsort(square - 2 * self.c[p] @ self.c.T, axis=1, kind="stable")[:, 1 : degree + 1] for p in parts])
@@ -56,6 +58,10 @@ class CentroidGraph:
         ring = (np.arange(len(self.c))[:, None] + 1) % len(self.c)
         self.links = np.concatenate([near, ring], axis=1)
 
+    def placed(self, vectors) -> np.ndarray:
+        """Vectors in the coordinates of the centroids."""
+        return (np.stack(list(vectors)).astype(np.float64) - self.middle) / self.scale
+
     def distances(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(((x[:, None, :] - self.c[at]) ** 2).sum(2), 0))
 
@@ -63,8 +69,13 @@ class CentroidGraph:
         """Nearest centroids of each row, nearest first, by best-first steps over the graph."""
         n, lists = len(x), len(self.c)
         beam = min(beam, lists)
+        if 8 * beam >= lists:
+            # So many steps would cost more than all distances do.
+            dist = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ self.c.T + (self.c**2).sum(1), 0))
+            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+            return order, np.take_along_axis(dist, order, 1)
         start = np.linspace(0, lists - 1, min(lists, 8)).astype(int)
-        dist = np.full((n, lists), np.inf, np.float32)
+        dist = np.full((n, lists), np.inf)
         done = np.zeros((n, lists), bool)
         dist[:, start] = self.distances(x, start[None].repeat(n, 0))
         rows = np.arange(n)
@@ -85,7 +96,7 @@ class CentroidGraph:
 
 def fit(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's rounds from a fixed start; an empty cell keeps its centroid."""
-    sample = np.unique(sample, axis=0).astype(np.float32)
+    sample = np.unique(sample, axis=0)
     pick = np.random.default_rng(7).permutation(len(sample))
     c = sample[pick[: max(1, min(lists, len(sample) // 4))]].copy()
     for _ in range(rounds):
@@ -104,26 +115,17 @@ def posted_lists(d: np.ndarray) -> np.ndarray:
     return keep
 
 
-def calibrate(graph: CentroidGraph, sample: np.ndarray, k: int) -> tuple[float, int]:
-    """The smallest ratio that finds ``RECALL`` of the sample's nearest rows, and a beam with room for its lists.
-
-    Neighbours in the sample lie farther than in the whole, so the whole's recall is hardly lower.
-    """
-    lists = len(graph.c)
-    if len(sample) < 2:
-        return PROBES[-1], lists
-    near, d = graph.search(sample, min(lists, 4 * DEGREE))
-    keep, member = posted_lists(d), np.zeros((len(sample), lists), bool)
-    np.put_along_axis(member, near, keep, 1)
-    asked = sample[:: max(1, len(sample) // TRIED)]
-    far = (asked**2).sum(1)[:, None] - 2 * asked @ sample.T + (sample**2).sum(1)
-    true = np.argsort(far, axis=1, kind="stable")[:, : k + 1]
-    every = np.sqrt(np.maximum((asked**2).sum(1)[:, None] - 2 * asked @ graph.c.T + (graph.c**2).sum(1), 0))
-    for ratio in PROBES:
-        probed = every <= every.min(1, keepdims=True) * ratio
-        if np.mean([(member[t] & p).any(1).mean() for t, p in zip(true[:, 1:], probed, strict=True)]) >= RECALL:
-            break
-    return ratio, min(lists, max(4 * DEGREE, 2 * int(np.percentile(probed.sum(1), 99))))
+def needed(graph: CentroidGraph, asked: np.ndarray, of: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The ratio with which each true neighbour ``found`` of the query in row ``of`` of ``asked`` is met; 0 in its first lists."""
+    near, d = graph.search(found, min(len(graph.c), 4 * DEGREE))
+    held = posted_lists(d)
+    order, every = graph.search(asked, len(graph.c))
+    place = np.argsort(order, axis=1)
+    # The lists of a row that stand in its query's order, first of them the nearest to the query.
+    at = np.where(held, place[of[:, None], near], len(graph.c)).min(1)
+    first = every[:, min(FIRST, len(graph.c)) - 1]
+    ratio = np.divide(every[of, at], first[of], out=np.full(len(of), np.inf), where=first[of] > 0)
+    return np.where(at < FIRST, 0.0, ratio)
 
 
 def nearest_rows(x: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +146,24 @@ def nearest_rows(x: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
+def _true_nearest(base: DataFrame, tried: list, k: int) -> list[tuple[int, list]]:
+    """(row of ``tried``, vector) of the k nearest of all rows to each of a bounded number of queries, by brute force."""
+    spark = base.sparkSession
+    asked = spark.sparkContext.broadcast((np.array([r.embedding for r in tried], np.float64), np.array([r.vec_id for r in tried])))
+    schema = f"asked int, score double, vec_id bigint, embedding {base.schema['embedding'].dataType.simpleString()}"
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, q = asked.value
+        for batch in batches:
+            if len(batch):
+                i, j, d = nearest_rows(np.stack(batch.embedding.to_numpy()).astype(np.float64), batch.vec_id.to_numpy(), v, q, k)
+                yield pd.DataFrame({"asked": i.astype(np.int32), "score": d, "vec_id": batch.vec_id.to_numpy()[j], "embedding": batch.embedding.to_numpy()[j]})
+
+    rows = base.mapInPandas(best, schema).groupBy("asked", "vec_id").agg(F.min_by("embedding", "score").alias("embedding"), F.min("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))
+    return [(r.asked, r.embedding) for r in rows.withColumn("place", place).where(F.col("place") <= k).collect()]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of ``vectors`` for each row of ``queries``.
 
@@ -160,9 +180,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | No
 def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report: dict) -> DataFrame:
     spark, rows = base.sparkSession, base.count()
     kind = base.schema["embedding"].dataType.simpleString()
-    sample = np.array([r.embedding for r in sampled(base, F.col("vec_id"), SAMPLE).collect()], np.float32)
-    made = CentroidGraph(fit(sample, min(LISTS, 4 * math.isqrt(rows))))
-    ratio, beam = calibrate(made, sample[: 8 * TRIED * k], k)
+    sample = np.array([r.embedding for r in sampled(base, F.col("vec_id"), SAMPLE).collect()], np.float64)
+    scale = float(np.abs(sample).max())
+    middle = (sample / scale).mean(0) * scale
+    made = CentroidGraph(fit((sample - middle) / scale, min(LISTS, 4 * math.isqrt(rows))), middle=middle, scale=scale)
+    tried = sampled(asked, F.struct("vec_id", "embedding"), TRIED).collect()
+    ratio = 0.0
+    if tried:
+        true = _true_nearest(base, tried, k)
+        need = needed(made, made.placed([r.embedding for r in tried]), np.array([t[0] for t in true], int), made.placed([t[1] for t in true])) if true else np.zeros(1)
+        ratio = float(np.sort(need)[math.ceil(RECALL * len(need)) - 1])
     graph = spark.sparkContext.broadcast(made)
     report.update(lists=len(made.c), ratio=ratio)
 
@@ -170,15 +197,21 @@ def _search(base: DataFrame, asked: DataFrame, k: int, scratch: Scratch, report:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                near, d = graph.value.search(np.stack(part.embedding.to_numpy()).astype(np.float32), wide)
+                near, d = graph.value.search(graph.value.placed(part.embedding), wide)
                 row, col = np.nonzero(chosen(d))
                 yield pd.DataFrame({"vec_id": part.vec_id.to_numpy()[row], "list": near[row, col], "place": col.astype(np.int32), "embedding": part.embedding.to_numpy()[row]})
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return blocks(batches, 4 * DEGREE, posted_lists)
 
+    def within(d: np.ndarray) -> np.ndarray:
+        # Rounding may not part a list from itself.
+        chosen = d <= d[:, min(FIRST, d.shape[1]) - 1, None] * ratio * (1 + 1e-9)
+        chosen[:, :FIRST] = True
+        return chosen | (ratio == np.inf)
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return blocks(batches, beam, lambda d: d <= d[:, :1] * ratio)
+        return blocks(batches, len(made.c), within)
 
     shape = f"vec_id bigint, list int, place int, embedding {kind}"
     posted = scratch.cut(base.mapInPandas(post, shape).drop("place"))

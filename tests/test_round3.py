@@ -1,9 +1,11 @@
 """What the third round of review found: each of these failed before."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.operators import evidence as E
+from sitelens.llm import neighbours
 from sitelens.operators import html as H
 
 
@@ -24,3 +26,19 @@ def test_weights_add_up_whatever_their_order(spark):
     for order in (tiers, tiers[::-1], sorted(tiers), tiers[3:] + tiers[:3]):
         cited = spark.createDataFrame([("a", t) for t in order], "audit_id string, tier int").coalesce(1)
         assert E.citation_weights(cited).first()[1:] == (3.9, 0.3)
+
+
+def test_neighbours_of_queries_unlike_the_rows(spark):
+    rng, n = np.random.default_rng(1), 8000
+    x = np.repeat(rng.normal(size=(80, 32)), 100, 0) + rng.normal(size=(n, 32)) * 0.02
+    x[::100] = rng.normal(size=(80, 32)) * 1.5
+    x = x.astype("f4").astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got, hits = {}, 0
+    for r in neighbours.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & got[q])
+    assert hits >= 0.97 * 800

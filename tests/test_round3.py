@@ -1,5 +1,7 @@
 """What the third round of review found: each of these failed before."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,3 +44,20 @@ def test_neighbours_of_queries_unlike_the_rows(spark):
         d[q] = np.inf
         hits += len(set(np.argsort(d, kind="stable")[:10]) & got[q])
     assert hits >= 0.97 * 800
+
+
+def test_shingles_equal_hashes_of_each_gram(spark):
+    texts = ["", None, "one two three", "the quick brown foxes jumped over lazy sleeping dogs don’t know it’s dog’s " * 3, "alpha beta gamma delta epsilon"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    words = T.content_tokens(F.col("t"))
+    for r in df.select(T.gram_hashes(words).alias("a"), F.transform(T.grams(words), T.fnv1a).alias("b"), T.shingles(F.col("t"), cap=2).alias("s")).collect():
+        b = [h for h in r.b if h is not None]
+        assert r.a == b
+        assert r.s == sorted(list(dict.fromkeys(b))[:8])[:2]
+
+
+def test_shingles_of_many_texts_take_few_seconds(spark):
+    df = spark.range(4000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("word"), (i * F.col("id") % 997).cast("string"))), " ").alias("t"))
+    start = time.time()
+    df.select(T.shingles(F.col("t")).alias("s")).where("size(s) > 0").agg(F.sum(F.size("s"))).collect()
+    assert time.time() - start < 20

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
+from sitelens.operators import discovery as D
 from sitelens.operators import evidence as E
 from sitelens.llm import neighbours
 from sitelens.operators import html as H
@@ -61,3 +62,14 @@ def test_shingles_of_many_texts_take_few_seconds(spark):
     start = time.time()
     df.select(T.shingles(F.col("t")).alias("s")).where("size(s) > 0").agg(F.sum(F.size("s"))).collect()
     assert time.time() - start < 20
+
+
+def test_robots_patterns_meet_paths_by_their_beginning(spark):
+    body = "User-agent: *\nDisallow: /a\nAllow: /ab?c$\nDisallow: /x*y\nDisallow: *.pdf$\nAllow: /a/b*\n"
+    files = spark.createDataFrame([("s", True, 200, body, False)], "audit_id string, found boolean, status_code int, body string, html_instead boolean")
+    paths = ["/a", "/abc", "/ac", "/a/b/c", "/b", "/x1y2", "/x1z", "/b.pdf", "/b.pdfs", "", None]
+    urls = spark.createDataFrame([("s", p) for p in paths] + [("other", "/a")], "audit_id string, path string")
+    got = D.fetchable(urls, D.robots_rules(files), files, "GPTBot")
+    assert {(r.audit_id, r.path) for r in got.collect()} == {("s", p) for p in ("/ac", "/abc", "/a/b/c", "/b", "/x1z", "/b.pdfs", "", None)} | {("other", "/a")}
+    # No path meets all patterns of its site as a list.
+    assert "filter(disallow" not in got._jdf.queryExecution().toString()

@@ -5,8 +5,8 @@ usual their character transitions are, how much of them words of the dictionary
 their path is one of tests or examples, and the words beside them. It is trained from
 labelled findings (candidate, before, path, label); ``synthetic_findings`` makes a fixed set
 where a user has none. Transitions and dictionary come from the findings labelled false and from
-the words of a sample of at most ``LEARN`` texts, each up to ``LEARN_CHARS`` characters; a word counts that
-stands there ``OFTEN`` times.
+the words of all whole texts, counted by Spark; a word counts that stands there ``OFTEN`` times, and as often in every
+``A_SHARE`` texts. So the dictionary grows with the length of texts, not with their number.
 
 Nulls and empty texts have no candidates. Texts of any length are scanned whole. Repeated rows are
 scanned alike, an empty table gives no rows. The path is the column ``source``, null for none.
@@ -14,6 +14,7 @@ scanned alike, an empty table gives no rows. The path is the column ``source``,
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import memory_goes_back, sampled, table
+from sitelens.llm.common import finished_shuffles_go, memory_goes_back, table
 
 LEAST, TREES, TREE_DEPTH, THRESHOLD, MASK = 16, 40, 7, 0.5, "<SECRET>"
-LEARN, LEARN_CHARS, OFTEN, LONGEST = 1000, 5_000, 3, 16
+A_SHARE, OFTEN, LONGEST = 1000, 3, 16
 #: A candidate may start after '=' (KEY=value); a '=' that a value follows is no padding.
 _CANDIDATE = regex.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{%d,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?" % LEAST)
 _PIECE = regex.compile(r"[A-Za-z]{3,}")
@@ -133,10 +134,11 @@ class Forest:
 class Scanner:
     """Features and forest, trained from labelled findings."""
 
-    def __init__(self, findings: list[Finding], texts: list[str] = ()):
+    def __init__(self, findings: list[Finding], texts: list[str] = (), usual: set[str] | None = None):
+        """The dictionary is ``usual`` where that is given, else what stands often in ``texts``."""
         plain = [f for f in findings if not f.secret]
         seen = Counter(w for t in texts for w in _PIECE.findall(t.lower()) if len(w) <= LONGEST)
-        self.dictionary = {w for w, n in seen.items() if n >= OFTEN}
+        self.dictionary = {w for w, n in seen.items() if n >= OFTEN} if usual is None else usual
         self.pairs = np.ones((128, 128))
         self.words: set[str] = set()
         for f in plain:
@@ -144,7 +146,7 @@ class Scanner:
                 b = np.frombuffer(text.lower().encode("ascii", "ignore"), np.uint8)
                 np.add.at(self.pairs, (b[:-1], b[1:]), 1)
                 self.words.update(w[:n] for w in _PIECE.findall(text.lower()) for n in (3, 4, 5))
-        for w in self.dictionary:
+        for w in sorted(self.dictionary):
             b = np.frombuffer(w.encode("ascii"), np.uint8)
             np.add.at(self.pairs, (b[:-1], b[1:]), 1)
         self.pairs = np.log(self.pairs / self.pairs.sum(1, keepdims=True))
@@ -191,11 +193,18 @@ class Scanner:
         return "".join([*out, text[at:]]), len(found), len(gone)
 
 
+def usual_words(docs: DataFrame) -> set[str]:
+    """Words of three to ``LONGEST`` letters that are usual in all whole texts; at most texts' mean number of words times A_SHARE / OFTEN."""
+    with finished_shuffles_go(docs.sparkSession):
+        texts = docs.where("text IS NOT NULL").count()
+        least = max(OFTEN, math.ceil(OFTEN * texts / A_SHARE))
+        pieces = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.char_length("w").between(3, LONGEST))
+        return {r.w for r in pieces.groupBy("w").count().where(F.col("count") >= least).select("w").collect()}
+
+
 def scan(docs: DataFrame, findings: list[Finding] | None = None, name: str = "scan") -> DataFrame:
     """``docs`` with a column of the redacted text, n_candidates and n_secrets; null stays null."""
-    key = [c for c in ("doc_id", "text") if c in docs.columns]
-    learned = sampled(docs.select(*key, F.substring("text", 1, LEARN_CHARS).alias("_sample")).where("text IS NOT NULL"), F.struct(*key), LEARN).select("_sample").collect()
-    scanner = Scanner(synthetic_findings() if findings is None else findings, [r[0] for r in learned])
+    scanner = Scanner(synthetic_findings() if findings is None else findings, usual=usual_words(docs))
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
 
     @F.pandas_udf("text string, n_candidates bigint, n_secrets bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import text as T
 from sitelens.operators import discovery as D
 from sitelens.operators import evidence as E
-from sitelens.llm import neighbours
+from sitelens.llm import neighbours, secrets
 from sitelens.operators import html as H
 
 
@@ -73,3 +73,11 @@ def test_robots_patterns_meet_paths_by_their_beginning(spark):
     assert {(r.audit_id, r.path) for r in got.collect()} == {("s", p) for p in ("/ac", "/abc", "/a/b/c", "/b", "/x1z", "/b.pdfs", "", None)} | {("other", "/a")}
     # No path meets all patterns of its site as a list.
     assert "filter(disallow" not in got._jdf.queryExecution().toString()
+
+
+def test_words_are_counted_in_all_of_every_text(spark):
+    late = "x " * 4000 + "latecomer rareword"
+    rows = [(i, late if i % 500 < 2 else "plain words") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert secrets.usual_words(df) == {"plain", "words", "latecomer", "rareword"}
+    assert secrets.usual_words(df.where("doc_id % 500 > 0")) == {"plain", "words"}

@@ -10,6 +10,7 @@ from sitelens.operators import discovery as D
 from sitelens.operators import evidence as E
 from sitelens.llm import neighbours, secrets
 from sitelens.operators import html as H
+from sitelens.plans import observed as O
 
 
 def test_word_edges_are_ascii(spark):
@@ -81,3 +82,13 @@ def test_words_are_counted_in_all_of_every_text(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert secrets.usual_words(df) == {"plain", "words", "latecomer", "rareword"}
     assert secrets.usual_words(df.where("doc_id % 500 > 0")) == {"plain", "words"}
+
+
+def test_pages_of_one_site_stay_dealt_over_tasks(spark, tmp_path):
+    for at in range(4):
+        rows = spark.range(at * 50, at * 50 + 50).selectExpr("id AS page_id", "concat('https://one.test/en/', id) AS url", "'<html><body>x</body></html>' AS html")
+        rows.unionByName(spark.createDataFrame([(1000 + at, None, "x")], "page_id bigint, url string, html string")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    seen = O.fetches(spark, str(tmp_path))
+    tasks = [r["count"] for r in seen.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 204 and max(tasks) < 200
+    assert {(r.audit_id, r.page_ord) for r in seen.where("_first").collect()} == {("one.test", 0), ("", 1000)}

@@ -10,6 +10,7 @@ from sitelens.operators import discovery as D
 from sitelens.operators import evidence as E
 from sitelens.llm import neighbours, secrets
 from sitelens.operators import html as H
+from sitelens.operators import site as L
 from sitelens.plans import observed as O
 
 
@@ -92,3 +93,16 @@ def test_pages_of_one_site_stay_dealt_over_tasks(spark, tmp_path):
     tasks = [r["count"] for r in seen.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 204 and max(tasks) < 200
     assert {(r.audit_id, r.page_ord) for r in seen.where("_first").collect()} == {("one.test", 0), ("", 1000)}
+
+
+def test_few_shared_shingles_make_no_candidates(spark):
+    rng = np.random.default_rng(3)
+    # All pages share two shingles, some of the rest share more.
+    sets = [sorted({1, 2, *(100 * i + np.arange(3, 90)).tolist()}) for i in range(1, 61)]
+    sets += [sorted({1, 2, *rng.choice(np.arange(10**6, 10**6 + 900), 80, replace=False).tolist()}) for _ in range(30)]
+    df = spark.createDataFrame([("s", i, [int(x) for x in v]) for i, v in enumerate(sets)], "audit_id string, page_ord bigint, shingles array<bigint>")
+    classes = df.select("audit_id", F.col("page_ord").alias("first"), "shingles")
+    assert all(r.a >= 60 for r in L.candidate_pairs(classes, "audit_id", 0.05).collect())
+    for least in (0.05, 0.07, 0.7):
+        wanted = {(i, j) for j in range(90) for i in range(j) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= least}
+        assert {(r.a, r.b) for r in L.near_duplicate_pages(df, least=least).collect()} == wanted

@@ -3,7 +3,10 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sitelens.functions import text as T
 from sitelens.operators import discovery as D
@@ -106,3 +109,15 @@ def test_few_shared_shingles_make_no_candidates(spark):
     for least in (0.05, 0.07, 0.7):
         wanted = {(i, j) for j in range(90) for i in range(j) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= least}
         assert {(r.a, r.b) for r in L.near_duplicate_pages(df, least=least).collect()} == wanted
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    shown = to_arrow_schema(StructType.fromDDL(H.PARSED))
+    page = '<html><head><meta property="og:title" content="t"></head><body><article>a</article></body></html>'
+    batch = pa.RecordBatch.from_pydict({"final_url": ["https://e.com/"] * 100 + [None], "html": [page] * 101})
+    taken = list(H.parsed_batches(iter([batch]), shown))
+    assert sum(b.num_rows for b in taken) == 101 and max(b.num_rows for b in taken) <= 32
+    assert taken[0].column("open_graph").to_pylist()[0] == [("og:title", "t")] and taken[0].column("semantic_tags").to_pylist()[0] == [("article", 1)]
+    # The text of a whole batch is never held as Python's or pandas' objects.
+    fetched = O.fetches(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in H.page_signals(fetched)._jdf.queryExecution().toString()

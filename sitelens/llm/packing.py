@@ -16,10 +16,11 @@ import bisect
 import json
 import os
 import re
+import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,15 @@ DOCS_PER_WORKER, TOGETHER, REMEMBERED = 4000, 256, 600_000
 CHARS_A_TOKEN = 2
 #: A word of letters before a stop, or all up to the next white space; either with the white space before it.
 _CHUNK = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r.,;:!?%&)|]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Chunks whose letters, digits and white space are told here as the pre-tokenizer tells them, and the parts that it makes of them.
+_LATIN = re.compile(r"[ \t\n\r]*[!-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+#: Where white space stands before a blank, the blank need not begin a chunk.
+_RUNS = ("  ", "\t ", "\n ", "\r ")
+#: The character that stands for each byte in byte-level vocabularies: itself if printable, else one of those from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+_SHOWN = "".join(chr(b if b in _PRINTED else 256 + _HIDDEN.index(b)) for b in range(256))
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -60,57 +70,89 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+class _Strange(Exception):
+    """A text whose ids may not be those of its chunks."""
+
+
 class Encoder(dict):
     """Token ids of texts, remembered by chunk as bytes.
 
     A chunk is a run of plain white space and the run of other characters behind it, parted once more
     where a stop follows a word of letters. The byte-level pre-tokenizer never joins a character with
     white space after it, nor a letter with a stop, and looks ahead only within white space and at
-    the one character that follows; so a text's ids are those of its chunks, one after the other. The tokenizer itself encodes each new chunk, and whole every text to which this
+    the one character that follows; so a text's ids are those of its chunks, one after the other. A text without
+    white space before a blank is cut at its blanks first, and what lies between is looked up whole. The
+    tokenizer's model encodes the parts of each new chunk of Latin letters, digits and signs, the tokenizer every other one, and whole every text to which this
     need not apply: with other white space, with an added token, or if the tokenizer is of another kind.
-    About ``most`` chunks of at most ``longest`` characters are remembered.
+    About ``most`` chunks of at most ``longest`` characters are remembered, those after a blank here without it, all others in ``bare``.
     """
 
     def __init__(self, tokenizer, most: int = REMEMBERED, longest: int = 40):
         super().__init__()
-        self.tokenizer, self.most, self.longest, self.older = tokenizer, most, longest, {}
+        self.tokenizer, self.most, self.longest, self.older, self.bare = tokenizer, most, longest, {}, {}
         made = json.loads(tokenizer.to_str())
-        before, model = made.get("pre_tokenizer") or {}, made["model"]
+        before, self.model = made.get("pre_tokenizer") or {}, tokenizer.model
+        model, added = made["model"], [t["content"] for t in made.get("added_tokens", [])]
         by_chunk = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
         self.by_chunk = by_chunk and model["type"] == "BPE" and not model.get("dropout") and not made.get("truncation") and not made.get("padding")
-        added = "|".join(re.escape(t["content"]) for t in made.get("added_tokens", []))
-        self.other = re.compile(r"[^\S \t\n\r]|[\x85᠎​﻿]" + (f"|{added}" if added else ""))
+        self.other = re.compile(r"[^\S \t\n\r]|[\x85᠎​﻿]" + "".join(f"|{re.escape(t)}" for t in added))
 
     def whole(self, text: str) -> list[int]:
         # The fast form leaves out offsets, which nothing here reads.
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def new(self, chunk: str) -> bytes:
+        if self.other.search(chunk):
+            raise _Strange
+        if not _LATIN.fullmatch(chunk):
+            found = self.whole(chunk)
+        else:
+            found = [t.id for part in _PARTS.findall(chunk) for t in self.model.tokenize(charmap_decode(part.encode(), "strict", _SHOWN)[0])]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __missing__(self, rest: str) -> bytes:
+        """Ids of a blank and ``rest``."""
+        ids = self.older.get(rest)
+        if ids is None:
+            chunks = _CHUNK.findall(f" {rest}")
+            if len(chunks) > 1:
+                # Kept only if its chunks have been seen, else rare words would take twice the room.
+                known, ids = len(self) + len(self.bare), b"".join(map(self.chunk, chunks))
+                if len(self) + len(self.bare) > known:
+                    return ids
+            else:
+                ids = self.new(chunks[0])
+        if len(rest) < self.longest:
+            self[rest] = ids
+        return ids
+
+    def chunk(self, chunk: str) -> bytes:
+        if chunk[0] == " ":
+            return self[chunk[1:]]
+        ids = self.bare.get(chunk)
+        if ids is None:
+            ids = self.new(chunk)
+            if len(chunk) <= self.longest:
+                self.bare[chunk] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        if any(run in text for run in _RUNS):
+            return b"".join(map(self.chunk, _CHUNK.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.chunk, _CHUNK.findall(first)), *map(self.__getitem__, rest)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) >= self.most // 2:
+        if len(self) + len(self.bare) >= self.most // 2:
             # What is still in use comes back from the older half.
-            self.older = dict(self)
+            self.older, self.bare = dict(self), {}
             self.clear()
-        chunks = [_CHUNK.findall(t) if self.by_chunk else [] for t in texts]
-        new, strange = [], set()
-        for c in set(chain.from_iterable(chunks)):
-            if c not in self:
-                known = self.older.get(c)
-                if known is not None:
-                    self[c] = known
-                elif self.other.search(c):
-                    strange.add(c)
-                else:
-                    new.append(c)
-        # All new chunks in one call.
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
         out = []
-        for text, of in zip(texts, chunks, strict=True):
-            whole = not self.by_chunk or (strange and not strange.isdisjoint(of))
-            out.append(np.array(self.whole(text), "<u4") if whole else np.frombuffer(b"".join(map(self.__getitem__, of)), "<u4"))
-        for chunk in new:
-            if len(chunk) > self.longest:
-                del self[chunk]
+        for text in texts:
+            try:
+                out.append(np.frombuffer(self.ids(text), "<u4") if self.by_chunk else np.array(self.whole(text), "<u4"))
+            except _Strange:
+                out.append(np.array(self.whole(text), "<u4"))
         return out
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, memory_goes_back, shuffle_width, table
+from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, memory_goes_back, shuffle_width, small_batches, table
 from sitelens.llm.components import components
 from sitelens.llm.hashing import rolled, word_hashes
 
@@ -139,7 +139,7 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "chunk int, counts binary, over binary, more binary")
     out = np.zeros((64, chunk), "<u4")
-    with finished_shuffles_go(docs.sparkSession):
+    with finished_shuffles_go(docs.sparkSession), small_batches(docs.sparkSession, SLICE):
         for r in sums.repartition(min(64, shuffle_width(docs.sparkSession)), "chunk").mapInPandas(summed, "chunk int, counts binary").collect():
             out[r.chunk] = np.frombuffer(r.counts, "<u4")
     return out.reshape(-1)
@@ -152,7 +152,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     that are alike enough); text_hash and group, the component as such, null for rows that are never linked.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, SLICE)
     cut = scratch.cut
     common = spark.sparkContext.broadcast(cell_counts(docs, width))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -10,6 +11,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time; a longer text is cut at white space, a longer word is taken whole.
 CHUNK = 1 << 20
 _PLACES = 64
+#: Words whose windows are hashed side by side.
+TOGETHER = 1 << 14
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -100,3 +103,23 @@ def rolled(hashed: np.ndarray, width: int) -> np.ndarray:
     for j in range(width):
         out = _finish(out + hashed[j : j + n])
     return out
+
+
+def side_by_side(hashed: list[np.ndarray], width: int, make: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What ``make`` gives for each array, one value a window of ``width`` words.
+
+    Short arrays are given to it in a row; values of windows that reach into the next one are left out.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(hashed):
+        end, size = at + 1, len(hashed[at])
+        while end < len(hashed) and size + len(hashed[end]) <= TOGETHER:
+            size += len(hashed[end])
+            end += 1
+        values, start = make(np.concatenate(hashed[at:end])), 0
+        for h in hashed[at:end]:
+            out.append(values[start : start + max(0, len(h) - width + 1)])
+            start += len(h)
+        at = end
+    return out

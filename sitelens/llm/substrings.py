@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import Bitmap, Scratch, finished_shuffles_go, shuffle_width, table
-from sitelens.llm.hashing import rolled, word_hashes
+from sitelens.llm.hashing import rolled, side_by_side, word_hashes
 
 WIDTH, SEED_WIDTH = 13, 5
 #: Bits of the filter of minimizers and of that of documents to read again.
@@ -94,9 +94,9 @@ def _repeated_minimizers(texts: DataFrame, seed: int, width: int, seed_width: in
     def found(batch):
         seeds, tags = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         texts = batch.text.tolist()
-        for text, hashed in zip(texts, word_hashes(texts, seed), strict=True):
-            if len(hashed) >= width:
-                seeds.append(np.unique(minimizers(hashed, width, seed_width)))
+        for text, least in zip(texts, side_by_side(word_hashes(texts, seed), width, lambda h: minimizers(h, width, seed_width)), strict=True):
+            if len(least):
+                seeds.append(np.unique(least))
                 tags.append(np.full(len(seeds[-1]), int.from_bytes(digest(split(text))[:8], "little"), np.uint64))
         lo, hi, of = _extremes(np.concatenate(seeds), np.concatenate(tags))
         if not len(of):
@@ -141,22 +141,25 @@ def _candidates(texts: DataFrame, often: Bitmap, seed: int, width: int, seed_wid
     def make(batch):
         out, first = [], {}
         found = batch.text.tolist()
-        known = [(None if pd.isna(d) else int(d), split(t)) for d, t in zip(batch._id, found, strict=True)]
-        for doc_id, words in known:
-            key = digest(words)
+        known = []
+        for doc_id, words in zip(batch._id, map(split, found), strict=True):
+            raw = b" ".join(words)
+            known.append((None if pd.isna(doc_id) else int(doc_id), raw, len(words), digest([raw])))
+        for doc_id, _, _, key in known:
             if doc_id is not None and doc_id <= first.get(key, doc_id):
                 first[key] = doc_id
-        told = set()
-        for (doc_id, words), hashed in zip(known, word_hashes(found, seed), strict=True):
-            key, nodes, at = digest(words), np.empty(0, np.uint64), np.empty(0, np.int64)
+        told, hashed = set(), word_hashes(found, seed)
+        least = side_by_side(hashed, width, lambda h: minimizers(h, width, seed_width))
+        every = side_by_side(hashed, width - 1, lambda h: rolled(h, width - 1))
+        for (doc_id, raw, n_words, key), mins, all_nodes in zip(known, least, every, strict=True):
+            nodes, at = np.empty(0, np.uint64), np.empty(0, np.int64)
             # Of the copies in a batch only the first shows its windows; the others go whole.
-            if doc_id is not None and len(words) >= width and first[key] == doc_id and key not in told:
+            if doc_id is not None and n_words >= width and first[key] == doc_id and key not in told:
                 told.add(key)
-                starts = np.flatnonzero(shared.value.holds(minimizers(hashed, width, seed_width)))
+                starts = np.flatnonzero(shared.value.holds(mins))
                 at = np.union1d(starts, starts + 1)
-                nodes = rolled(hashed, width - 1)[at]
-            raw = b" ".join(words)
-            row = (doc_id, tag_of(key), key, len(words), hashlib.sha256(raw).hexdigest(), nodes.view(np.int64), at.astype("i4"))
+                nodes = all_nodes[at]
+            row = (doc_id, tag_of(key), key, n_words, hashlib.sha256(raw).hexdigest(), nodes.view(np.int64), at.astype("i4"))
             out.append((*row, raw.decode("utf-8", "surrogatepass")) if keep_text else row)
         names = ["doc_id", "tag", "key", "n_words", "sha", "nodes", "at"] + ["kept"] * keep_text
         frame = pd.DataFrame(out, columns=names)

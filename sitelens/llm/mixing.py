@@ -61,8 +61,8 @@ def _name(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
-def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """All columns of ``docs`` are not needed: gives doc_id, source, size, source_size, target, taken, copies, extra, position."""
+def _started(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """Every row's doc_id, source, size and place, the words of its source ahead of it (start) and the plan of its source."""
     spark = docs.sparkSession
     sized = Scratch(spark).cut(
         docs.select(
@@ -95,33 +95,50 @@ def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFr
     near = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = known.withColumn("before", F.coalesce(F.sum("size").over(near), F.lit(0)))
     before = before.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).drop("_s", "_b")
-    start = F.col("base") + F.col("before")
+    return before.withColumn("start", F.col("base") + F.col("before"))
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    """Rows with size, start and the plan of their source get extra, taken and position."""
+    start = F.col("start")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("missing") - start))
-    chosen = before.withColumn("extra", extra.cast("bigint")).withColumn("taken", F.col("copies") * F.col("size") + F.col("extra"))
+    chosen = rows.withColumn("extra", extra.cast("bigint")).withColumn("taken", F.col("copies") * F.col("size") + F.col("extra"))
     ahead = F.col("copies") * start + F.least(start, F.col("missing"))
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (ahead + F.col("taken") / 2) / F.col("target"))).otherwise(0.0)
-    placed = chosen.withColumn("position", invert(share, F.col("slope")))
+    return chosen.withColumn("position", invert(share, F.col("slope")))
+
+
+def mix(docs: DataFrame, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """All columns of ``docs`` are not needed: gives doc_id, source, size, source_size, target, taken, copies, extra, position."""
+    placed = _taken(_started(docs, most, weights))
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "extra", "position", "place").orderBy("position", "doc_id", "place")
 
 
 def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as documents: a row for each copy taken, the last one cut after a word where the mix cuts it."""
-    equal = Window.partitionBy("place", "id")
-    plan = mix(docs).select("place", "copies", "extra", "size", "position", F.col("doc_id").alias("id"))
-    # Rows with one id, text and source are numbered on both sides, so that each meets its own part of the plan.
-    plan = plan.withColumn("turn", F.row_number().over(equal.orderBy(F.desc(F.col("extra")), F.desc("copies")))).where("size > 0 and (copies > 0 or extra > 0)")
-    keyed = docs.select(F.struct(*[_name(c) for c in columns]).alias("row"), _place().alias("place"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*[_name(c) for c in columns]).alias("order"))
-    keyed = keyed.withColumn("turn", F.row_number().over(equal.orderBy("order"))).drop("order")
-    joined = keyed.alias("d").join(plan.alias("p"), (F.col("d.place") == F.col("p.place")) & F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.turn") == F.col("p.turn")))
+    """The mix as documents: a row for each copy taken, the last one cut after a word where the mix cuts it.
+
+    Whole texts are shuffled twice, to meet the plan and to be sorted.
+    """
+    key = ["place", "id", "none"]
+    ids = F.col("doc_id").cast("bigint")
+    ids = [F.coalesce(ids, F.lit(0).cast("bigint")).alias("id"), ids.isNull().alias("none")]
+    # Rows with one id, text and source follow each other in the mix, so the first one's start is that of all.
+    first = _started(docs).where("size > 0 and (copies > 0 or start < missing)").select("place", *ids, "start", F.struct("size", "copies", "missing", "target", "slope").alias("plan"))
+    first = first.groupBy(*key).agg(F.min("start").alias("start"), F.min("plan").alias("plan"))
+    keyed = docs.where("text is not null").select(F.struct(*[_name(c) for c in columns]).alias("row"), _place().alias("place"), *ids, F.xxhash64(*[_name(c) for c in columns]).alias("order"))
+    # Numbered by the very columns of the join, which needs no other shuffle then.
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("order"))
+    joined = keyed.withColumn("turn", turn).drop("order").join(first, key)
+    planned = _taken(joined.select("row", *key, "plan.*", (F.col("start") + (F.col("turn") - 1) * F.col("plan.size")).alias("start"))).where("copies > 0 or extra > 0")
+    # Copies share a position, so rows are sorted before they are copied.
+    planned = planned.select("row", "copies", "extra", "size", "position", *key).orderBy("position", F.when(~F.col("none"), F.col("id")), "place")
     text = F.col("row.text")
     whole = F.when(F.col("copies") > 0, F.array_repeat(text, F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"((?:{SPACE})?{WORD})"), F.lit(1)), 1, F.col("extra").cast("int")), "")
-    texts = F.when(F.col("extra") > 0, F.concat(whole, F.array(F.when(F.col("extra") == F.col("size"), text).otherwise(first)))).otherwise(whole)
-    rows = joined.select("row", "position", F.col("d.id").alias("id"), F.col("d.place").alias("place"), F.explode(texts).alias("taken"))
-    # Copies share a position; the range sort keeps training order.
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"((?:{SPACE})?{WORD})"), F.lit(1)), 1, F.col("extra").cast("int")), "")
+    texts = F.when(F.col("extra") > 0, F.concat(whole, F.array(F.when(F.col("extra") == F.col("size"), text).otherwise(cut)))).otherwise(whole)
     taken = F.col("taken")
     out = [taken.alias(c) if c == "text" else F.char_length(taken).cast("bigint").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in columns]
-    return rows.orderBy("position", "id", "place").select(*out)
+    return planned.select("row", F.explode(texts).alias("taken")).select(*out)
 
 
 def op8_curriculum_mix(spark, sf_dir):
